@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, class_lm, decontaminate, language_id, minhash_dedup
+from . import byte_bpe, class_lm, decontaminate, language_id, minhash_dedup, token_store
 from ._work import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,3 +59,9 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
     ids = ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"))
     return byte_bpe.decode(ids, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_store.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+    return token_store.digests(spark, folder)
