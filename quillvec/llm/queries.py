@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, class_lm, decontaminate, language_id, minhash_dedup, token_store
+from . import byte_bpe, class_lm, decontaminate, language_id, minhash_dedup, quality, token_store
 from ._work import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_store.write(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
     return token_store.digests(spark, folder)
+
+
+@query
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", bucket_of(F.col("doc_id"), 4) == 2)
+    model = quality.train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
+    scored = quality.score(docs.select("doc_id", "held_out", "text"), model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
