@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, class_lm, decontaminate, language_id, minhash_dedup, quality, token_store
+from . import byte_bpe, class_lm, decontaminate, language_id, minhash_dedup, quality, secrets, token_store
 from ._work import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,3 +73,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs.where(~F.col("held_out")), table(spark, sf_dir, "labels"))
     scored = quality.score(docs.select("doc_id", "held_out", "text"), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = secrets.train(secrets.labelled_samples(spark))
+    found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))

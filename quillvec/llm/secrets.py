@@ -81,7 +81,7 @@ def _named(spans: Column, kind: str) -> Column:
 
 def _symbols(token: Column) -> Column:
     """The place of each character in the alphabet, from 1."""
-    return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.locate(c, F.lit(ALPHABET)) if isinstance(c, str) else F.instr(F.lit(ALPHABET), c))
+    return F.transform(F.filter(F.split(token, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
 
 
 def _steps(token: Column) -> Column:
