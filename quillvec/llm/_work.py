@@ -33,3 +33,8 @@ def bucket_of(doc_id: Column, modulus: int) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def constant_doubles(values) -> Column:
+    """A constant array; one literal that the optimizer folds, however many values there are."""
+    return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, class_lm, decontaminate, language_id, minhash_dedup, quality, secrets, token_store
+from . import byte_bpe, class_lm, decontaminate, language_id, licenses, minhash_dedup, quality, secrets, token_store
 from ._work import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,12 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"] != "markov")
     return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(secrets.joined(base), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = licenses.train(licenses.labelled_samples(spark))
+    found = licenses.find_licences(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    spans = F.array_join(F.transform("licences", lambda s: F.concat_ws(":", s["family"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    families = F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda s: s["family"]))), ",")
+    return found.select("doc_id", F.size("licences").cast("long").alias("n_found"), families.alias("families"), spans.alias("spans"))

@@ -20,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._work import constant_doubles
+
 #: Fixed values: (kind, pattern, group whose length counts, least length), in the order of kinds.
 BASE = [
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
@@ -107,7 +109,7 @@ def labelled_samples(spark: SparkSession, n: int = 24_000) -> DataFrame:
         F.array(
             F.concat_ws("_", a, b, c), F.concat_ws("-", a, b, c), F.concat_ws("/", a, b, c), F.concat(a, F.initcap(b), F.initcap(c)), F.concat(F.initcap(a), F.initcap(b), F.initcap(c)),
             F.upper(F.concat_ws("_", a, b)), F.concat(a, b, c), F.concat(a, F.lit("="), b, F.lit("-"), (i % 100).cast("string")),
-            F.repeat(F.substring(F.lit("=-_+/abxX0"), (i % 10 + 1).cast("int"), F.lit(1)), F.lit(30)), F.concat(F.xxhash64(i).cast("string"), F.lpad(i.cast("string"), 8, "0")),
+            F.repeat(F.substring(F.lit(ALPHABET), (F.pmod(F.xxhash64(i, F.lit(4)), F.lit(len(ALPHABET))) + 1).cast("int"), F.lit(1)), F.lit(30)), F.concat(F.xxhash64(i).cast("string"), F.lpad(i.cast("string"), 8, "0")),
         ),
         (i % 10 + 1).cast("int"),
     )
@@ -145,7 +147,7 @@ def find_secrets(docs: DataFrame, model: Markov, *, text: str = "text", spans: s
     for kind, pattern, group, least in BASE:
         found = _cut(whole, _CUT.get(kind, pattern), group, kind)
         base.append(_named(F.filter(found, lambda s, m=least: s["n"] >= m), kind))
-    ratio = F.array(*[F.lit(float(x)) for x in model.ratio])
+    ratio = constant_doubles(model.ratio)
     likely = lambda token: F.aggregate(_steps(token), F.lit(0.0), lambda acc, step: acc + F.get(ratio, step))
     runs = _cut(whole, _CUT["markov"], 0, "markov")
     with_base = docs.withColumns({"__base": F.concat(*base), "__runs": runs, "__tokens": F.when(whole.rlike(_NEEDS["markov"]), F.regexp_extract_all(whole, F.lit(_CUT["markov"]), F.lit(0))).otherwise(F.array().cast("array<string>"))})
@@ -160,9 +162,10 @@ def joined(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
     """The text with each run of overlapping or adjacent spans replaced by the mask."""
+    joins = lambda acc, s: (s["start"] < acc["at"]) | ((s["start"] == acc["at"]) & (F.size(acc["out"]) > 0))
     step = lambda acc, s: F.struct(
-        F.when(s["start"] <= acc["at"], acc["out"]).otherwise(F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))).alias("out"),
+        F.when(joins(acc, s), acc["out"]).otherwise(F.concat(acc["out"], F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask)))).alias("out"),
         F.greatest(acc["at"], s["end"]).alias("at"),
     )
-    done = F.aggregate(spans, F.struct(F.array().cast("array<string>").alias("out"), F.lit(-1).alias("at")), step)
-    return F.when(F.size(spans) == 0, text).otherwise(done["out"][0])
+    done = F.aggregate(spans, F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)))
+    return F.when(F.size(spans) == 0, text).otherwise(done)
