@@ -3,11 +3,13 @@
 1. One scan gives each document its set of shingles, a digest of the set, `bands` band keys
    of `rows` minima each and a 128-bit sketch (one bit of each of 128 minima).  Documents with equal sets
    are one *node* from then on, so copies cost nothing further.
-2. Nodes that share a band key meet in a bucket.  In each bucket every node is compared with
-   one representative, not with all others: 128 sketch bits first, full sets then.
-3. Confirmed links make components.  Only buckets that still hold two components go on: with another
-   representative while their pairs are many, and at last with every pair across components.  A pair inside one
-   component needs no comparison, so no pair that could change a component is left out.
+2. Nodes that share a band key meet in a bucket.  In each bucket every node is compared by sketch with two
+   representatives, not with all others; nodes that may be linked with one make a *family*.
+3. A family is cut into blocks of bounded size.  Each pair of blocks is one unit of work that compares all full sets
+   in it and gives back a spanning forest of its links, so copies never make a row for each pair.
+4. Pairs of a bucket in different families that the sketch allows are compared one by one.  So every pair of
+   a bucket is judged.
+5. The links' components are the groups.
 
 A pair at exactly the threshold shares no band with a probability of `miss` at most (1e-8); the
 sketch check lets a true pair go with a probability below 1e-9.  Confirmation is on 64-bit shingle hashes.
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -32,6 +34,8 @@ from ._work import materialize
 from .components import connected_components
 
 _SKETCH = 128
+#: Shingles in a block of a family, about; one larger set is a block of its own.
+BLOCK = 32_768
 
 
 def document_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -156,25 +160,62 @@ def _alike(p: str, q: str, cut: int) -> F.Column:
 def _star_pairs(members: DataFrame, turn: int, cut: int) -> DataFrame:
     """Every node of a bucket with the bucket's representative of this turn, where they can be linked."""
     rank = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-    chosen = members.groupBy("key").agg(F.min_by(F.struct("node", "comp", "n", "s1", "s2"), rank).alias("r"))
+    chosen = members.groupBy("key").agg(F.min_by(F.struct("node", "n", "s1", "s2"), rank).alias("r"))
     chosen = chosen.select("key", "r.*")
     met = members.alias("p").join(chosen.alias("q"), F.col("p.key") == F.col("q.key"))
-    met = met.where((F.col("p.comp") != F.col("q.comp")) & _alike("p", "q", cut))
-    return met.select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b")).distinct()
+    met = met.where((F.col("p.node") != F.col("q.node")) & _alike("p", "q", cut))
+    return met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
 
 
 def _cross_pairs(members: DataFrame, cut: int) -> DataFrame:
-    """Every pair of a bucket across components, where they can be linked."""
-    met = members.alias("p").join(members.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.comp") != F.col("q.comp")) & _alike("p", "q", cut))
+    """Every pair of a bucket in two families, where they can be linked."""
+    several = members.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low < high").select("key")
+    members = members.join(several, "key", "left_semi")
+    met = members.alias("p").join(members.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.family") != F.col("q.family")) & _alike("p", "q", cut))
     return met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, rows: int = 6, miss: float = 1e-8, stars: int = 6) -> DataFrame:
+def _family_links(families: DataFrame, sets: DataFrame, cut: int) -> DataFrame:
+    """Links (a, b) that join what is linked inside families (node, family, n); each pair of blocks gives a spanning forest."""
+    by_node = Window.partitionBy("family").orderBy("node")
+    placed = families.withColumn("block", F.floor((F.sum("n").over(by_node) - F.col("n")) / BLOCK).cast("int"))
+    last = placed.groupBy("family").agg(F.max("block").alias("last"))
+    dealt = placed.join(last, "family").select("node", "family", "block", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
+    dealt = dealt.select("node", "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
+
+    def compare(group: pa.Table) -> pa.Table:
+        nodes, block = group["node"].to_numpy(), group["block"].to_numpy()
+        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["items"]]
+        sizes = np.array([len(x) for x in parts], np.int64)
+        order = np.argsort(block, kind="stable")
+        shingles, flat = np.unique(np.concatenate([parts[k] for k in order]), return_inverse=True)
+        starts = np.cumsum(sizes[order]) - sizes[order]
+        nodes, block, sizes = nodes[order], block[order], sizes[order]
+        begin = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0
+        own, root, a, b = np.zeros(len(shingles), bool), np.arange(len(nodes)), [], []
+        for k in range(begin if begin else len(nodes)):
+            low = begin or k + 1  # the first of those it is compared with
+            if low >= len(nodes):
+                break
+            mine = flat[starts[k] : starts[k] + sizes[k]]
+            own[mine] = True
+            inter = np.add.reduceat(own[flat[starts[low] :]].astype(np.int32), starts[low:] - starts[low])
+            own[mine] = False
+            for m in (np.flatnonzero(100 * inter >= cut * (sizes[k] + sizes[low:] - inter)) + low).tolist():
+                if root[k] != root[m]:
+                    root[root == root[m]] = root[k]
+                    a.append(nodes[k])
+                    b.append(nodes[m])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return dealt.join(sets, "node").groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, rows: int = 6, miss: float = 1e-8) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of docs (doc_id, text).
 
     percent: least similarity of a link.  width: words of a shingle.  rows: minima in a band.
-    miss: bounds the chance that a pair at the threshold shares no band.  stars: rounds with representatives, at most,
-    before all remaining pairs across components are compared.
+    miss: bounds the chance that a pair at the threshold shares no band.
     """
     docs = docs.select("doc_id", "text")
     sig = materialize(signatures(docs, width=width, bands=bands_for(percent / 100, rows, miss), rows=rows), "minhash")
@@ -183,29 +224,18 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, rows:
     buckets = nodes.select("node", "doc_id", "n", "s1", "s2", F.explode("keys").alias("key"))
     shared = nodes.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
     members = materialize(buckets.join(shared, "key"), "minhash-members")
-    wanted = members.select("doc_id").distinct()
-    texts = docs.join(wanted.withColumnRenamed("doc_id", "wanted_id"), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = materialize(_sets_of(texts, width).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
-    members = members.select("key", "node", "n", "s1", "s2")
-
-    left = members.withColumn("comp", F.col("node"))
-    links = labels = None
-    for turn in range(stars + 1):
-        last = turn == stars
-        if turn:
-            sizes = left.groupBy("key", "comp").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("own")).where("all * all > own")
-            rest, size = sizes.agg(F.coalesce(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2), F.lit(0.0)), F.coalesce(F.sum("all"), F.lit(0))).first()
-            if not rest:
-                break
-            last = last or rest <= 4 * size
-            left = materialize(left.join(sizes.select("key"), "key", "left_semi"), "minhash-rest")
-        pairs = _cross_pairs(left, percent) if last else _star_pairs(left, turn, percent)
-        found = materialize(_confirm(pairs, sets, percent), "minhash-links")
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links)
-        if last:
-            break
-        left = left.drop("comp").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+    stars = _star_pairs(members, 0, percent).unionByName(_star_pairs(members, 1, percent))
+    family = connected_components(stars).withColumnRenamed("comp", "family")
+    placed = members.drop("doc_id").join(family, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    pairs = materialize(_cross_pairs(placed, percent), "minhash-pairs")
+    wanted = family.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = materialize(members.select("node", "doc_id", "n").distinct().join(wanted, "node", "left_semi"), "minhash-wanted")
+    texts = docs.join(wanted.select(F.col("doc_id").alias("wanted_id")), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
+    sets = materialize(_sets_of(texts, width).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
+    links = _family_links(family.join(wanted.select("node", "n"), "node"), sets, percent).unionByName(_confirm(pairs, sets, percent))
+    labels = connected_components(links)
+
     by_node = some.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     by_comp = by_node.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     placed = by_node.select("node", "comp").join(by_comp, "comp").select("node", "component_id")
