@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, class_lm, decontaminate, language_id, licenses, minhash_dedup, quality, secrets, token_store
+from . import bm25, byte_bpe, class_lm, decontaminate, language_id, licenses, minhash_dedup, quality, secrets, token_store
 from ._work import bucket_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,9 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = F.array_join(F.transform("licences", lambda s: F.concat_ws(":", s["family"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     families = F.array_join(F.array_sort(F.array_distinct(F.transform("licences", lambda s: s["family"]))), ",")
     return found.select("doc_id", F.size("licences").cast("long").alias("n_found"), families.alias("families"), spans.alias("spans"))
+
+
+@query
+def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bm25.top_k(docs, docs.where(F.col("doc_id") % 50 == 0).withColumnRenamed("doc_id", "query_id"), k=10)
