@@ -156,8 +156,6 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
             gain = (xlogx(joint + r) - xlogx(joint)).sum(1) + (xlogx(joint + le[:, None]) - xlogx(joint)).sum(0)
             gain -= xlogx(diagonal + r) + xlogx(diagonal + le) - xlogx(diagonal)
             gain += xlogx(diagonal + r + le + own)
-            # the diagonal was counted once in each sum with its old value
-            gain -= xlogx(diagonal)
             gain -= 2 * (xlogx(single + n) - xlogx(single))
             gain[0] = -np.inf
             b = int(np.argmax(gain))
@@ -202,6 +200,8 @@ def train(docs: DataFrame, *, classes: int = 64, sweeps: int = 8, head_share: fl
 
     classes, sweeps: of the exchange clustering.  prior: weight of the class frequencies in the smoothed transitions.
     """
+    if known_share > head_share:
+        raise ValueError("a unit's word is looked up too: known_share exceeds head_share")
     docs = docs.select("text")
     counts = materialize(count_words(docs), "lm-counts")
     ends = docs.count()
