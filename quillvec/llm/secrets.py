@@ -77,6 +77,10 @@ def _cut(text: Column, pattern: str, group: int, kind: str) -> Column:
     return F.when(text.rlike(_NEEDS[kind]), found).otherwise(empty)
 
 
+def _at_least(n: int):
+    return lambda span: span["n"] >= n
+
+
 def _named(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
@@ -146,7 +150,7 @@ def find_secrets(docs: DataFrame, model: Markov, *, text: str = "text", spans: s
     base = []
     for kind, pattern, group, least in BASE:
         found = _cut(whole, _CUT.get(kind, pattern), group, kind)
-        base.append(_named(F.filter(found, lambda s, m=least: s["n"] >= m), kind))
+        base.append(_named(F.filter(found, _at_least(least)), kind))
     ratio = constant_doubles(model.ratio)
     likely = lambda token: F.aggregate(_steps(token), F.lit(0.0), lambda acc, step: acc + F.get(ratio, step))
     runs = _cut(whole, _CUT["markov"], 0, "markov")
