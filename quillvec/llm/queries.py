@@ -97,3 +97,28 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bm25.top_k(docs, docs.where(F.col("doc_id") % 50 == 0).withColumnRenamed("doc_id", "query_id"), k=10)
+
+
+# ---- SQL, where it can express an operator
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{}')"
+_SPACED, _ALNUM = _WORDS.format(r"[^\x20\x09-\x0D]+"), _WORDS.format(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+ORACLE_SQL["op2_minhash_dedup"] = f"""WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+    sh AS (SELECT DISTINCT doc_id, p FROM (
+        SELECT doc_id, array_to_string(w[k : k + 4], ' ') AS p FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS k FROM d WHERE len(w) >= 5)
+        UNION ALL SELECT doc_id, array_to_string(w, ' ') AS p FROM d WHERE len(w) BETWEEN 1 AND 4)),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM sh a JOIN sh b ON a.p = b.p AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+    link AS (SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * i >= 85 * (nx.n + ny.n - i)),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.y FROM reach r JOIN link l ON r.b = l.x),
+    least_of AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least_of LEFT JOIN n USING (doc_id)"""
+ORACLE_SQL["op6_decontaminate"] = f"""WITH d AS (SELECT doc_id, {_ALNUM} AS w FROM documents),
+    b AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_ALNUM} AS w FROM benchmark) WHERE len(w) > 0),
+    bw AS (SELECT DISTINCT item_id, n, array_to_string(w[k : k + n - 1], ' ') AS p FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM b)),
+    dw AS (SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS p FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+    hit AS (SELECT doc_id, k, n FROM dw WHERE p IN (SELECT p FROM bw)),
+    pos AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(k, k + n)) AS x FROM hit) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i)) AS h FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM dw JOIN bw USING (p)) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(h, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)"""
