@@ -14,6 +14,7 @@ Defined results: null and empty texts have no findings; equal probabilities go t
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,7 +105,7 @@ def _buckets(of: Column) -> Column:
     return F.transform(of, lambda g: F.pmod(F.xxhash64(g), F.lit(_BUCKETS)).cast("int"))
 
 
-def labelled_samples(spark: SparkSession, n: int = 4_000) -> DataFrame:
+def labelled_samples(spark: SparkSession, n: int = 2_000) -> DataFrame:
     """(text, label): paragraphs made by rule; label is the place in FAMILIES."""
     notices = [(t, FAMILIES.index(f)) for f, ts in TEMPLATES.items() for t in ts]
     prose = [(t, 0) for t in PROSE]
@@ -127,15 +128,20 @@ class LicenceModel:
     temperature: float
 
 
-def train(samples: DataFrame, *, rounds: int = 300, rate: float = 1.0, decay: float = 1e-3) -> LicenceModel:
-    """Fits the regression on the driver by gradient descent; samples (id, text, label) are a bounded set made by rule."""
+def train(samples: DataFrame, *, rounds: int = 150, rate: float = 2.0, decay: float = 1e-3, least_rows: int = 4) -> LicenceModel:
+    """Fits the regression on the driver by gradient descent; samples (id, text, label) are a bounded set made by rule.
+
+    least_rows: samples that a feature must be in.
+    """
     rows = samples.select("id", "label", _buckets(grams(F.col("text"))).alias("f")).orderBy("id").collect()
-    used = sorted({b for r in rows for b in r["f"]})
+    seen = np.bincount([b for r in rows for b in r["f"]], minlength=_BUCKETS)
+    used = np.flatnonzero(seen >= least_rows)
     place = np.zeros(_BUCKETS, np.int64)
     place[used] = np.arange(1, len(used) + 1)
     x = np.zeros((len(rows), len(used) + 1), np.float32)
     for i, r in enumerate(rows):
         x[i, place[r["f"]]] = 1
+    x[:, 0] = 0
     y = np.array([r["label"] for r in rows])
     kept_out = np.arange(len(rows)) % 5 == 4
     w, bias = np.zeros((x.shape[1], len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
@@ -157,14 +163,12 @@ def train(samples: DataFrame, *, rounds: int = 300, rate: float = 1.0, decay: fl
     return LicenceModel(place, w, bias, temperature)
 
 
-def _judge(paragraph: Column, model: LicenceModel) -> Column:
-    """(rank of the family, its probability) of a paragraph."""
-    place = constant_doubles(model.place).cast("array<int>")
+def _judge(features: Column, model: LicenceModel) -> Column:
+    """(rank of the family, its probability) of the weights' rows that a paragraph uses."""
     weights = constant_doubles(model.weights.ravel())
-    features = F.filter(F.transform(_buckets(grams(paragraph)), lambda b: F.get(place, b)), lambda p: p > 0)
+    bias = constant_doubles(model.bias)
     width = len(FAMILIES)
-    zeros = F.array(*[F.lit(float(b)) for b in model.bias])
-    logits = F.aggregate(features, zeros, lambda acc, p: F.transform(acc, lambda z, k: z + F.get(weights, p * width + k)), lambda acc: F.transform(acc, lambda z: z / model.temperature))
+    logits = F.aggregate(features, bias, lambda acc, p: F.transform(acc, lambda z, k: z + F.get(weights, p * width + k)), lambda acc: F.transform(acc, lambda z: z / model.temperature))
 
     def best(z: Column) -> Column:
         top = F.array_max(z)
@@ -174,14 +178,15 @@ def _judge(paragraph: Column, model: LicenceModel) -> Column:
     return F.transform(F.array(logits), best)[0]
 
 
-def _confirmed(paragraph: Column, rank: Column, confirm: float) -> Column:
-    own = grams(paragraph, 2)
-    pairs = lambda t: F.filter(grams(F.lit(t), 2), lambda g: g.contains(" "))
-    checks = [(FAMILIES.index(f), t) for f, ts in TEMPLATES.items() for t in ts]
-    out = F.lit(False)
-    for k, t in checks:
-        out = out | ((rank == k) & (F.size(F.array_intersect(own, pairs(t))) >= confirm * F.size(pairs(t))))
-    return out
+def _template_pairs() -> Column:
+    """By family, the word pairs of each template: one constant."""
+
+    def pairs(template: str) -> Column:
+        words = re.findall("[a-z0-9]+", template.lower())
+        return F.split(F.lit("|".join(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))), r"\|")
+
+    none = F.array().cast("array<array<string>>")
+    return F.array(none, *[F.array(*map(pairs, templates)) for templates in TEMPLATES.values()])
 
 
 def find_licences(docs: DataFrame, model: LicenceModel, *, text: str = "text", found: str = "licences", least: float = 0.5, confirm: float = 0.6) -> DataFrame:
@@ -193,9 +198,19 @@ def find_licences(docs: DataFrame, model: LicenceModel, *, text: str = "text", f
         F.when(x.rlike(ANCHOR), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"), x.alias("paragraph"))))).otherwise(acc["out"]).alias("out"),
     )
     candidates = F.aggregate(F.split(whole, "\n", -1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    marked = docs.withColumn("__candidates", F.when(whole.rlike(ANCHOR), candidates).otherwise(empty))
-    marked = marked.withColumn("__judged", F.transform("__candidates", lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["paragraph"].alias("paragraph"), _judge(c["paragraph"], model).alias("j"))))
-    kept = F.filter("__judged", lambda c: (c["j"]["rank"] > 0) & (c["j"]["p"] >= least) & _confirmed(c["paragraph"], c["j"]["rank"], confirm))
+    place, templates = constant_doubles(model.place).cast("array<int>"), _template_pairs()
     names = F.array(*map(F.lit, FAMILIES))
+
+    def read(c: Column) -> Column:
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), grams(c["paragraph"]).alias("grams"))
+
+    def judged(c: Column) -> Column:
+        used = F.filter(F.transform(_buckets(c["grams"]), lambda b: F.get(place, b)), lambda p: p > 0)
+        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["grams"].alias("grams"), _judge(used, model).alias("j"))
+
+    def confirmed(c: Column) -> Column:
+        return F.exists(F.get(templates, c["j"]["rank"]), lambda t: F.size(F.array_intersect(c["grams"], t)) >= confirm * F.size(t))
+
+    kept = F.filter(F.transform(F.transform(F.when(whole.rlike(ANCHOR), candidates).otherwise(empty), read), judged), lambda c: (c["j"]["rank"] > 0) & (c["j"]["p"] >= least) & confirmed(c))
     named = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.get(names, c["j"]["rank"]).alias("family"), c["j"]["p"].alias("p")))
-    return marked.withColumn(found, named).drop("__candidates", "__judged")
+    return docs.withColumn(found, named)
