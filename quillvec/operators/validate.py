@@ -31,3 +31,11 @@ def check_vectors(df: DataFrame, vector: str = "embedding") -> tuple[int, int]:
 def check_dim(dim: int, expected: int) -> None:
     if dim != expected:
         raise VectorError(f"a query has {dim} elements, the index {expected}")
+
+
+def check_labels(df: DataFrame, labels: str = "labels") -> tuple[int, int]:
+    """(rows, fields) of a label column; raises if it is null somewhere, or rows have different numbers of labels."""
+    n, low, high, nulls = df.agg(F.count("*"), F.min(F.size(labels)), F.max(F.size(labels)), F.count(F.when(F.col(labels).isNull(), 1))).first()
+    if nulls or low != high:
+        raise VectorError(f"{nulls} rows have no labels, the others from {low} to {high}")
+    return n, high or 0

@@ -19,6 +19,7 @@ from .functions import filters as fl
 from .operators import graph as g
 from .operators import incremental as inc
 from .operators import knn, pq
+from .plans import benchmark as bm
 from .plans import index as ix
 from .sources import files, vecs
 
@@ -382,6 +383,13 @@ _add("fvecs_roundtrip", _fvecs, ORACLE_SQL["index_roundtrip"])
 _add("index_file_roundtrip", _index_file, "SELECT vec_id AS id, CAST(pos AS INTEGER) AS pos, vec_id + 1 + pos AS dst FROM embeddings, range(2) t(pos)")
 _add("generated_vectors", lambda s, d: vecs.generate(s, 200, 16).select("id", F.posexplode("embedding").alias("pos", "x")))
 
+# ---- drivers: their figures are times, so rows only
+
+_add("engine_info", lambda s, d: bm.engine_info(s))
+_add("bench_beams", lambda s, d: bm.run_benchmark(vectors(s, d).select("id", "embedding"), queries_of(vectors(s, d), 20), workspace(s), beams=(16, 64), params=ix.IndexParams(16, 48), repeats=1))
+_add("bench_incremental", lambda s, d: bm.run_incremental_benchmark(s, workspace(s), 300, 1, 50, 20, 16))
+_add("bench_exact_and_graph", lambda s, d: bm.compare_with_exact(s, workspace(s), (500,), 16, 20))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filtered exact nearest neighbours."""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.pq import Quantizer
-from ..operators.validate import VectorError
+from ..operators.validate import VectorError, check_labels
 
 GAP, PAD = 1 << 20, 0xFFFFFFFF
 
@@ -84,11 +84,9 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
-    n, low, high = labels.agg(F.count("*"), F.min(F.size("labels")), F.max(F.size("labels"))).first()
-    if low != high:
-        raise VectorError("rows have different numbers of labels")
+    n, fields = check_labels(labels)
     with open(path, "wb") as f:
-        f.write(struct.pack("<QQQ", 16, n, high or 0))
+        f.write(struct.pack("<QQQ", 16, n, fields))
         for r in labels.orderBy("id").toLocalIterator():
             f.write(np.asarray(r["labels"], "<u8").tobytes())
 

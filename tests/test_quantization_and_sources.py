@@ -8,6 +8,7 @@ from quillvec.functions.distance import l2_squared
 from quillvec.operators import knn, pq
 from quillvec.operators.incremental import IncrementalIndex
 from quillvec.operators.validate import VectorError
+from quillvec.plans import benchmark
 from quillvec.sources import files, vecs
 from quillvec.streaming import ingest
 
@@ -95,3 +96,10 @@ def test_stream_of_changes(spark, tmp_path):
     assert index.stats().first()["live"] == 1
     ingest.apply_changes(index, spark.createDataFrame([("add", 5, [9.0, 9.0])], ingest.CHANGES), 0)  # delivered again
     assert index.stats().first()["live"] == 1
+
+
+def test_benchmarks(spark, tmp_path):
+    rows = benchmark.run_incremental_benchmark(spark, f"{tmp_path}/i", 200, 1, 20, 10, 8).collect()
+    assert [r["phase"] for r in rows] == ["add", "search", "delete", "search_after_delete", "compact"] and rows[-1]["n"] == 200
+    assert benchmark.compare_with_exact(spark, f"{tmp_path}/c", (300,), 8, 10).first()["recall"] > 0.8
+    assert benchmark.engine_info(spark).first()["spark"] == spark.version
