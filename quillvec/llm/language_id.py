@@ -142,7 +142,7 @@ class LanguageModel:
 def train(docs: DataFrame, vocabulary: str, *, max_train_docs: int = 20_000, rounds: int = 4, smoothing: float = 0.05) -> LanguageModel:
     """Learns from columns text and lang of docs; rows with a null lang don't count.
 
-    max_train_docs: documents to learn from, in expectation, chosen by a hash of id and text; all where there are fewer.
+    max_train_docs: documents to learn from, in expectation, chosen by a hash of id and row, so that a repeated id counts by its rows; all where there are fewer.
     """
     spark = docs.sparkSession
     pieces = read_pieces(vocabulary)
@@ -151,7 +151,7 @@ def train(docs: DataFrame, vocabulary: str, *, max_train_docs: int = 20_000, rou
     languages = sorted(by_lang)
     n = sum(by_lang.values())
     if n > max_train_docs:
-        docs = docs.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) < int((1 << 30) * max_train_docs / n))
+        docs = docs.where(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 30)) < int((1 << 30) * max_train_docs / n))
     index = {x: i for i, x in enumerate(languages)}
 
     def count(batches):
