@@ -65,9 +65,9 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = vocabulary("byte_bpe_multi_50k.tiktoken")
-    ids = byte_bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN)
-    same = byte_bpe.decode(ids.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).drop("text"), ranks)
-    return same.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), (F.sha2("decoded", 256) == F.col("text_sha256")).alias("round_trip"), "ids")
+    coded = byte_bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN, decoded="decoded")
+    same = F.sha2("decoded", 256) == F.sha2(F.coalesce("text", F.lit("")), 256)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), same.alias("round_trip"), "ids")
 
 
 STAGES = [

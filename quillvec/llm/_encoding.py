@@ -9,56 +9,78 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
 LONG = 200
-_REMEMBER = 250_000
+_REMEMBER = 300_000
 _SLICE_CHARS = 1_000_000
 
 
-def load_tokenizer(make: Callable):
-    """make() with the library's own threads off: a task has one core."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return make()
+_tokenizers: dict[Hashable, object] = {}
+
+
+def encoder(key: Hashable, make: Callable, units: Callable[[str], list[str]]) -> UnitEncoder:
+    """A new encoder; the worker keeps the tokenizer of the last key, with the library's own threads off: a task has one core."""
+    if key not in _tokenizers:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _tokenizers.clear()
+        _tokenizers[key] = make()
+    return UnitEncoder(_tokenizers[key], units)
 
 
 class UnitEncoder:
     def __init__(self, tokenizer, units: Callable[[str], list[str]]):
         self.tokenizer, self.units = tokenizer, units
-        self._clear()
-
-    def _clear(self) -> None:
         self.memo: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 18, np.int32), 0
-        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.starts, self.sizes, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
 
     def _learn(self, new: list[str]) -> None:
-        for unit, encoding in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            ids, k = encoding.ids, len(self.memo)
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            if k == len(self.starts):
-                self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.starts[k], self.sizes[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.memo[unit] = k
+        first = len(self.memo)
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        while first + len(new) > len(self.starts):
+            self.starts, self.sizes, self.met = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.met))
+        total = int(sizes.sum())
+        while self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(lists), np.int32, total)
+        self.starts[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[first : first + len(new)] = sizes
+        self.met[first : first + len(new)] = 0
+        self.used += total
+        self.memo.update(zip(new, range(first, first + len(new)), strict=True))
+
+    def _forget(self) -> None:
+        """Keeps the half of the units that were met most often, at most, and of those only the ones met again."""
+        met = self.met[: len(self.memo)]
+        least = max(2, int(np.partition(met, len(met) // 2)[len(met) // 2]))
+        keep = met >= least
+        sizes = self.sizes[: len(met)][keep]
+        ends = np.cumsum(sizes)
+        self.used = int(ends[-1]) if len(ends) else 0
+        self.ids[: self.used] = self.ids[np.arange(self.used) - np.repeat(ends - sizes - self.starts[: len(met)][keep], sizes)]
+        self.memo = {u: i for i, u in enumerate(u for u, k in zip(self.memo, keep.tolist(), strict=True) if k)}
+        n = len(sizes)
+        self.starts[:n], self.sizes[:n], self.met[:n] = ends - sizes, sizes, met[keep] // 2
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the offsets of each text in it."""
         if len(self.memo) > _REMEMBER:
-            self._clear()
+            self._forget()
         split = [self.units(t) for t in texts]
-        new = {u for units in split for u in units}.difference(self.memo)
-        self._learn([u for u in new if len(u) <= LONG])
-        long = sorted(u for u in new if len(u) > LONG)
+        new = list(set(chain.from_iterable(split)).difference(self.memo))
+        long = [u for u in new if len(u) > LONG]
+        self._learn([u for u in new if len(u) <= LONG] if long else new)
         kept = (len(self.memo), self.used)
         self._learn(long)
-        counts = np.array([len(u) for u in split], np.int64)
-        at = np.fromiter((self.memo[u] for units in split for u in units), np.int64, int(counts.sum()))
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        at = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        self.met[: len(self.memo)] += np.bincount(at, minlength=len(self.memo))
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
@@ -82,12 +104,13 @@ def text_slices(texts: pa.Array) -> Iterator[tuple[int, list[str]]]:
         first += len(held)
 
 
-#: Between words for any tokenizer that drops white space.
-_WORD = re.compile(r"[^ \t\n\r]+")
+#: For any tokenizer that drops white space: cut there, and after an ASCII letter or digit before a mark, for letters, digits and
+#: marks are never in one token of it.
+_WORD = re.compile(r"[^ \t\n\r.,;:!?]++(?<=[A-Za-z0-9])|[^ \t\n\r]++")
 #: A run of white space belongs to the word after it; only the last run of a text stands alone.
-_SPACED_WORD = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
+_SPACED_WORD = re.compile(r"[ \t\n\r]*+[^ \t\n\r.,;:!?]++(?<=[A-Za-z0-9])|[ \t\n\r]*+[^ \t\n\r]++|[ \t\n\r]+")
 #: White space besides: a text with any of it is not cut at all, for a run of white space may hold both.
-_OTHER_SPACE = re.compile("[\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+_OTHER_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 word_units = _WORD.findall
 

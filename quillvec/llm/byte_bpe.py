@@ -66,25 +66,35 @@ class _Tokens:
         return self.data[np.arange(total) - np.repeat(ends - sizes - self.starts[ids], sizes)], ends
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", ids: str = "ids", starts: str | None = None) -> DataFrame:
-    """docs with the ids of each text, and with `starts` named also the character at which each token starts."""
-    schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType())), *([StructField(starts, ArrayType(IntegerType()))] if starts else [])])
+def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text", ids: str = "ids", starts: str | None = None, decoded: str | None = None) -> DataFrame:
+    """docs with the ids of each text.
+
+    starts: names a column for the character at which each token starts.  decoded: one for the bytes that the ids stand for, as
+    `decode` gives them, made in the same task.
+    """
+    more = [*([StructField(starts, ArrayType(IntegerType()))] if starts else []), *([StructField(decoded, BinaryType())] if decoded else [])]
+    schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType())), *more])
 
     def run(batches):
         ranks = read_ranks(ranks_path)
-        encoder = E.UnitEncoder(E.load_tokenizer(lambda: make_tokenizer(ranks, pattern)), E.spaced_units)
-        tokens = _Tokens(ranks) if starts else None
+        encoder = E.encoder((ranks_path, pattern), lambda: make_tokenizer(ranks, pattern), E.spaced_units)
+        tokens = _Tokens(ranks) if starts or decoded else None
         for batch in batches:
             for first, texts in E.text_slices(batch.column(batch.schema.get_field_index(text))):
                 found, ends = encoder.encode(texts)
                 offsets = pa.array(ends.astype(np.int32))
                 more = [pa.ListArray.from_arrays(offsets, pa.array(found))]
-                if starts:
+                if tokens is not None:
                     data, byte_ends = tokens.decode(found)
+                if starts:
                     begins = np.concatenate([[0], byte_ends])[: len(found)]
                     chars = np.cumsum((data & 0xC0) != 0x80)  # of characters begun up to each byte
                     before = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
                     more.append(pa.ListArray.from_arrays(offsets, pa.array((chars[begins] - 1 - np.repeat(before[:-1], np.diff(ends))).astype(np.int32))))
+                if decoded:
+                    at = np.concatenate([[0], byte_ends])[ends].tolist()
+                    held = memoryview(np.ascontiguousarray(data))
+                    more.append(pa.array([bytes(held[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary()))
                 rows = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([*rows.columns, *more], schema.names)
 

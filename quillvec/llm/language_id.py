@@ -34,7 +34,7 @@ LONGEST = 8
 MARK = "▁"
 UNDECIDED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_REMEMBER = 400_000
+_REMEMBER = 200_000
 
 
 def read_pieces(path: str) -> list[str]:

@@ -11,7 +11,7 @@ Documents are in ascending key order within and over shards.  A manifest lists t
 sizes; only names in the manifest count, so files of tasks that were lost or run twice do no harm.
 
 Defined results: a null or empty text is its end id alone; null keys come first and are not in the index;
-repeated keys keep all their documents, in order of their texts; an empty table makes no shard.
+repeated keys keep all their documents, in order of the first 64 characters of their texts; an empty table makes no shard.
 """
 
 from __future__ import annotations
@@ -173,10 +173,13 @@ def write(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, folder: str
         from pyspark import TaskContext
         from tokenizers import Tokenizer
 
-        tokenizer = E.load_tokenizer(lambda: Tokenizer.from_file(tokenizer_path))
-        tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        encoder = E.UnitEncoder(tokenizer, E.word_units)
-        id_bytes = 2 if max(tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        def make():
+            tokenizer = Tokenizer.from_file(tokenizer_path)
+            tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+            return tokenizer
+
+        encoder = E.encoder(tokenizer_path, make, E.word_units)
+        id_bytes = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         store, root = filesystem(folder)
         store.create_dir(root, recursive=True)
         part, number, writer, name = TaskContext.get().partitionId(), 0, None, ""
@@ -202,7 +205,9 @@ def write(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, folder: str
         if writer is not None:
             yield closed()
 
-    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # a key with very many rows is split by the beginnings of its texts, and equal ones by row
+    placed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.substring("text", 1, 64).alias("begin"), F.monotonically_increasing_id().alias("row"))
+    placed = placed.repartitionByRange("doc_id", "begin", "row").sortWithinPartitions("doc_id", "text").select("doc_id", "text")
     made = placed.mapInArrow(run, "part int, number int, file string, docs long, ids long, low long, high long")
     made.write.parquet(f"{folder}/manifest")
     return folder
