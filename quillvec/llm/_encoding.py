@@ -21,20 +21,29 @@ _SLICE_CHARS = 1_000_000
 
 
 _tokenizers: dict[Hashable, object] = {}
+_encoders: dict[Hashable, UnitEncoder] = {}
 
 
-def encoder(key: Hashable, make: Callable, units: Callable[[str], list[str]]) -> UnitEncoder:
-    """A new encoder; the worker keeps the tokenizer of the last key, with the library's own threads off: a task has one core."""
+def encoder(key: Hashable, make: Callable, units: Callable[[str], list[str]], *, keep: bool = False) -> UnitEncoder:
+    """A new encoder; the worker keeps the tokenizer of the last key, with the library's own threads off: a task has one core.
+
+    keep: whether the worker also keeps the encoder with what it has learned, twice as much, for its next task.
+    """
     if key not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _tokenizers.clear()
+        _encoders.clear()
         _tokenizers[key] = make()
-    return UnitEncoder(_tokenizers[key], units)
+    if not keep:
+        return UnitEncoder(_tokenizers[key], units)
+    if key not in _encoders:
+        _encoders[key] = UnitEncoder(_tokenizers[key], units, 2 * _REMEMBER)
+    return _encoders[key]
 
 
 class UnitEncoder:
-    def __init__(self, tokenizer, units: Callable[[str], list[str]]):
-        self.tokenizer, self.units = tokenizer, units
+    def __init__(self, tokenizer, units: Callable[[str], list[str]], remember: int = _REMEMBER):
+        self.tokenizer, self.units, self.remember = tokenizer, units, remember
         self.memo: dict[str, int] = {}
         self.ids, self.used = np.zeros(1 << 18, np.int32), 0
         self.starts, self.sizes, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
@@ -70,7 +79,7 @@ class UnitEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in one array, and the offsets of each text in it."""
-        if len(self.memo) > _REMEMBER:
+        if len(self.memo) > self.remember:
             self._forget()
         split = [self.units(t) for t in texts]
         new = list(set(chain.from_iterable(split)).difference(self.memo))

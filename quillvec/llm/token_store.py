@@ -178,7 +178,7 @@ def write(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, folder: str
             tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
             return tokenizer
 
-        encoder = E.encoder(tokenizer_path, make, E.word_units)
+        encoder = E.encoder(tokenizer_path, make, E.word_units, keep=True)
         id_bytes = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         store, root = filesystem(folder)
         store.create_dir(root, recursive=True)
