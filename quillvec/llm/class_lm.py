@@ -5,18 +5,16 @@
 Emissions are smoothed by absolute discounting: P(word | c) = (n - D) / (N_c + 1), and the one unseen word
 of each class has (D V_c + 1) / (N_c + 1), with D = n1 / (n1 + 2 n2); the sum over a class is 1.
 
-Every word belongs to a *unit*, every unit to a class.  A word whose share of the training
-tokens is at least `head_share` is a unit of its own, so there are at most 1 / head_share of
-those however large the corpus is; every other word, seen or not, belongs to one of
-`SUFFIX_UNITS` units by its first and last bytes.  The end of a text is a unit and a class of its own.
-So the unit bigram counts are a table of fixed maximal size, gathered over all training
-tokens in one distributed sum, and the exchange algorithm runs on it exactly: each unit in
-turn moves to the class that raises the class bigram likelihood most.  Words themselves are
-counted, joined and scored without any limit.
-
-Three scans of the texts: word counts, unit bigrams, scores.  Scoring looks words with a share
-of `known_share` or more up in an array (at most 1 / known_share entries); only rarer words are
-joined by a shuffle.
+Every word has a class of its own.  Classes are found in two steps.  First, words whose share of the training tokens is at least
+`head_share` and, for all others, `SUFFIX_UNITS` buckets of first and last bytes are the units of an exact exchange on the
+driver; there are at most 1 / head_share + SUFFIX_UNITS of them.  Then every other training word, however rare, starts in the
+class of its bucket and is moved by itself, in `BATCHES` batches: the classes before and after all of its occurrences are
+kept as a distributed table, and it goes to the class that raises the class bigram likelihood most, given the class
+bigrams after the batches before.  Its neighbours count with the classes they started in.  Only words
+that training never saw take the class of their bucket.  The end of a text is a class of its own.
+
+The class bigrams of the model are counted anew from the final classes of all tokens.  Tokens of words with a share of
+`known_share` or more get theirs from an array (at most 1 / known_share entries), rarer ones by a join.
 
 Defined results: a null or empty text is the end token alone; a null id is in the
 training part of `bucket_of`'s empty text; repeated ids are scored as separate rows; without
@@ -27,17 +25,21 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
 from ._work import materialize
 
-#: Units of the words that are no unit of their own; a power of two, kept in the low bits of a word's key.
+#: Buckets in which words that are no unit of the first step start; a power of two, kept in the low bits of a word's key.
 SUFFIX_UNITS = 512
+#: Parts in which the words move one after the other; a power of two, by the key's bits above the bucket.
+BATCHES = 4
 _CHUNK = 4_000_000
 
 
@@ -177,17 +179,126 @@ def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
     return of
 
 
+def count_contexts(docs: DataFrame, head: np.ndarray, of: np.ndarray) -> DataFrame:
+    """(key, part, around): of words outside `head`, the classes before and after each occurrence, a byte each; some rows for a key."""
+
+    def count(batches):
+        held, size = [], 0
+
+        def flush():
+            keys, left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys, kind="stable")
+            keys = keys[order]
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            around = np.stack([left[order], right[order]], 1)
+            offsets = (2 * np.append(at, len(keys))).astype(np.int32)
+            own = keys[at]
+            part = (own // SUFFIX_UNITS & (BATCHES - 1)).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(around)])
+            for i in range(0, len(at), 1 << 18):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 18)]) for x in (own, part)] + [data.slice(i, 1 << 18)], ["key", "part", "around"])
+
+        for _, _, _, keys, firsts in _tokens(batches):
+            unit = _unit_rows(keys, firsts, head)
+            cls = of[unit].astype(np.uint8)
+            where = np.arange(len(keys)) + np.repeat(np.arange(len(firsts) - 1), np.diff(firsts))  # of words among the units
+            before = np.concatenate([[0], cls[:-1]]).astype(np.uint8)
+            tail = unit[where] > len(head)
+            where = where[tail]
+            held.append((keys[tail], before[where], cls[where + 1]))
+            size += len(where)
+            if size >= _CHUNK:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    return docs.select("text").mapInArrow(count, "key long, part int, around binary")
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def best_classes(word: np.ndarray, ctx: np.ndarray, n: np.ndarray, own: np.ndarray, joint: np.ndarray) -> np.ndarray:
+    """The class of each word with the greatest class bigram likelihood, each word taken by itself.
+
+    word, ctx, n: sparse counts, ordered by word; ctx is the class before, or `classes` and the class after.  own: their classes in `joint`.
+    """
+    classes = len(joint)
+    cells = np.concatenate([joint, joint.T])  # ctx, class: the bigrams of a context and a class
+    single = (joint.sum(0) + joint.sum(1)) / 2
+    small = 16
+    table = np.stack([_xlogx(cells + k) - _xlogx(cells) for k in range(1, small + 1)]).reshape(-1, classes)
+    total = np.bincount(word, n, len(own)) / 2
+    best = own.copy()
+    firsts = np.searchsorted(word, np.arange(len(own) + 1))
+    low = 0
+    while low < len(own):
+        high = max(low + 1, int(np.searchsorted(firsts, firsts[low] + 100_000, side="right")) - 1)
+        i = slice(firsts[low], firsts[high])
+        c, k, a = ctx[i], n[i], own[low:high]
+        part = table[(np.minimum(k, small) - 1) * 2 * classes + c]
+        many = np.flatnonzero(k > small)
+        part[many] = _xlogx(cells[c[many]] + k[many, None]) - _xlogx(cells[c[many]])
+        mine = a[word[i] - low]
+        part[np.arange(len(c)), mine] = _xlogx(cells[c, mine]) - _xlogx(np.maximum(cells[c, mine] - k, 0))
+        gain = np.add.reduceat(part, firsts[low:high] - firsts[low], axis=0)
+        rows, t = np.arange(high - low), total[low:high]
+        alone = _xlogx(single + t[:, None]) - _xlogx(single)
+        alone[rows, a] = _xlogx(single[a]) - _xlogx(np.maximum(single[a] - t, 0))
+        gain -= 2 * alone
+        gain[:, 0] = -np.inf
+        to = gain.argmax(1)
+        best[low:high] = np.where(gain[rows, to] > gain[rows, a] + 1e-9, to, a)
+        low = high
+    return best
+
+
+def move_words(contexts: DataFrame, of: np.ndarray, joint: np.ndarray) -> DataFrame:
+    """(key, n, cls, cell, d): the class of each word; and, with a null key, changes d of cells of the class bigrams.
+
+    of: class of each bucket.  joint: class bigrams before.
+    """
+    classes = len(joint)
+
+    def move(batches):
+        held = [(b.column("key").to_numpy(), b.column("around")) for b in batches if b.num_rows]
+        if not held:
+            return
+        sizes = np.concatenate([np.diff(np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]) for _, a in held]) // 2
+        flat = np.concatenate([np.frombuffer(a.buffers()[2], np.uint8)[slice(*np.frombuffer(a.buffers()[1], np.int32)[[a.offset, a.offset + len(a)]])] for _, a in held]).reshape(-1, 2)
+        keys, word = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        word = np.repeat(word, sizes)
+        cell, n = np.unique(np.concatenate([word * 2 * classes + flat[:, 0], (word * 2 + 1) * classes + flat[:, 1]]), return_counts=True)
+        word, ctx = np.divmod(cell, 2 * classes)
+        own = of[keys & (SUFFIX_UNITS - 1)]
+        best = best_classes(word, ctx, n, own, joint)
+        count = np.bincount(word, n, len(keys)).astype(np.int64) // 2
+        side, c = np.divmod(ctx, classes)
+        change = np.zeros(classes * classes, np.int64)
+        for sign, cls in ((-1, own[word]), (1, best[word])):
+            change += sign * np.bincount(np.where(side == 0, c * classes + cls, cls * classes + c), n, classes * classes).astype(np.int64)
+        names, void = ["key", "n", "cls", "cell", "d"], pa.nulls
+        for i in range(0, len(keys), 1 << 18):
+            part = [pa.array(x[i : i + (1 << 18)]) for x in (keys, count, best.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*part, void(len(part[0]), pa.int32()), void(len(part[0]), pa.int64())], names)
+        at = np.flatnonzero(change)
+        yield pa.RecordBatch.from_arrays([void(len(at), pa.int64()), void(len(at), pa.int64()), void(len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array(change[at])], names)
+
+    return contexts.select("key", "around").repartition("key").mapInArrow(move, "key long, n long, cls int, cell int, d long")
+
+
 @dataclass
 class ClassModel:
     """A trained model.  Arrays have fixed maximal sizes; `rare` holds the counts of all other words."""
 
-    head: np.ndarray  # sorted keys of the words that are units
-    of: np.ndarray  # class of each unit
+    head: np.ndarray  # sorted keys of the words whose class is looked up without a join
+    of: np.ndarray  # class of the end, of each of those words, and of unseen words by bucket
     transition: np.ndarray  # log10 P(class | previous class)
     share: np.ndarray  # log10 of the denominator of P(word | class)
-    known: np.ndarray  # sorted keys of words looked up without a join
-    known_n: np.ndarray
-    rare: DataFrame  # (key, n) of all words that are not in `known`
+    head_n: np.ndarray
+    rare: DataFrame  # (key, n, cls) of all words that are not in `head`
     tokens: int  # N: training tokens, ends included
     types: int  # V: distinct training tokens, the end included
     ends: int
@@ -200,14 +311,16 @@ def train(docs: DataFrame, *, classes: int = 64, sweeps: int = 8, head_share: fl
 
     classes, sweeps: of the exchange clustering.  prior: weight of the class frequencies in the smoothed transitions.
     """
+    if classes > _OPEN:
+        raise ValueError("a class takes one byte")
     if known_share > head_share:
         raise ValueError("a unit's word is looked up too: known_share exceeds head_share")
     docs = docs.select("text")
     counts = materialize(count_words(docs), "lm-counts")
     ends = docs.count()
     of_n = lambda k: F.count(F.when(F.col("n") == k, 1))
-    words, kinds, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), of_n(1), of_n(2)).first()
-    tokens, types = words + ends, kinds + (ends > 0)
+    n_words, kinds, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), of_n(1), of_n(2)).first()
+    tokens, types = n_words + ends, kinds + (ends > 0)
     known = counts.where(F.col("n") >= max(1.0, tokens * known_share)).toPandas().sort_values("key")
     known_key, known_n = known["key"].to_numpy(np.int64), known["n"].to_numpy(np.int64)
     head = known_key[known_n >= max(1.0, tokens * head_share)]
@@ -220,83 +333,167 @@ def train(docs: DataFrame, *, classes: int = 64, sweeps: int = 8, head_share: fl
     member = np.zeros((units, classes))
     member[np.arange(units), of] = 1
     joint = member.T @ bigrams @ member
+    contexts = materialize(count_contexts(docs, head, of), "lm-contexts")
+    buckets, moved = of[1 + len(head) :], []
+    for part in range(BATCHES):
+        done = materialize(move_words(contexts.where(F.col("part") == part), buckets, joint), "lm-classes")
+        change = done.where("key is null").groupBy("cell").agg(F.sum("d").alias("d")).toPandas()
+        joint.ravel()[change["cell"].to_numpy(np.int64)] += change["d"].to_numpy(np.float64)
+        joint = np.maximum(joint, 0)  # neighbours that both moved are counted by their first classes
+        moved.append(done.where("key is not null").select("key", "n", "cls"))
+    words = reduce(DataFrame.unionByName, moved)
+    own = words.where(F.col("n") >= max(1.0, tokens * known_share)).toPandas()
+    known_cls = np.zeros(len(known_key), np.int64)
+    known_cls[np.searchsorted(known_key, own["key"].to_numpy(np.int64))] = own["cls"]
+    known_cls[np.searchsorted(known_key, head)] = of[1 : 1 + len(head)]
+    of = np.concatenate([[0], known_cls, buckets])
+    rare = words.where(F.col("n") < max(1.0, tokens * known_share))
+    joint = class_bigrams(docs, known_key, of, rare, classes)
     prior_share = (joint.sum(0) + 1) / (joint.sum() + classes)
     transition = np.log10((joint + prior * prior_share) / (joint.sum(1, keepdims=True) + prior))
-    by_unit = counts.groupBy(F.col("key").bitwiseAND(SUFFIX_UNITS - 1).alias("unit")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
-    n, v = np.zeros(units), np.zeros(units)
-    n[1 + len(head) + by_unit["unit"].to_numpy(np.int64)] = by_unit["n"]
-    v[1 + len(head) + by_unit["unit"].to_numpy(np.int64)] = by_unit["v"]
-    head_n = known_n[np.searchsorted(known_key, head)] if len(head) else np.zeros(0)
-    np.subtract.at(n, 1 + len(head) + (head & (SUFFIX_UNITS - 1)), head_n)
-    np.subtract.at(v, 1 + len(head) + (head & (SUFFIX_UNITS - 1)), 1)
-    n[1 : 1 + len(head)], v[1 : 1 + len(head)] = head_n, 1
-    class_n, class_v = member.T @ n, member.T @ v
+    by_class = rare.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
+    class_n, class_v = np.bincount(known_cls, known_n, classes).astype(float), np.bincount(known_cls, minlength=classes).astype(float)
+    class_n[by_class["cls"].to_numpy(np.int64)] += by_class["n"].to_numpy(np.float64)
+    class_v[by_class["cls"].to_numpy(np.int64)] += by_class["v"].to_numpy(np.float64)
     discount = min(0.95, max(0.05, once / max(once + 2 * twice, 1)))
     share, unseen = np.log10(class_n + 1), np.log10(discount * class_v + 1)
-    rare = counts.where(F.col("n") < max(1.0, tokens * known_share))
-    return ClassModel(head, of, transition, share, known_key, known_n, rare, tokens, types, ends, discount, unseen)
+    return ClassModel(known_key, of, transition, share, known_n, rare, tokens, types, ends, discount, unseen)
+
+
+#: Class of a token whose word is not looked up in an array, until it is joined.
+_OPEN = 255
+
+
+def _closed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of every token of a batch with `classes` and `places`, the class before it, and each row's offset."""
+    classes, places = batch.column("classes"), batch.column("places")
+    offsets = np.concatenate([[0], np.cumsum(pc.binary_length(classes).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    cls = np.frombuffer(b"".join(classes.to_pylist()), np.uint8).astype(np.int64)
+    place = pc.list_flatten(places).to_numpy(zero_copy_only=False).astype(np.int64)
+    row = pc.list_parent_indices(places).to_numpy(zero_copy_only=False).astype(np.int64)
+    cls[offsets[row] + (place >> 8)] = place & 255
+    before = np.concatenate([[0], cls[:-1]])[: len(cls)]
+    return cls, before, offsets
+
+
+def class_bigrams(docs: DataFrame, head: np.ndarray, of: np.ndarray, rare: DataFrame, classes: int) -> np.ndarray:
+    """Counts of previous class and class over all tokens of column `text`; the end also stands before a text."""
+    shared = docs.sparkSession.sparkContext.broadcast((head, of))
+    names = ["row_key", "key", "classes", "pos"]
+
+    def run(batches):
+        head, of = shared.value
+        for batch, first, last, keys, firsts in _tokens(batches):
+            row_key = batch.column("row_key").slice(first, last - first)
+            cls, doc, pos, missed, data = _looked_up(keys, firsts, head, of)
+            yield pa.RecordBatch.from_arrays([row_key, _spread(row_key), data, pa.nulls(last - first, pa.int32())], names)
+            if len(missed):
+                yield pa.RecordBatch.from_arrays([pa.array(row_key.to_numpy()[doc[missed]]), pa.array(keys[missed]), pa.nulls(len(missed), pa.binary()), pa.array(pos[missed])], names)
+
+    def count(batches):
+        total = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            cls, before, _ = _closed(batch)
+            total += np.bincount(before * classes + cls, minlength=classes * classes)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+
+    parts = docs.select("text", F.monotonically_increasing_id().alias("row_key")).mapInArrow(run, "row_key long, key long, classes binary, pos int")
+    rows = parts.join(rare.select("key", "cls"), "key", "left").groupBy("row_key").agg(F.max("classes").alias("classes"), _places(F.col("cls")).alias("places"))
+    cells = rows.select("classes", "places").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    joint = np.zeros(classes * classes)
+    joint[cells["cell"].to_numpy(np.int64)] = cells["n"]
+    return joint.reshape(classes, classes)
+
+
+def _places(cls: Column) -> Column:
+    """Place and class of each open token of a group, in one number each."""
+    return F.collect_list(F.when(F.col("pos").isNotNull(), F.col("pos").cast("long") * 256 + cls))
+
+
+def _spread(row_key: pa.Array) -> pa.Array:
+    return pa.array(T.mix(row_key.to_numpy().view(np.uint64)).view(np.int64))
+
+
+def _looked_up(keys: np.ndarray, firsts: np.ndarray, head: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Class of every token of a slice, _OPEN where `head` lacks it; row and place of each word; the words `head` lacks; the classes by row."""
+    unit = _unit_rows(keys, firsts, head)
+    rows, n = len(firsts) - 1, np.diff(firsts)
+    cls = np.where(unit > len(head), _OPEN, of[unit]).astype(np.uint8)
+    doc = np.repeat(np.arange(rows), n)
+    pos = np.arange(len(keys)) - firsts[:-1][doc]
+    missed = np.flatnonzero(cls[np.arange(len(keys)) + doc] == _OPEN)
+    offsets = (firsts + np.arange(rows + 1)).astype(np.int32)
+    data = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(cls)])
+    return cls, doc, pos.astype(np.int32), missed, data
 
 
 def score(docs: DataFrame, model: ClassModel, *, base_delta: float = 0.1) -> DataFrame:
     """docs' `doc_id` and `held_out` with n_tokens, n_known, train_tokens, base_score and score, one row for each row."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((model.head, model.of, model.transition, model.share, model.known, model.known_n))
+    shared = spark.sparkContext.broadcast((model.head, model.of, model.head_n))
+    small = spark.sparkContext.broadcast((model.transition, model.share))
     base_all = float(np.log10(model.tokens + base_delta * (model.types + 1)))
     discount, ends = model.discount, model.ends
 
     docs = docs.select("doc_id", "held_out", "text", F.monotonically_increasing_id().alias("row_key"))
-    fields = [docs.schema["doc_id"].simpleString().replace("doc_id:", "doc_id "), "held_out boolean", "row_key long", "key long", "cls int", "n_tokens long", "n_known long", "base_score double", "score double"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "held_out", "row_key", "key", "classes", "pos", "n_tokens", "n_known", "base_score", "score"]
+    fields = f"doc_id {kind}, held_out boolean, row_key long, key long, classes binary, pos int, n_tokens long, n_known long, base_score double, score double"
 
     def run(batches):
-        head, of, transition, share, known, known_n = shared.value
-        known_log = np.log10(known_n - discount)
-        known_base = np.log10(known_n + base_delta) - base_all
+        head, of, head_n = shared.value
+        known_log = np.log10(head_n - discount)
+        known_base = np.log10(head_n + base_delta) - base_all
         end_base = np.log10(ends + base_delta) - base_all
         for batch, first, last, keys, firsts in _tokens(batches):
             rows, n = last - first, np.diff(firsts)
-            doc = np.repeat(np.arange(rows), n)
-            cls = of[_unit_rows(keys, firsts, head)]
-            before = np.empty_like(cls)
-            before[1:] = cls[:-1]
-            before[0] = 0
-            doc_all = np.repeat(np.arange(rows), n + 1)
-            points = np.bincount(doc_all, transition[before, cls], rows)
-            is_word = np.ones(len(cls), bool)
-            is_word[firsts[1:] + np.arange(rows)] = False
-            points -= np.bincount(doc, share[cls[is_word]], rows)
-            at = np.searchsorted(known, keys)
-            at[at == len(known)] = 0
-            hit = (known[at] == keys) if len(known) else np.zeros(len(keys), bool)
-            at = at[hit]
-            points += np.bincount(doc[hit], known_log[at], rows)
+            cls, doc, pos, missed, data = _looked_up(keys, firsts, head, of)
+            hit = np.ones(len(keys), bool)
+            hit[missed] = False
+            at = np.searchsorted(head, keys[hit])
+            points = np.bincount(doc[hit], known_log[at], rows).astype(float)
             base = np.bincount(doc[hit], known_base[at], rows) + end_base
             row_key = batch.column("row_key").slice(first, rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, rows), batch.column("held_out").slice(first, rows), row_key, pa.array(T.mix(row_key.to_numpy().view(np.uint64)).view(np.int64)), pa.nulls(rows, pa.int32()), pa.array(n + 1), pa.array(np.bincount(doc[hit], minlength=rows) + (ends > 0)), pa.array(base), pa.array(points)],
-                ["doc_id", "held_out", "row_key", "key", "cls", "n_tokens", "n_known", "base_score", "score"],
+                [batch.column("doc_id").slice(first, rows), batch.column("held_out").slice(first, rows), row_key, _spread(row_key), data, pa.nulls(rows, pa.int32()), pa.array(n + 1), pa.array(np.bincount(doc[hit], minlength=rows) + (ends > 0)), pa.array(base), pa.array(points)],
+                names,
             )
-            missed = keys[~hit]
             if len(missed):
                 blank = lambda kind, m=len(missed): pa.nulls(m, kind)
                 yield pa.RecordBatch.from_arrays(
-                    [blank(batch.schema.field("doc_id").type), blank(pa.bool_()), pa.array(row_key.to_numpy()[doc[~hit]]), pa.array(missed), pa.array(cls[is_word][~hit].astype(np.int32)), blank(pa.int64()), blank(pa.int64()), blank(pa.float64()), blank(pa.float64())],
-                    ["doc_id", "held_out", "row_key", "key", "cls", "n_tokens", "n_known", "base_score", "score"],
+                    [blank(batch.schema.field("doc_id").type), blank(pa.bool_()), pa.array(row_key.to_numpy()[doc[missed]]), pa.array(keys[missed]), blank(pa.binary()), pa.array(pos[missed]), blank(pa.int64()), blank(pa.int64()), blank(pa.float64()), blank(pa.float64())],
+                    names,
                 )
 
-    parts = docs.mapInArrow(run, ", ".join(fields))
+    def close(batches):
+        transition, share = small.value
+        for batch in batches:
+            cls, before, offsets = _closed(batch)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            worth = transition[before, cls] - share[cls]
+            worth[offsets[1:] - 1] += share[0]  # the end is the only token of its class
+            points = np.bincount(row, worth, batch.num_rows) + batch.column("score").to_numpy()
+            kept = [batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(points)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    parts = docs.mapInArrow(run, fields)
     met = parts.join(model.rare.withColumnRenamed("n", "c"), "key", "left")
     rare = F.col("n_tokens").isNull()
     c = F.coalesce(F.col("c"), F.lit(0))
-    unseen = F.element_at(F.array(*[F.lit(float(x)) for x in model.unseen]), F.col("cls") + 1)
-    return (
-        met.groupBy("row_key")
-        .agg(
-            F.max("doc_id").alias("doc_id"),
-            F.max("held_out").alias("held_out"),
-            F.max("n_tokens").alias("n_tokens"),
-            F.sum(F.when(rare, F.when(c > 0, 1).otherwise(0)).otherwise(F.col("n_known"))).cast("long").alias("n_known"),
-            F.sum(F.when(rare, F.log10(c + base_delta) - base_all).otherwise(F.col("base_score"))).alias("base_score"),
-            F.sum(F.when(rare, F.when(c > 0, F.log10(c - discount)).otherwise(unseen)).otherwise(F.col("score"))).alias("score"),
-        )
-        .select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    listed = lambda x: F.array(*[F.lit(float(v)) for v in x])
+    bucket = F.element_at(listed(model.of[1 + len(model.head) :]), (F.col("key").bitwiseAND(SUFFIX_UNITS - 1) + 1).cast("int")).cast("int")
+    cls = F.coalesce(F.col("cls"), bucket)
+    unseen = F.element_at(listed(model.unseen), cls + 1)
+    rows = met.groupBy("row_key").agg(
+        F.max("doc_id").alias("doc_id"),
+        F.max("held_out").alias("held_out"),
+        F.max("classes").alias("classes"),
+        _places(cls).alias("places"),
+        F.max("n_tokens").alias("n_tokens"),
+        F.sum(F.when(rare, F.when(c > 0, 1).otherwise(0)).otherwise(F.col("n_known"))).cast("long").alias("n_known"),
+        F.sum(F.when(rare, F.log10(c + base_delta) - base_all).otherwise(F.col("base_score"))).alias("base_score"),
+        F.sum(F.when(rare, F.when(c > 0, F.log10(c - discount)).otherwise(unseen)).otherwise(F.col("score"))).alias("score"),
     )
+    scored = rows.drop("row_key").mapInArrow(close, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")

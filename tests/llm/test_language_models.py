@@ -119,3 +119,22 @@ def test_held_out_languages(spark, sf_dir):
     r = queries.op3_language_id(spark, sf_dir).where("held_out").join(truth, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()
     assert r[0] > 0.95
     assert bucket_of(F.lit(None), 4) is not None
+
+
+def test_rare_words_are_clustered(spark):
+    """Words of two kinds that alternate, none frequent enough for a unit: the buckets alone cannot tell the kinds apart."""
+    r = np.random.default_rng(2)
+    kinds = [[f"q{i}{'xyz'[i % 3]}e" for i in range(300)], [f"q{i}{'xyz'[i % 3]}e" for i in range(300, 600)]]
+    text = [" ".join(f"{'the' if k % 2 else 'of'} {kinds[k % 2][r.integers(300)]}" for k in range(200)) for _ in range(60)]
+    docs = spark.createDataFrame([(t,) for t in text], "text string")
+    for known in (1e-6, 1e-2):  # looked up, and joined
+        m = class_lm.train(docs, classes=6, head_share=0.01, known_share=known)
+        of = {r["key"]: r["cls"] for r in m.rare.collect()} | dict(zip(m.head.tolist(), m.of[1 : 1 + len(m.head)].tolist()))
+        found = []
+        for words in kinds:
+            data = " ".join(words).encode()
+            ends = np.flatnonzero(np.frombuffer(data + b" ", np.uint8) == 32)
+            keys = class_lm.word_keys(np.frombuffer(data, np.uint8), np.concatenate([[0], ends[:-1] + 1]), ends)
+            found.append({of[k] for k in keys.tolist()})
+        assert not found[0] & found[1]
+        assert (10**m.transition).sum(1).round(9).tolist() == [1.0] * 6
