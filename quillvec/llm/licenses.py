@@ -1,11 +1,14 @@
 """Licence scan with a trained paragraph classifier, in DataFrame functions only.
 
-A paragraph is a line of a text.  Words and runs of two and three words are its features; a sparse logistic
+A paragraph is a line of a text, or some lines in a row without one between them that has no words: notices are often
+wrapped.  Lines are joined from each line on as far as a notice that begins in it can reach, the first and the last with their
+nearest `LONGEST` words, without what stands before and after words, such as comment signs.  Words and runs of two and three words are its features; a sparse logistic
 regression gives each licence family, and `unknown`, a probability.  The regression is fitted on a bounded sample made
 by rule from templates of licence notices (words dropped, words of other prose around them) and from prose that speaks of licences
 and permissions otherwise.  A temperature, fitted on a part of the sample that training did not see, calibrates the
 probabilities.  A family is reported where its probability is at least `least` and the paragraph also
-contains `confirm` of the word pairs of one of the family's templates.
+contains `confirm` of the word pairs of one of the family's templates.  Of findings of one family that overlap, the one of fewest
+lines stands, then the first.
 
 Every template has one of the anchor words, and a paragraph without any is unknown; that spares most texts the work.
 
@@ -89,6 +92,10 @@ All rights and duties of members are listed in the charter
 """.strip().split("\n")
 _FILLER = "the of and to in a is that for it was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
 ANCHOR = r"(?i)licen[cs]e|copyright|permission|warrant|redistribut|public domain|general public|rights reserved"
+#: The same over line ends and comment signs.
+_WRAPPED_ANCHOR = ANCHOR.replace(" ", r"[^\p{L}\p{N}]+")
+#: Words of the longest template.
+LONGEST = max(len(re.findall("[a-z0-9]+", t.lower())) for ts in TEMPLATES.values() for t in ts)
 UNKNOWN = "unknown"
 FAMILIES = [UNKNOWN, *TEMPLATES]
 _BUCKETS = 1 << 15
@@ -192,25 +199,37 @@ def _template_pairs() -> Column:
 def find_licences(docs: DataFrame, model: LicenceModel, *, text: str = "text", found: str = "licences", least: float = 0.5, confirm: float = 0.6) -> DataFrame:
     """docs with the declared licences of each text: an array of (start, end, family, p) in order; code points, end exclusive."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    empty = F.array().cast("array<struct<start:int,end:int,paragraph:string>>")
-    step = lambda acc, x: F.struct(
-        (acc["at"] + F.length(x) + 1).alias("at"),
-        F.when(x.rlike(ANCHOR), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(x)).alias("end"), x.alias("paragraph"))))).otherwise(acc["out"]).alias("out"),
-    )
-    candidates = F.aggregate(F.split(whole, "\n", -1), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
+    kind = "start:int,end:int,lines:int,paragraph:string"
+    empty, none = F.array().cast(f"array<struct<{kind}>>"), F.array().cast(f"array<struct<{kind},after:int,words:array<string>>>")
+
+    def window(start, end, lines, paragraph, after, words) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"), lines.alias("lines"), paragraph.alias("paragraph"), after.alias("after"), words.alias("words"))
+
+    def step(acc: Column, line: Column) -> Column:
+        size, end = F.size(line["words"]), acc["at"] + F.length(line["text"])
+        longer = F.transform(F.filter(acc["open"], lambda w: w["after"] < LONGEST), lambda w: window(w["start"], end, w["lines"] + 1, F.lit(""), w["after"] + size, F.concat(w["words"], F.slice(line["words"], 1, LONGEST))))
+        own = window(acc["at"], end, F.lit(1), line["text"], F.lit(0), F.slice(line["words"], F.greatest(F.lit(1), size - LONGEST + 1), LONGEST))
+        shown = F.transform(acc["open"], lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["lines"].alias("lines"), F.when(w["lines"] == 1, w["paragraph"]).otherwise(F.array_join(w["words"], " ")).alias("paragraph")))
+        return F.struct((end + 1).alias("at"), F.when(size > 0, F.concat(longer, F.array(own))).otherwise(none).alias("open"), F.concat(acc["out"], F.filter(shown, lambda w: w["paragraph"].rlike(_WRAPPED_ANCHOR))).alias("out"))
+
+    lines = F.transform(F.split(F.concat(whole, F.lit("\n")), "\n", -1), lambda x: F.struct(x.alias("text"), F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words")))
+    candidates = F.aggregate(lines, F.struct(F.lit(0).alias("at"), none.alias("open"), empty.alias("out")), step)["out"]
     place, templates = constant_doubles(model.place).cast("array<int>"), _template_pairs()
     names = F.array(*map(F.lit, FAMILIES))
 
     def read(c: Column) -> Column:
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), grams(c["paragraph"]).alias("grams"))
+        return F.struct(c["lines"].alias("lines"), c["start"].alias("start"), c["end"].alias("end"), grams(c["paragraph"]).alias("grams"))
 
     def judged(c: Column) -> Column:
         used = F.filter(F.transform(_buckets(c["grams"]), lambda b: F.get(place, b)), lambda p: p > 0)
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), c["grams"].alias("grams"), _judge(used, model).alias("j"))
+        return F.struct(c["lines"].alias("lines"), c["start"].alias("start"), c["end"].alias("end"), c["grams"].alias("grams"), _judge(used, model).alias("j"))
 
     def confirmed(c: Column) -> Column:
         return F.exists(F.get(templates, c["j"]["rank"]), lambda t: F.size(F.array_intersect(c["grams"], t)) >= confirm * F.size(t))
 
-    kept = F.filter(F.transform(F.transform(F.when(whole.rlike(ANCHOR), candidates).otherwise(empty), read), judged), lambda c: (c["j"]["rank"] > 0) & (c["j"]["p"] >= least) & confirmed(c))
-    named = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.get(names, c["j"]["rank"]).alias("family"), c["j"]["p"].alias("p")))
-    return docs.withColumn(found, named)
+    kept = F.filter(F.transform(F.transform(F.when(whole.rlike(_WRAPPED_ANCHOR), candidates).otherwise(empty), read), judged), lambda c: (c["j"]["rank"] > 0) & (c["j"]["p"] >= least) & confirmed(c))
+    ordered = F.array_sort(F.transform(kept, lambda c: F.struct(c["lines"].alias("lines"), c["start"].alias("start"), c["end"].alias("end"), c["j"].alias("j"))))
+    apart = lambda c, k: (k["j"]["rank"] != c["j"]["rank"]) | (k["end"] <= c["start"]) | (c["end"] <= k["start"])
+    first = F.aggregate(ordered, F.filter(ordered, lambda c: F.lit(False)), lambda acc, c: F.when(F.forall(acc, lambda k: apart(c, k)), F.concat(acc, F.array(c))).otherwise(acc))
+    named = F.transform(first, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.get(names, c["j"]["rank"]).alias("family"), c["j"]["p"].alias("p")))
+    return docs.withColumn(found, F.array_sort(named))

@@ -113,6 +113,22 @@ def test_licences(spark):
     assert licenses.find_licences(documents(spark, []), model).count() == 0
 
 
+def test_wrapped_licences(spark):
+    model = licenses.train(licenses.labelled_samples(spark))
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above"
+    gpl = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights"
+    split = "Some words.\nThe court discussed copyright and patents\n\nat length on Monday.\nShe gave him permission\nto leave the table."
+    narrow = bsd.replace(" ", "\n")
+    rows = []
+    for i, (notice, family) in enumerate([(bsd, ["BSD"]), (isc, ["ISC"]), (gpl, ["GPL"]), (mit, ["MIT"]), (split, []), (narrow, ["BSD"]), (f"{bsd}\n\n{gpl}", ["BSD", "GPL"])]):
+        rows += [(4 * i, notice, family), (4 * i + 1, "/*\n * " + notice.replace("\n", "\n * ") + "\n */\nint x;", family), (4 * i + 2, "A tool for lists.\n\n# " + notice.replace("\n", "\n# ") + "\n\nEnd.", family)]
+    want = {i: family for i, _, family in rows}
+    for r in licenses.find_licences(documents(spark, [(i, t) for i, t, _ in rows]), model).collect():
+        assert [s["family"] for s in r["licences"]] == want[r["doc_id"]], (r["text"], r["licences"])
+
+
 # ---- quality
 
 
