@@ -1,6 +1,8 @@
 """The vector queries of the driver contract, each with the SQL that gives the same rows where there is one.
 
-Fixed inputs, derived from table `embeddings`: queries are the vectors with the first ids; `scaled` vectors are
+Inputs, derived from table `embeddings`: a query whose SQL names ids is held to them by it, and a query of the same name
+with `_all` and without SQL takes all rows.  Of searches without SQL, or with SQL that names no ids, and of those of `_all`,
+the queries are the vectors whose id is divisible by 50.  `scaled` vectors are
 multiplied by 1 + id % 3, so that metrics rank differently; labels are (label, id % 100).
 """
 
@@ -42,8 +44,13 @@ def vectors(spark: SparkSession, sf_dir: str, scaled: bool = False) -> DataFrame
     return df.select(F.col("vec_id").alias("id"), v.alias("embedding"), "label", F.array(F.col("label").cast("long"), F.col("vec_id") % 100).alias("labels"))
 
 
-def queries_of(data: DataFrame, n: int) -> DataFrame:
-    return data.where(F.col("id") < n).select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
+#: The query set of searches: every 50th id.
+EVERY_50TH = None
+
+
+def queries_of(data: DataFrame, n: int | None) -> DataFrame:
+    """The vectors with ids under n; those of EVERY_50TH."""
+    return data.where(F.col("id") % 50 == 0 if n is EVERY_50TH else F.col("id") < n).select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
 
 
 def workspace(spark: SparkSession) -> str:
@@ -78,7 +85,7 @@ def knn_sql(n: int, k: int, metric: str = "l2", source: str = V, where: str = "t
         FROM {source} q, {source} d WHERE q.id < {n} AND {where}) WHERE rank <= {k}"""
 
 
-def knn_query(n: int, k: int, metric: str = "l2", scaled: bool = False, where=None) -> Callable[[SparkSession, str], DataFrame]:
+def knn_query(n: int | None, k: int, metric: str = "l2", scaled: bool = False, where=None) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark, sf_dir):
         data = vectors(spark, sf_dir, scaled)
         return knn.exact_knn(queries_of(data, n), data, k, metric, where).select("qid", "id", "rank", r4("dist"))
@@ -90,24 +97,37 @@ def knn_query(n: int, k: int, metric: str = "l2", scaled: bool = False, where=No
 
 for _m in ("l2sq", "l2", "dot", "cosine", "l1", "hamming"):
 
-    def _pairs(spark, sf_dir, m=_m):
-        a = vectors(spark, sf_dir, True).where("id < 100").select("id", "embedding")
+    def _pairs(spark, sf_dir, m=_m, rows="id < 100"):
+        a = vectors(spark, sf_dir, True).where(rows).select("id", "embedding")
         b = a.select((F.col("id") - 1).alias("id"), F.col("embedding").alias("other"))
         return a.join(b, "id").select("id", D.metric(m).column(F.col("embedding"), F.col("other")).alias("dist")).select("id", r4("dist"))
 
     _add(f"vec_{_m}_pairs", _pairs, f"SELECT a.id AS id, round({dist_sql(_m, 'a.e', 'b.e')}, 4) + 0.0 AS dist FROM {S} a JOIN {S} b ON b.id = a.id + 1 WHERE b.id < 100")
+    _add(f"vec_{_m}_pairs_all", lambda s, d, f=_pairs: f(s, d, rows="true"))
 
 _add("vec_norm", lambda s, d: vectors(s, d, True).select("id", F.sqrt(D.squared_norm("embedding")).alias("norm")).select("id", r4("norm")), f"SELECT id, round(sqrt(list_inner_product(e, e)), 4) + 0.0 AS norm FROM {S}")
+
+
+def _normalized(spark, sf_dir, rows="true"):
+    return vectors(spark, sf_dir, True).where(rows).select("id", F.posexplode(D.normalize("embedding")).alias("pos", "x")).select("id", "pos", r4("x"))
+
+
+def _from_zero(spark, sf_dir, rows="true"):
+    return vectors(spark, sf_dir).where(rows).select("id", D.cosine_distance("embedding", F.array_repeat(F.lit(0.0), 64)).alias("dist"))
+
+
 _add(
     "vec_normalize",
-    lambda s, d: vectors(s, d, True).where("id < 50").select("id", F.posexplode(D.normalize("embedding")).alias("pos", "x")).select("id", "pos", r4("x")),
+    lambda s, d: _normalized(s, d, "id < 50"),
     f"SELECT id, CAST(pos - 1 AS INTEGER) AS pos, round(e[pos] / sqrt(list_inner_product(e, e)), 4) + 0.0 AS x FROM {S}, range(1, 65) t(pos) WHERE id < 50",
 )
 _add(
     "vec_cosine_zero_norm",
-    lambda s, d: vectors(s, d).where("id < 20").select("id", D.cosine_distance("embedding", F.array_repeat(F.lit(0.0), 64)).alias("dist")),
+    lambda s, d: _from_zero(s, d, "id < 20"),
     f"SELECT id, CASE WHEN true THEN CAST(1.0 AS DOUBLE) END AS dist FROM {V} WHERE id < 20",
 )
+_add("vec_normalize_all", _normalized)
+_add("vec_cosine_zero_norm_all", _from_zero)
 _add(
     "id_helpers",
     lambda s, d: vectors(s, d).select(F.when(F.col("id") < 400, F.col("id")).otherwise(F.col("id") - 400 + D.DELTA_ID_OFFSET).alias("id")).select("id", D.is_delta_id("id").alias("is_delta"), F.when(D.is_delta_id("id"), D.delta_local_index("id")).alias("local")),
@@ -119,6 +139,8 @@ _add(
 for _m in ("l2", "l2sq", "dot", "cosine", "l1"):
     _add(f"knn_exact_{_m}", knn_query(10, 10, _m), knn_sql(10, 10, _m))
     _add(f"knn_scaled_{_m}", knn_query(20, 10, _m, True), knn_sql(20, 10, _m, S))
+    _add(f"knn_exact_{_m}_all", knn_query(EVERY_50TH, 10, _m))
+    _add(f"knn_scaled_{_m}_all", knn_query(EVERY_50TH, 10, _m, True))
 _add("knn_single_query", knn_query(1, 5), knn_sql(1, 5))
 _add("knn_k_exceeds_n", lambda s, d: knn.exact_knn(queries_of(vectors(s, d), 3), vectors(s, d).where("id < 5"), 10).select("qid", "id", "rank", r4("dist")), knn_sql(3, 10, where="d.id < 5"))
 _add("knn_batch_all", lambda s, d: knn.exact_knn(queries_of(vectors(s, d), 1 << 40), vectors(s, d), 3).select("qid", "id", "rank", r4("dist")), knn_sql(1 << 40, 3))
@@ -154,6 +176,7 @@ for _n, (_f, _sql) in _FILTERS.items():
 for _n in ("eq", "range", "and", "or", "missing_field", "none"):
     _f, _sql = _FILTERS[_n]
     _add("knn_filtered_no_match" if _n == "missing_field" else f"knn_filtered_{_n}", knn_query(20, 10, where=_f), knn_sql(20, 10, where=_sql.replace("label", "d.label").replace("id %", "d.id %")))
+    _add("knn_filtered_no_match_all" if _n == "missing_field" else f"knn_filtered_{_n}_all", knn_query(EVERY_50TH, 10, where=_f))
 _add("count_matching", lambda s, d: vectors(s, d).where(_FILTERS["and"][0].column()).agg(F.count("*").alias("n")), f"SELECT count(*) AS n FROM {V} WHERE {_FILTERS['and'][1]}")
 _add("label_lookup", lambda s, d: vectors(s, d).where("id = 42").select("id", F.posexplode("labels").alias("field", "value")), "SELECT vec_id AS id, CAST(f AS INTEGER) AS field, CASE f WHEN 0 THEN CAST(label AS BIGINT) ELSE vec_id % 100 END AS value FROM embeddings, range(2) t(f) WHERE vec_id = 42")
 
@@ -202,7 +225,15 @@ def _edges(spark, sf_dir, n=60, k=5):
     return g.nearest_candidates(hits.where("qid <> id").select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist"))
 
 
+#: More than any id.
+_ALL_ROWS = 1 << 40
 _EDGES = f"SELECT qid AS src, id AS dst, dist FROM ({knn_sql(60, 6, columns='qid, id, rank, dist')}) WHERE qid <> id"
+
+
+def _padded(spark, sf_dir, n=60):
+    return _edges(spark, sf_dir, n).groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("n")).select("src", F.posexplode(g.padded("n", 8)).alias("pos", "dst"))
+
+
 _add("knn_graph", lambda s, d: _edges(s, d).select("src", "dst", r4("dist")), f"SELECT src, dst, round(dist, 4) + 0.0 AS dist FROM ({_EDGES})")
 _SYM = f"SELECT src, dst FROM ({_EDGES}) UNION SELECT dst, src FROM ({_EDGES})"
 _add("graph_symmetrize", lambda s, d: g.symmetrize(_edges(s, d)), _SYM)
@@ -211,15 +242,22 @@ _add("graph_in_degree", lambda s, d: g.in_degree(_edges(s, d), vectors(s, d).sel
 _add("graph_csr_offsets", lambda s, d: g.csr_offsets(g.in_degree(_edges(s, d), vectors(s, d).select("id"))), f"SELECT id, CAST(coalesce(sum(n) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM ({_DEG})")
 _add(
     "graph_pad",
-    lambda s, d: _edges(s, d).groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("n")).select("src", F.posexplode(g.padded("n", 8)).alias("pos", "dst")),
+    _padded,
     f"SELECT src, CAST(pos AS INTEGER) AS pos, coalesce(n[pos + 1], 4294967295) AS dst FROM (SELECT src, list(dst ORDER BY dst) AS n FROM ({_EDGES}) GROUP BY src), range(8) t(pos)",
 )
 
 
-def _prune(alpha, fill, rule):
+_add("knn_graph_all", lambda s, d: _edges(s, d, _ALL_ROWS).select("src", "dst", r4("dist")))
+_add("graph_symmetrize_all", lambda s, d: g.symmetrize(_edges(s, d, _ALL_ROWS)))
+_add("graph_in_degree_all", lambda s, d: g.in_degree(_edges(s, d, _ALL_ROWS), vectors(s, d).select("id")))
+_add("graph_csr_offsets_all", lambda s, d: g.csr_offsets(g.in_degree(_edges(s, d, _ALL_ROWS), vectors(s, d).select("id"))))
+_add("graph_pad_all", lambda s, d: _padded(s, d, _ALL_ROWS))
+
+
+def _prune(alpha, fill, rule, n=40):
     def run(spark, sf_dir):
         data = vectors(spark, sf_dir)
-        pool = knn.exact_knn(queries_of(data, 40), data, 17).where("qid <> id").select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")
+        pool = knn.exact_knn(queries_of(data, n), data, 17).where("qid <> id").select(F.col("qid").alias("src"), F.col("id").alias("dst"), "dist")
         pool = pool.join(data.select(F.col("id").alias("dst"), "embedding"), "dst")
         return g.alpha_prune(pool, 6, alpha, fill=fill, rule=rule).select("src", F.posexplode("neighbors").alias("pos", "dst"))
 
@@ -239,6 +277,7 @@ def _prune_sql(alpha, fill, rule):
 
 for _n, _a in {"alpha_prune": (1.2, False, "vamana"), "alpha_prune_fill": (1.2, True, "vamana"), "alpha_prune_strict": (1.2, False, "strict"), "alpha_prune_strict_fill": (1.2, True, "strict")}.items():
     _add(_n, _prune(*_a), _prune_sql(*_a))
+    _add(f"{_n}_all", _prune(*_a, _ALL_ROWS))
 
 # ---- built graphs: rows only, as a graph depends on its random links
 
@@ -252,13 +291,13 @@ _add("index_metadata", lambda s, d: _index(s, d).metadata().select("dim", "num_v
 _add("index_get_vector", lambda s, d: _index(s, d).vector(7).select("id", F.posexplode("embedding").alias("pos", "x")).select("id", "pos", F.round(F.col("x").cast("double"), 5).alias("x")), f"SELECT id, CAST(pos - 1 AS INTEGER) AS pos, round(e[pos], 5) AS x FROM {V}, range(1, 65) t(pos) WHERE id = 7")
 _add("index_get_neighbors", lambda s, d: _index(s, d).neighbors(7))
 _add("vamana_build_stats", lambda s, d: _index(s, d).nodes.agg(F.count("*").alias("n"), F.max(F.size("neighbors")).alias("max_degree"), F.sum(F.array_contains("neighbors", F.col("id")).cast("int")).cast("long").alias("loops")), "SELECT count(*) AS n, CAST(16 AS INTEGER) AS max_degree, CAST(0 AS BIGINT) AS loops FROM embeddings")
-_add("beam_search", lambda s, d: ix.search(_index(s, d), queries_of(vectors(s, d), 20), 10, 64, mode="graph"))
-_add("beam_search_filtered", lambda s, d: ix.search(_index(s, d), queries_of(vectors(s, d), 20), 10, 64, fl.Equal("label", 3), mode="graph"))
+_add("beam_search", lambda s, d: ix.search(_index(s, d), queries_of(vectors(s, d), EVERY_50TH), 10, 64, mode="graph"))
+_add("beam_search_filtered", lambda s, d: ix.search(_index(s, d), queries_of(vectors(s, d), EVERY_50TH), 10, 64, fl.Equal("label", 3), mode="graph"))
 
 
 def _graph_recall(spark, sf_dir):
     data = vectors(spark, sf_dir)
-    q = queries_of(data, 50)
+    q = queries_of(data, EVERY_50TH)
     found = ix.search(_index(spark, sf_dir), q, 10, 64, mode="graph")
     return ev.recall_by_ids(found, knn.exact_knn(q, data, 10), 10).select((F.col("recall") >= 0.9).alias("at_least_90_percent"))
 
@@ -282,12 +321,13 @@ _DEAD = "((id < 400 AND id % 7 = 0) OR id = 281474976710659)"
 _LIVE = f"(SELECT * FROM {_ALL} WHERE NOT {_DEAD})"
 
 
-def _merged(spark, sf_dir):
+def _merged(spark, sf_dir, n=20):
     base, delta, dead = _parts(spark, sf_dir)
-    return inc.merged_search(queries_of(vectors(spark, sf_dir), 20), base, delta, dead, 10).select("qid", "id", "rank", r4("dist"))
+    return inc.merged_search(queries_of(vectors(spark, sf_dir), n), base, delta, dead, 10).select("qid", "id", "rank", r4("dist"))
 
 
 _add("incr_search_merged", _merged, knn_sql(20, 10).replace(f"{V} d", f"{_LIVE} d"))
+_add("incr_search_merged_all", lambda s, d: _merged(s, d, EVERY_50TH))
 _add("incr_add_search", lambda s, d: inc.merged_search(queries_of(vectors(s, d), 20), *_parts(s, d)[:2], _parts(s, d)[2].limit(0), 10).select("qid", "id", "rank", r4("dist")), knn_sql(20, 10).replace(f"{V} d", f"{_ALL} d"))
 _add("incr_add_ids", lambda s, d: inc.assign_delta_ids(vectors(s, d).where("id >= 400").select(F.col("id").alias("old_id"), "embedding"), 0, "old_id").select("old_id", "id"), "SELECT vec_id AS old_id, vec_id - 400 + 281474976710656 AS id FROM embeddings WHERE vec_id >= 400")
 _add("incr_stats", lambda s, d: inc.stats(*_parts(s, d)), f"SELECT count(*) FILTER (WHERE id < 400) AS base, count(*) FILTER (WHERE id >= 400) AS delta, count(*) FILTER (WHERE {_DEAD}) AS tombstones, count(*) FILTER (WHERE NOT {_DEAD}) AS live FROM {_ALL}")
@@ -335,6 +375,7 @@ _PQ = f"""WITH s AS (SELECT id, CAST(m AS INTEGER) AS m, e[m * 8 + 1 : m * 8 + 8
 _add("pq_codebook", lambda s, d: pq.codebook(s, _quantizer(s, d)).select("m", "k", F.posexplode("centroid").alias("pos", "x")).select("m", "k", "pos", r4("x")), _PQ + "SELECT m, k, pos, round(x, 4) + 0.0 AS x FROM cell")
 _add("pq_encode", lambda s, d: _coded(s, d)[0].select("id", F.posexplode("codes").alias("m", "k")).select("id", "m", F.col("k").cast("int")), _PQ + "SELECT id, m, k FROM code")
 _add("pq_decode", lambda s, d: pq.decode(*_coded(s, d)).where("id < 50").select("id", F.posexplode("decoded").alias("pos", "x")).select("id", "pos", r4("x")), _PQ + "SELECT id, CAST(m * 8 + pos AS INTEGER) AS pos, round(v[pos + 1], 4) + 0.0 AS x FROM dec, range(8) t(pos) WHERE id < 50")
+_add("pq_decode_all", lambda s, d: pq.decode(*_coded(s, d)).select("id", F.posexplode("decoded").alias("pos", "x")).select("id", "pos", r4("x")))
 _add("pq_reconstruction_error", lambda s, d: pq.decode(*_coded(s, d)).select("id", D.l2_squared("embedding", "decoded").alias("error")).select("id", r4("error")), _PQ + "SELECT s.id, round(sum(list_distance(s.v, dec.v) ** 2), 4) + 0.0 AS error FROM s JOIN dec ON dec.id = s.id AND dec.m = s.m GROUP BY s.id")
 _add("pq_distance_table", lambda s, d: pq.distance_table(queries_of(vectors(s, d), 5), _quantizer(s, d)).select("qid", F.posexplode("table").alias("pos", "x")).select("qid", "pos", r4("x")), _PQ + "SELECT s.id AS qid, CAST(s.m * 8 + k AS INTEGER) AS pos, round(list_distance(s.v, book.v) ** 2, 4) + 0.0 AS x FROM s JOIN book ON book.m = s.m WHERE s.id < 5")
 _ADC = "SELECT s.id AS qid, dec.id AS id, sum(list_distance(s.v, dec.v) ** 2) AS dist FROM s JOIN dec ON dec.m = s.m WHERE s.id < 10 GROUP BY s.id, dec.id"
@@ -350,13 +391,15 @@ def _table_column(spark, sf_dir):
 _add("pq_table_distance", _table_column, _PQ + f"SELECT qid, id, round(dist, 4) + 0.0 AS dist FROM ({_ADC})")
 _add("pq_adc_topk", lambda s, d: pq.adc_top_k(queries_of(vectors(s, d), 10), *_coded(s, d), 10).select("qid", "rank", r4("dist")), _PQ + f"SELECT qid, CAST(r AS INTEGER) AS rank, round(dist, 4) + 0.0 AS dist FROM (SELECT qid, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS r FROM ({_ADC})) WHERE r <= 10")
 _add("pq_adc_rerank", lambda s, d: (lambda c, q: pq.adc_rerank(queries_of(vectors(s, d), 10), c, vectors(s, d), q, 3, 100000, "l2").select("qid", "id", "rank", r4("dist")))(*_coded(s, d)), knn_sql(10, 3))
+_add("pq_adc_topk_all", lambda s, d: pq.adc_top_k(queries_of(vectors(s, d), EVERY_50TH), *_coded(s, d), 10).select("qid", "rank", r4("dist")))
+_add("pq_adc_rerank_all", lambda s, d: (lambda c, q: pq.adc_rerank(queries_of(vectors(s, d), EVERY_50TH), c, vectors(s, d), q, 3, 100000, "l2").select("qid", "id", "rank", r4("dist")))(*_coded(s, d)))
 _add("pq_stats", lambda s, d: pq.stats(s, _quantizer(s, d)), "SELECT CAST(64 AS INTEGER) AS dim, CAST(8 AS INTEGER) AS subspaces, CAST(8 AS INTEGER) AS centroids, CAST(8 AS INTEGER) AS subspace_dim, CAST(8 AS INTEGER) AS code_bytes, CAST(2048 AS BIGINT) AS codebook_bytes, CAST(32.0 AS DOUBLE) AS ratio")
 
 
 def _pq_recall(spark, sf_dir):
     data = vectors(spark, sf_dir)
     q = pq.train(data, pq.PQConfig(8, 64, 5, 0))
-    coded, asked = pq.encode(data.select("id", "embedding"), q), queries_of(data, 50)
+    coded, asked = pq.encode(data.select("id", "embedding"), q), queries_of(data, EVERY_50TH)
     found = pq.adc_rerank(asked, coded, data, q, 10, 100)
     return ev.recall_by_ids(found, knn.exact_knn(asked, data, 10, "l2sq"), 10).select((F.col("recall") >= 0.5).alias("at_least_half"))
 

@@ -172,3 +172,29 @@ def test_delta_only_and_empty_compaction(spark, tmp_path):
     index.delete(index.delta.select("id"))
     with pytest.raises(VectorError):
         index.compact()
+
+
+def test_queries_over_all_rows(spark, sf_dir):
+    """The queries that no SQL holds to some ids, against brute force over every row."""
+    from quillvec import queries as Q
+
+    run = lambda name: [tuple(r) for r in Q.QUERIES[name](spark, sf_dir).collect()]
+    rows = Q.vectors(spark, sf_dir).select("id", "embedding").orderBy("id").collect()
+    ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+    scaled = (v * (1 + ids[:, None] % 3)).astype(np.float32).astype(np.float64)
+    got = dict(run("vec_l2_pairs_all"))
+    assert sorted(got) == ids[:-1].tolist() and np.allclose([got[i] for i in ids[:-1].tolist()], np.linalg.norm(scaled[1:] - scaled[:-1], axis=1), atol=1e-3)
+    assert {r[0] for r in run("vec_normalize_all")} == {r[0] for r in run("vec_cosine_zero_norm_all")} == {r[0] for r in run("pq_decode_all")} == set(ids.tolist())
+    dist = np.linalg.norm(v[:, None] - v[None], axis=2)
+    near = [[(round(dist[i, j], 9), j) for j in range(len(ids)) if j != i] for i in range(len(ids))]
+    edges = {(i, j) for i in range(len(ids)) for _, j in sorted(near[i])[:5]}
+    assert {(a, b) for a, b, _ in run("knn_graph_all")} == edges
+    assert {tuple(x) for x in run("graph_symmetrize_all")} == edges | {(b, a) for a, b in edges}
+    into = np.bincount([b for _, b in edges], minlength=len(ids))
+    assert dict(run("graph_in_degree_all")) == dict(enumerate(into.tolist()))
+    assert dict(run("graph_csr_offsets_all")) == dict(enumerate((np.cumsum(into) - into).tolist()))
+    assert len(run("graph_pad_all")) == 8 * len(ids) and {r[0] for r in run("alpha_prune_all")} == set(ids.tolist())
+    asked = ids[ids % 50 == 0].tolist()
+    want = {(i, j) for i in asked for _, j in sorted((round(dist[i, j], 9), j) for j in range(len(ids)))[:10]}
+    assert {(a, b) for a, b, *_ in run("knn_exact_l2_all")} == want
+    assert {r[0] for r in run("beam_search")} == {r[0] for r in run("pq_adc_topk_all")} == set(asked)
