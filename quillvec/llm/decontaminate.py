@@ -9,8 +9,8 @@ extends over all its words; overlapping hits merge.
 A benchmark item with fewer words than `window`, but not none, is one window; such windows are sought by the hash of
 all their words, for each length that occurs (fewer than `window`).
 
-Defined results: null and wordless texts have no words and no hits; items with a null id are left
-out; rows with one item id count as one item with the windows of all; rows with repeated document ids are
+Defined results: null and wordless texts have no words and no hits; items with a null id
+hit like others and count as one item, whose id is left out of the list; rows with one item id count as one item with the windows of all; rows with repeated document ids are
 separate rows; an empty benchmark hits nothing.
 """
 
@@ -71,11 +71,11 @@ def benchmark_windows(benchmark: DataFrame, *, window: int = 10, gram: int = 5)
             yield pa.RecordBatch.from_arrays([pa.array(items, batch.schema.field("item_id").type), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array(spots, pa.int32())], ["item_id", "phrase", "size", "spot"])
 
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return benchmark.where("item_id is not null").select("item_id", "text").mapInArrow(run, f"item_id {kind}, phrase string, size int, spot int").distinct()
+    return benchmark.select("item_id", "text").mapInArrow(run, f"item_id {kind}, phrase string, size int, spot int").distinct()
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, gram: int = 5) -> DataFrame:
-    """doc_id, n_words, n_hit and items (sorted item ids as strings) of each row of docs."""
+    """doc_id, n_words, n_hit, n_items and items (sorted item ids as strings, without the null one) of each row of docs."""
     spark = docs.sparkSession
     windows = materialize(benchmark_windows(benchmark, window=window, gram=gram), "bench-windows")
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # window of them at most
@@ -116,6 +116,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, gram: i
     runs = hits.select("row_key", "first", (F.col("first") + F.col("size")).alias("end"), F.coalesce(last, F.lit(0)).alias("last"))
     covered = runs.groupBy("row_key").agg(F.sum(F.greatest(F.lit(0), F.col("end") - F.greatest("first", "last"))).alias("n_hit"))
     items = met.select("row_key", "phrase").distinct().join(windows.select("phrase", F.col("item_id").cast("string").alias("item")), "phrase").select("row_key", "item").distinct()
-    items = items.groupBy("row_key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    items = items.groupBy("row_key").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item")).alias("items"))
     out = parts.where("first is null").select("doc_id", "row_key", "n_words").join(covered, "row_key", "left").join(items, "row_key", "left")
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))

@@ -52,6 +52,20 @@ def test_decontamination_sql(spark, sf_dir):
         assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in queries.op6_decontaminate(spark, sf_dir).collect())
 
 
+def test_items_without_an_id(spark, tmp_path):
+    """As the SQL has it: their windows hit, and they are one item without a name in the digest."""
+    other = "ten other words that stand in no text of the first item at all"
+    spark.createDataFrame([(1, PROSE), (2, other), (3, f"{PROSE} {other}"), (4, "nothing")], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, PROSE), (None, other), (None, "nothing of this sort")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = con.execute(queries.ORACLE_SQL["op6_decontaminate"]).fetchall()
+    got = [tuple(r) for r in queries.op6_decontaminate(spark, str(tmp_path)).collect()]
+    assert sorted(map(str, want)) == sorted(map(str, got))
+    assert {r[0] for r in got if r[-1]} == {1, 2, 3} and {r[0]: r[3] for r in got} == {1: 1, 2: 1, 3: 2, 4: 0}
+
+
 # ---- secrets
 
 BASE = [(k, re.compile(p, re.A), g, m) for k, p, g, m in secrets.BASE]
