@@ -1,12 +1,12 @@
 """Byte-level BPE over Arrow batches with the tokenizers library, and back.
 
 The vocabulary is a file of ranks.  The library works on characters, so each byte
-is mapped to a printable character and back by the byte table below.  Every way to form a token from two others becomes a
+is mapped to a printable character by the byte table below.  Every way to form a token from two others becomes a
 merge, in the order of the ranks, so that merges happen as by rank alone.
 
 `encode` also gives the character at which each token starts; a token that starts inside a character
-has that character's place.  `decode` reverses the byte table; bytes of a character may be split over tokens
-and meet again in the result.
+has that character's place.  `decode` joins the bytes that the file of ranks has for each id, without the byte table; bytes of a
+character may be split over tokens and meet again in the result.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; ids that the vocabulary lacks, or a null among ids, give
 null bytes; null ids are null bytes.
