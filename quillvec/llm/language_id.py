@@ -6,8 +6,8 @@ Pieces never cross words, so words are scored once per task and remembered.  Tra
 expectation maximisation: a forward-backward pass over the (language, word, count) table gives the expected
 piece counts.
 
-Words are maximal runs of letters of the lower-cased text, with a word-start mark before them; a word of more than
-`CHUNK` letters is scored in parts of that many.  A letter outside the vocabulary is the piece `other`.
+Words are maximal runs of letters of the lower-cased text, with a word-start mark before them, and whole however
+long; the passes over long words are rescaled.  A letter outside the vocabulary is the piece `other`.
 
 Defined results: null and letterless texts are `und` with score 0; equal likelihoods go to the first
 language in sort order; without labelled training rows every text is `und`.  Words count wherever they stand.
@@ -28,9 +28,10 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from . import _text as T
 from ._work import materialize
 
-CHUNK = 24
-#: Letters in a piece, at most; longer pieces of the vocabulary are left out.
-LONGEST = 8
+#: Letters after which the passes over a word are rescaled.
+RESCALE = 16
+#: Letters in a piece, at most; a vocabulary with longer pieces is refused.
+LONGEST = 64
 MARK = "▁"
 UNDECIDED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -43,7 +44,10 @@ def read_pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if 0 < len(p) <= LONGEST and (p == MARK or p.removeprefix(MARK).isalpha()))
+    pieces = sorted(p for p in pieces if p == MARK or p.removeprefix(MARK).isalpha())
+    if max(map(len, pieces), default=0) > LONGEST:
+        raise ValueError(f"a piece of more than {LONGEST} letters")
+    return pieces
 
 
 def _code_points(s: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -63,6 +67,7 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.other, self.none = len(pieces), len(pieces) + 1
+        self.longest = max(map(len, pieces), default=1)
         codes, ends = _code_points(pieces)
         keys = self._keys(_prefix(codes), ends[:-1], np.diff(ends))
         self.order = np.argsort(keys)
@@ -81,7 +86,7 @@ class Lattice:
             which = np.flatnonzero(lengths == n)
             at = ends[which][:, None] + np.arange(n)
             ids = []
-            for size in range(1, min(LONGEST, n) + 1):
+            for size in range(1, min(self.longest, n) + 1):
                 keys = self._keys(prefix, at[:, : n - size + 1], size)
                 found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
                 ids.append(np.where(self.keys[found] == keys, self.order[found], self.other if size == 1 else self.none))
@@ -91,12 +96,21 @@ class Lattice:
         """log of the summed probability of each word in each language; p: (pieces and other and none, languages)."""
         out = np.empty((len(words), p.shape[1]))
         for which, n, ids in self.groups(words):
-            alpha = np.zeros((n + 1, len(which), p.shape[1]))
+            alpha, scale = np.zeros((n + 1, len(which), p.shape[1])), np.zeros((len(which), p.shape[1]))
             alpha[0] = 1
             for j in range(1, n + 1):
-                for size in range(1, min(LONGEST, j) + 1):
-                    alpha[j] += alpha[j - size] * p[ids[size - 1][:, j - size]]
-            out[which] = np.log(alpha[n])
+                for size in range(1, min(self.longest, j) + 1):
+                    piece = ids[size - 1][:, j - size]
+                    some = np.flatnonzero(piece != self.none)
+                    if len(some) == len(which):
+                        alpha[j] += alpha[j - size] * p[piece]
+                    elif len(some):
+                        alpha[j, some] += alpha[j - size, some] * p[piece[some]]
+                if j % RESCALE == 0 and j < n:
+                    by = alpha[j].copy()
+                    alpha[max(0, j - self.longest) : j + 1] /= by
+                    scale += np.log(by)
+            out[which] = np.log(alpha[n]) + scale
         return out
 
     def expected(self, words: list[str], lang: np.ndarray, n_of: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -106,16 +120,29 @@ class Lattice:
             own = lang[which]
             prob = [p[i, own[:, None]] for i in ids]
             alpha, beta = np.zeros((n + 1, len(which))), np.zeros((n + 1, len(which)))
+            a_scale, b_scale = np.zeros_like(alpha), np.zeros_like(beta)  # logs
             alpha[0] = beta[n] = 1
             for j in range(1, n + 1):
-                for size in range(1, min(LONGEST, j) + 1):
+                a_scale[j] = a_scale[j - 1]
+                for size in range(1, min(self.longest, j) + 1):
                     alpha[j] += alpha[j - size] * prob[size - 1][:, j - size]
+                if j % RESCALE == 0 and j < n:
+                    window, by = slice(max(0, j - self.longest), j + 1), alpha[j].copy()
+                    alpha[window] /= by
+                    a_scale[window] += np.log(by)
             for i in range(n - 1, -1, -1):
-                for size in range(1, min(LONGEST, n - i) + 1):
+                b_scale[i] = b_scale[i + 1]
+                for size in range(1, min(self.longest, n - i) + 1):
                     beta[i] += beta[i + size] * prob[size - 1][:, i]
+                if (n - i) % RESCALE == 0 and i:
+                    window, by = slice(i, min(n, i + self.longest) + 1), beta[i].copy()
+                    beta[window] /= by
+                    b_scale[window] += np.log(by)
             weight = n_of[which] / alpha[n]
-            for size in range(1, min(LONGEST, n) + 1):
+            for size in range(1, min(self.longest, n) + 1):
                 gamma = alpha[: n - size + 1].T * prob[size - 1] * beta[size : n + 1].T * weight[:, None]
+                if n > RESCALE:
+                    gamma *= np.exp(a_scale[: n - size + 1] + b_scale[size : n + 1] - a_scale[n]).T
                 total += np.bincount((ids[size - 1] * p.shape[1] + own[:, None]).ravel(), gamma.ravel(), p.size)
         return total.reshape(p.shape)
 
@@ -125,10 +152,10 @@ def text_words(text: str | None) -> Counter:
 
 
 def word_parts(word: str) -> list[str]:
-    """A word's letters with the mark before them, in parts of CHUNK letters; none without letters."""
+    """A word's letters with the mark before them; none without letters."""
     if not word.isalpha():
         word = "".join(c for c in word if c.isalpha())
-    return [(MARK if i == 0 else "") + word[i : i + CHUNK] for i in range(0, len(word), CHUNK)]
+    return [MARK + word] if word else []
 
 
 @dataclass

@@ -100,6 +100,31 @@ def test_forward_is_the_sum_over_segmentations():
     assert np.isclose((expected[:, 0] * lengths).sum(), sum(map(len, words)))  # every letter is in one piece
 
 
+def test_long_pieces_and_long_words():
+    """Pieces of any length, and words past every chunk and underflow; by exact sums in fractions."""
+    from fractions import Fraction
+
+    pieces = sorted(["a", "b", "ab", "abababababab", "▁", "▁ab", "bbbbbbbbbbbbbbbbbbbb"])
+    lattice, r = language_id.Lattice(pieces), np.random.default_rng(4)
+    p = np.zeros((len(pieces) + 2, 2))
+    p[:-1] = r.dirichlet(np.ones(len(pieces) + 1), 2).T * 1e-4
+    words = ["▁" + "ab" * 15, "▁" + "b" * 50, "▁" + "abz" * 200]
+    got, prob = lattice.forward(words, p), dict(zip(pieces, p))
+    for w, row in zip(words, got):
+        for k in range(2):
+            alpha = [Fraction(1)]
+            for j in range(1, len(w) + 1):
+                q = lambda x: Fraction(prob[x][k] if x in prob else p[len(pieces), k] if len(x) == 1 else 0)
+                alpha.append(sum((alpha[j - n] * q(w[j - n : j]) for n in range(1, min(20, j) + 1)), Fraction(0)))
+            want = math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator)
+            assert math.isclose(row[k], want, rel_tol=1e-9)
+    expected = lattice.expected(words, np.zeros(3, int), np.ones(3), p)
+    lengths = np.array([len(x) for x in pieces] + [1, 0])
+    assert np.isclose((expected[:, 0] * lengths).sum(), sum(map(len, words)))
+    assert language_id.word_parts("x" * 100) == ["▁" + "x" * 100]
+    assert max(map(len, language_id.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))) > 8
+
+
 def test_awkward_languages(spark):
     docs = documents(spark).withColumn("lang", F.when(F.col("doc_id") == 9, F.lit(None)).when(F.col("doc_id") % 2 == 0, "en").otherwise("xx"))
     vocabulary = public_tokenizers.path("piece_bpe_32k.model")
