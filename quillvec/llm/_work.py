@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 
 def scratch(spark: SparkSession) -> str:
@@ -38,3 +39,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def constant_doubles(values) -> Column:
     """A constant array; one literal that the optimizer folds, however many values there are."""
     return F.split(F.lit(",".join(repr(float(v)) for v in values)), ",").cast("array<double>")
+
+
+def with_results(schema: StructType, *results: StructField) -> tuple[list[str], StructType]:
+    """The columns that stay beside result columns, and the schema of both: a result takes the place of a column of its name."""
+    names = {r.name.lower() for r in results}
+    stay = [f for f in schema.fields if f.name.lower() not in names]
+    return [f.name for f in stay], StructType([*stay, *results])

@@ -9,7 +9,8 @@ has that character's place.  `decode` joins the bytes that the file of ranks has
 character may be split over tokens and meet again in the result.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; ids that the vocabulary lacks, or a null among ids, give
-null bytes; null ids are null bytes.
+null bytes; null ids are null bytes; repeated rows are coded each; other columns stay, and a result column replaces one of its name; a
+very long text is coded whole.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ import base64
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 
 from . import _encoding as E
+from ._work import with_results
 
 
 def byte_table() -> list[str]:
@@ -73,11 +75,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
     `decode` gives them, made in the same task.
     """
     more = [*([StructField(starts, ArrayType(IntegerType()))] if starts else []), *([StructField(decoded, BinaryType())] if decoded else [])]
-    schema = StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType())), *more])
+    stay, schema = with_results(docs.schema, StructField(ids, ArrayType(IntegerType())), *more)
 
     def run(batches):
         ranks = read_ranks(ranks_path)
-        encoder = E.encoder((ranks_path, pattern), lambda: make_tokenizer(ranks, pattern), E.spaced_units)
+        encoder = E.encoder((ranks_path, pattern), lambda: make_tokenizer(ranks, pattern))
         tokens = _Tokens(ranks) if starts or decoded else None
         for batch in batches:
             for first, texts in E.text_slices(batch.column(batch.schema.get_field_index(text))):
@@ -96,14 +98,14 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
                     held = memoryview(np.ascontiguousarray(data))
                     more.append(pa.array([bytes(held[a:b]) for a, b in zip(at, at[1:], strict=False)], pa.binary()))
                 rows = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays([*rows.columns, *more], schema.names)
+                yield pa.RecordBatch.from_arrays([*rows.select(stay).columns, *more], schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, ranks_path: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """docs with the bytes that the ids stand for."""
-    schema = StructType([*docs.schema.fields, StructField(decoded, BinaryType())])
+    stay, schema = with_results(docs.schema, StructField(decoded, BinaryType()))
 
     def run(batches):
         tokens = _Tokens(read_ranks(ranks_path))
@@ -125,6 +127,6 @@ def decode(docs: DataFrame, ranks_path: str, *, ids: str = "ids", decoded: str =
                 held = memoryview(np.ascontiguousarray(data))
                 out = [None if m else bytes(held[a:b]) for m, a, b in zip(mask.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 rows = batch.slice(first, len(part))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(out, pa.binary())], schema.names)
+                yield pa.RecordBatch.from_arrays([*rows.select(stay).columns, pa.array(out, pa.binary())], schema.names)
 
     return docs.mapInArrow(run, schema)

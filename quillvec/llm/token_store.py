@@ -11,7 +11,9 @@ Documents are in ascending key order within and over shards.  A manifest lists t
 sizes; only names in the manifest count, so files of tasks that were lost or run twice do no harm.
 
 Defined results: a null or empty text is its end id alone; null keys come first and are not in the index;
-repeated keys keep all their documents, in order of the first 64 characters of their texts; an empty table makes no shard.
+repeated keys keep all their documents, in order of the first 64 characters of their texts; an empty table makes no shard;
+columns besides doc_id and text are not read, whatever their names; ids that are no integers are refused.  Any tokenizer file will do: units
+are cut for those whose pattern is known, and any other encodes whole texts.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import _encoding as E
 from . import _text as T
@@ -164,9 +167,14 @@ class Shard:
         return np.frombuffer(self.source.read_at((b - a) * self.id_bytes, len(MARK) + a * self.id_bytes), f"<u{self.id_bytes}")
 
 
-def write(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, folder: str | None = None) -> str:
-    """Encodes docs (doc_id, text) into shards in a new folder, and returns the folder; its `manifest` is a Parquet table."""
+def write(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, folder: str | None = None, special: bool = True) -> str:
+    """Encodes docs (doc_id, text) into shards in a new folder, and returns the folder; its `manifest` is a Parquet table.
+
+    special: whether names of special tokens in a text are those tokens, as the library has it; else they are ordinary text.
+    """
     spark = docs.sparkSession
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("document keys are integers; number or hash other ids first")
     folder = folder or f"{scratch(spark)}/tokens-{uuid.uuid4().hex}"
 
     def run(batches):
@@ -175,10 +183,10 @@ def write(docs: DataFrame, tokenizer_path: str, *, end_id: int = 2, folder: str
 
         def make():
             tokenizer = Tokenizer.from_file(tokenizer_path)
-            tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+            tokenizer.encode_special_tokens = not special
             return tokenizer
 
-        encoder = E.encoder(tokenizer_path, make, E.word_units, keep=True)
+        encoder = E.encoder((tokenizer_path, special), make, keep=True)
         id_bytes = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         store, root = filesystem(folder)
         store.create_dir(root, recursive=True)

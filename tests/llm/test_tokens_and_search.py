@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from helpers import AWKWARD, documents, spaced
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from quillvec.llm import _encoding, bm25, byte_bpe, token_store
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
-ALPHABETS = ["ab", "aA '.", "äöü é", "日本 ,.", "\U0001f600\U0001f601a", "  \n\t\r", "   a.", "0123 .,", "'s't're ", "áb̸ <=", "$&#!? a", "\x0b\x0c\x1c\x85 x", "ΣσΑ İıſK"]
+ALPHABETS = ["ab", "aA '.", "äöü é", "日本 ,.", "\U0001f600\U0001f601a", "  \n\t\r", "   a.", "0123 .,", "'s't're ", "áb̸ <=", "$&#!? a", "\x0b\x0c\x1c\x85 x", "ΣσΑ İıſK", "aé$#'s.", "a1²½٣.'-", "é\u0301=\u0338<a ", "ᄀ\u1161\u11a8가.a", "_a'_(t)", "’“a.b'S"]
 
 
 def odd_texts(n):
@@ -58,24 +59,44 @@ def test_byte_bpe_cases(spark):
     assert byte_bpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_word_units_change_nothing():
+@pytest.mark.parametrize("special", [True, False])
+def test_word_units_change_nothing(special):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
-    texts = odd_texts(120)
-    encoder = _encoding.UnitEncoder(tokenizer, _encoding.word_units)
+    tokenizer.encode_special_tokens = not special
+    texts = odd_texts(120) + ["<|endoftext|>", "a<|endoftext|>b.<|startoftext|> c", "plain <|endoftext|> words", "x" * 1000, "y" * 1000 + " " + "x" * 1000]
+    encoder = _encoding.UnitEncoder(tokenizer)
+    assert _encoding.cutter_of(tokenizer) is _encoding.word_units and encoder.units("a é's b.") == ["a", "é", "'s", "b", "."]
     for first in range(0, len(texts), 50):
         if first == 200:
             encoder._forget()
-        ids, ends = encoder.encode(texts[first : first + 50])
-        for t, a, b in zip(texts[first : first + 50], ends, ends[1:]):
-            assert ids[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+        for _ in range(2):
+            ids, ends = encoder.encode(texts[first : first + 50])
+            for t, a, b in zip(texts[first : first + 50], ends, ends[1:]):
+                assert ids[a:b].tolist() == tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+    assert max(map(len, encoder.memo)) <= _encoding.LONG
+
+
+def test_units_of_other_tokenizers():
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder = _encoding.UnitEncoder(other)
+    assert encoder.units is _encoding.whole_text
+    for t in odd_texts(5):
+        assert encoder.encode([t])[0].tolist() == other.encode(t, add_special_tokens=False).ids
+
+
+def test_token_store_keeps_the_library_s_special_tokens(spark):
+    plain = Tokenizer.from_file(WORDS)
+    folder = token_store.write(documents(spark, [(1, "some <|endoftext|> text<|startoftext|>.")]), WORDS)
+    ids = token_store.lookup(spark.createDataFrame([(1,)], "doc_id long"), folder).first()["ids"]
+    assert ids == [*plain.encode("some <|endoftext|> text<|startoftext|>.", add_special_tokens=False).ids, 2] and 49407 in ids
+    with pytest.raises(TypeError):
+        token_store.write(documents(spark).withColumn("doc_id", F.lit("a")), WORDS)
 
 
 def test_token_store(spark, monkeypatch):
     monkeypatch.setattr(token_store, "SHARD_DOCS", 5)
     folder = token_store.write(documents(spark), WORDS)
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     rows = sorted(AWKWARD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
     want, at = [], 0
     for i, t in rows:
