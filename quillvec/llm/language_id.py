@@ -10,7 +10,8 @@ Words are maximal runs of letters of the lower-cased text, with a word-start mar
 long; the passes over long words are rescaled.  A letter outside the vocabulary is the piece `other`.
 
 Defined results: null and letterless texts are `und` with score 0; equal likelihoods go to the first
-language in sort order; without labelled training rows every text is `und`.  Words count wherever they stand.
+language in sort order; without labelled training rows every text is `und`.  Words count wherever they stand; repeated rows are judged
+each; other columns stay, and a result column takes the place of one of its name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, StringType, StructField
 
 from . import _text as T
-from ._work import materialize
+from ._work import materialize, with_results
 
 #: Letters after which the passes over a word are rescaled.
 RESCALE = 16
@@ -169,7 +170,8 @@ class LanguageModel:
 def train(docs: DataFrame, vocabulary: str, *, max_train_docs: int = 20_000, rounds: int = 4, smoothing: float = 0.05) -> LanguageModel:
     """Learns from columns text and lang of docs; rows with a null lang don't count.
 
-    max_train_docs: documents to learn from, in expectation, chosen by a hash of id and row, so that a repeated id counts by its rows; all where there are fewer.
+    max_train_docs: documents to learn from, in expectation, chosen by a hash of id and text, so that neither the order of rows nor
+    their files matter; all where there are fewer.  Rows that repeat both are drawn together.
     """
     spark = docs.sparkSession
     pieces = read_pieces(vocabulary)
@@ -178,7 +180,7 @@ def train(docs: DataFrame, vocabulary: str, *, max_train_docs: int = 20_000, rou
     languages = sorted(by_lang)
     n = sum(by_lang.values())
     if n > max_train_docs:
-        docs = docs.where(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 30)) < int((1 << 30) * max_train_docs / n))
+        docs = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * max_train_docs / n))
     index = {x: i for i, x in enumerate(languages)}
 
     def count(batches):
@@ -229,7 +231,7 @@ def train(docs: DataFrame, vocabulary: str, *, max_train_docs: int = 20_000, rou
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """docs with two more columns: the language of the text and its posterior probability."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField(pred, StringType()), StructField(score, DoubleType())])
+    stay, schema = with_results(docs.schema, StructField(pred, StringType()), StructField(score, DoubleType()))
 
     def run(batches):
         m = shared.value
@@ -268,6 +270,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", pred: st
                     best = int(np.argmax(total))
                     preds.append(m.languages[best])
                     scores.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, pred, score])
+            yield pa.RecordBatch.from_arrays([*batch.select(stay).columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -5,7 +5,9 @@ sample of labelled documents, on features cut into quantile bins, and kept as co
 arrays, so that scoring a batch is `depth` array lookups for all documents and trees at once.
 
 Defined results: null and empty texts have all statistics 0 and are scored like any other; labelled rows whose label or text row is
-missing don't count; without training rows, or with one label only, the score is the smoothed share of label 1.
+missing don't count; a document with several label rows, or a label of several documents, counts once for each pair; without training
+rows, or with one label only, the score is the smoothed share of label 1; equal gains go to the first feature and cut; repeated rows are
+scored each; other columns stay, and the score takes the place of a column of its name; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
 from . import _text as T
+from ._work import with_results
 
 _LINES = T.separator_table((0x0A, 0x0A))
 _SETS = {
@@ -144,21 +147,28 @@ def grow(x: np.ndarray, y: np.ndarray, *, trees: int = 150, depth: int = 4, rate
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_train_rows: int = 16_000, **growing) -> Trees:
     """Learns from docs (doc_id, text) and labels (doc_id, label 0 or 1).
 
-    max_train_rows: labelled rows to learn from, in expectation, chosen by a hash; twice that many are the outer bound.
+    max_train_rows: labelled rows to learn from, in expectation, chosen by a hash of id and text, so that neither the order of rows nor
+    their files matter; 1.5 times that many at most, by the order of another such hash.
     """
     labels = labels.where(f"{label} is not null and doc_id is not null").select("doc_id", F.col(label).cast("double").alias("y"))
     n = labels.count()
-    if n > max_train_rows:
-        labels = labels.where(F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(1 << 30)) < int((1 << 30) * max_train_rows / n))
+    share = min(1.0, max_train_rows / max(n, 1))
+    if share < 1:  # a label row of a text that is not drawn is not needed: ids first, as all texts of an id are about as likely
+        labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.25 * share)))
 
     def run(batches):
         for batch in batches:
-            y = batch.column("y").to_numpy()
+            y, place = batch.column("y").to_numpy(), batch.column("place")
             for first, x in statistics(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(y[first : first + len(x)]), *map(pa.array, np.ascontiguousarray(x.T))], ["y", *FEATURES])
-
-    met = docs.select("doc_id", "text").join(F.broadcast(labels), "doc_id").select("text", "y")
-    rows = met.mapInArrow(run, ", ".join(f"{x} double" for x in ["y", *FEATURES])).limit(2 * max_train_rows).toPandas()
+                yield pa.RecordBatch.from_arrays([place.slice(first, len(x)), pa.array(y[first : first + len(x)]), *map(pa.array, np.ascontiguousarray(x.T))], ["place", "y", *FEATURES])
+
+    if labels.count() <= 2 * max_train_rows:
+        labels = F.broadcast(labels)
+    met = docs.select("doc_id", "text").join(labels, "doc_id").select("text", "y", F.xxhash64("doc_id", "text").alias("place"))
+    if share < 1:
+        met = met.where(F.pmod("place", F.lit(1 << 30)) < int((1 << 30) * 0.8))
+    known = met.mapInArrow(run, ", ".join(["place long", *(f"{x} double" for x in ["y", *FEATURES])]))
+    rows = known.orderBy("place", "y", *FEATURES).limit(int(1.5 * max_train_rows)).drop("place").toPandas()  # a key with very many rows is cut off there
     rows = rows.sort_values(["y", *FEATURES])  # the same trees in whatever order rows come
     return grow(rows[FEATURES].to_numpy(), rows["y"].to_numpy(), **growing)
 
@@ -166,12 +176,12 @@ def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_tra
 def score(docs: DataFrame, model: Trees, *, text: str = "text", score: str = "score") -> DataFrame:
     """docs with the probability of label 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
+    stay, schema = with_results(docs.schema, StructField(score, DoubleType()))
 
     def run(batches):
         for batch in batches:
             for first, x in statistics(batch.column(batch.schema.get_field_index(text))):
                 rows = batch.slice(first, len(x))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(shared.value.score(x))], schema.names)
+                yield pa.RecordBatch.from_arrays([*rows.select(stay).columns, pa.array(shared.value.score(x))], schema.names)
 
     return docs.mapInArrow(run, schema)
