@@ -123,35 +123,86 @@ def test_perfect_hash():
     assert ((slots >= 0) & (prints[slots] == token_store.fingerprints(others))).mean() < 0.001
 
 
+def small_shards(monkeypatch):
+    for name, value in {"POSTINGS": 400, "DOCS": 50, "BLOCK": 4, "QUERIES": 20, "TOGETHER": 7, "AT_ONCE": 300, "MOST_FREQUENT": 20, "COMMON": 5}.items():
+        monkeypatch.setattr(bm25, name, value)
+
+
+def all_scores(rows, k):
+    """The best k of every row's text: exact sums in the order of word hashes, as the operator adds."""
+    bags = [Counter(spaced(t)) for _, t in rows]
+    lengths, n = [sum(b.values()) for b in bags], len(rows)
+    mean = sum(lengths) / n
+    df = Counter(w for b in bags for w in b)
+    for i, t in rows:
+        scores = []
+        for (j, _), b, size in zip(rows, bags, lengths):
+            s = math.fsum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * size / mean)) for w in set(spaced(t)) if w in b)
+            if s:
+                scores.append((-round(s, 8), j is None, j))
+        yield i, [(r + 1, j, -s) for r, (s, _, j) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:k])]
+
+
 def test_bm25_against_all_scores(spark, monkeypatch):
-    monkeypatch.setattr(bm25, "POSTINGS", 400)
-    monkeypatch.setattr(bm25, "BLOCK", 4)
+    small_shards(monkeypatch)
     r = random.Random(9)
     weights = [1 / (k + 1) for k in range(300)]
     rows = AWKWARD + [(100 + i, " ".join(f"t{x}" for x in r.choices(range(300), weights, k=r.randrange(1, 60)))) for i in range(200)]
     rows += [(1000 + i, rows[-1][1]) for i in range(12)]  # ties
-    docs = documents(spark, rows)
+    r.shuffle(rows)
+    docs = documents(spark, rows).withColumn("rank", F.lit("clash")).repartition(3)
     asked = docs.where("doc_id % 5 = 0 or doc_id is null").select(F.col("doc_id").alias("query_id"), "text")
     got = {}
     for x in bm25.top_k(docs, asked, k=10).collect():
-        got.setdefault(x["query_id"], []).append((x["rank"], x["doc_id"], round(x["score"], 8)))
-    bags = [Counter(spaced(t)) for _, t in rows]
-    lengths, n = [sum(b.values()) for b in bags], len(rows)
-    mean = sum(lengths) / n
-    df = Counter(w for b in bags for w in b)
-    for i, t in rows:
+        got.setdefault(x["query_id"], []).append((x["rank"], x["doc_id"], x["score"]))
+    for i, want in all_scores(rows, 10):
         if i is None or i % 5:
             continue
-        scores = []
-        for (j, _), b, size in zip(rows, bags, lengths):
-            s = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * b[w] * 2.2 / (b[w] + 1.2 * (0.25 + 0.75 * size / mean)) for w in set(spaced(t)) if w in b)
-            if s:
-                scores.append((-round(s, 8), j is None, j))
-        want = [(k + 1, j, -s) for k, (s, _, j) in enumerate(sorted(scores, key=lambda x: (x[0], x[1], x[2] or 0))[:10])]
         found = sorted(got.get(i, []))
         assert [(a, b) for a, b, _ in found] == [(a, b) for a, b, _ in want] and np.allclose([x[2] for x in found], [x[2] for x in want])
     assert bm25.top_k(docs, asked.limit(0)).count() == 0
     assert bm25.top_k(docs.limit(0), asked).count() == 0
+    with pytest.raises(TypeError):
+        bm25.top_k(docs.withColumn("doc_id", F.lit("a")), asked)
+
+
+def test_bm25_equal_texts_tie_exactly_in_any_shard(spark, monkeypatch):
+    """Copies stand among frequent words in one shard and rare ones in another; their scores must not differ in any bit."""
+    small_shards(monkeypatch)
+    r = random.Random(4)
+    copy = " ".join(f"w{i}" for i in range(80))
+    rows = []
+    for part in range(6):
+        pool = [f"w{i}" for i in r.sample(range(80), 40)] + [f"p{part}_{i}" for i in range(40)]
+        rows += [(1000 * part + i, copy if i % 17 == 3 else " ".join(r.choices(pool, k=30))) for i in range(60)]
+    docs = documents(spark, rows).repartition(6)
+    asked = docs.where(F.col("text") == copy).select(F.col("doc_id").alias("query_id"), "text")
+    copies = sorted(i for i, t in rows if t == copy)
+    found = bm25.top_k(docs, asked, k=20).collect()
+    assert {x["query_id"] for x in found} == set(copies)
+    for q in copies:
+        own = sorted((x["rank"], x["doc_id"], x["score"]) for x in found if x["query_id"] == q)
+        assert [d for _, d, _ in own] == copies[:20] and len({s for *_, s in own}) == 1
+
+
+def test_bm25_skips_blocks(monkeypatch):
+    """With a threshold from an earlier shard, blocks whose bounds do not reach it are not scored."""
+    monkeypatch.setattr(bm25, "BLOCK", 8)
+    r = random.Random(5)
+    texts = [" ".join(r.choices([f"{lang}{i}" for i in range(40)], k=50)) for lang in "ab" for _ in range(100)]
+    data = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    term, tf, sizes, length = bm25._terms(np.frombuffer(data, np.uint8), offsets)
+    arrays, df = bm25._shard(term, tf, sizes, length, np.arange(200))
+    index = bm25.ShardIndex(arrays, float(length.mean()))
+    first = np.cumsum(sizes) - sizes
+    own = term[first[0] : first[0] + sizes[0]]
+    q = bm25.Queries([own], [np.ones(len(own))], 5)
+    index.search(q)
+    best, scored = q.best, []
+    monkeypatch.setattr(bm25.ShardIndex, "_narrowed", lambda self, found, *a: scored.append(sum(len(x[0]) for x in found)) or tuple(np.concatenate(x) for x in zip(*found)))
+    index.search(q)
+    assert len(best[0]) == 5 and scored[-1] < 50  # half the entries share no word, and few reach the threshold
 
 
 def test_pipeline(spark, sf_dir):
