@@ -13,24 +13,27 @@ kept as a distributed table, and it goes to the class that raises the class bigr
 bigrams after the batches before.  Its neighbours count with the classes they started in.  Only words
 that training never saw take the class of their bucket.  The end of a text is a class of its own.
 
-The class bigrams of the model are counted anew from the final classes of all tokens.  Tokens of words with a share of
-`known_share` or more get theirs from an array (at most 1 / known_share entries), rarer ones by a join.
+The class bigrams of the model are counted anew from the final classes of all tokens.  Words with a share of `known_share` or more
+of all tokens, of held-out texts too, are looked up in an array (at most 1 / known_share + 1 / head_share entries), rarer ones by a join; so
+no key of the join has more than that share of the rows.  `tag` makes that join once for training and held-out texts alike: it gives the class of every
+token, from which the bigrams are counted and the texts scored.
 
 Defined results: a null or empty text is the end token alone; a null id is in the
-training part of `bucket_of`'s empty text; repeated ids are scored as separate rows; without
-training rows every count is 0 and probabilities stay finite.
+training part of `bucket_of`'s empty text; repeated ids and repeated rows are scored each; equal gains go to the first class, and words
+that gain nothing stay; without training rows every count is 0 and probabilities stay finite; an empty table gives no rows; columns besides doc_id,
+text and held_out are not read, whatever their names; a text of any length is one sequence.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -63,17 +66,19 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """(key, n) over all words of column `text`; summed within a task before the shuffle."""
+    """(key, n, n_all) over all words of column `text`, n without rows that are `held_out`; summed within a task before the shuffle."""
 
     def count(batches):
         held, size = [], 0
 
         def flush():
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
+            keys, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, np.bincount(at, own, len(keys)).astype(np.int64), n.astype(np.int64))], ["key", "n", "n_all"])
 
-        for _, _, _, keys, _ in _tokens(batches):
-            held.append(keys)
+        for batch, first, last, keys, firsts in _tokens(batches):
+            own = ~batch.column("held_out").slice(first, last - first).to_numpy(zero_copy_only=False)
+            held.append((keys, np.repeat(own, np.diff(firsts))))
             size += len(keys)
             if size >= _CHUNK:
                 yield flush()
@@ -81,7 +86,13 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = _marked(docs).select("text", "held_out").mapInArrow(count, "key long, n long, n_all long")
+    return counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    """docs with `held_out`, which is false where it is missing or null."""
+    return docs.withColumn("held_out", F.coalesce("held_out", F.lit(False)) if "held_out" in docs.columns else F.lit(False))
 
 
 def _unit_rows(keys: np.ndarray, firsts: np.ndarray, head: np.ndarray) -> np.ndarray:
@@ -293,39 +304,46 @@ def move_words(contexts: DataFrame, of: np.ndarray, joint: np.ndarray) -> DataFr
 class ClassModel:
     """A trained model.  Arrays have fixed maximal sizes; `rare` holds the counts of all other words."""
 
-    head: np.ndarray  # sorted keys of the words whose class is looked up without a join
+    head: np.ndarray  # sorted keys of the words that are looked up without a join
     of: np.ndarray  # class of the end, of each of those words, and of unseen words by bucket
-    transition: np.ndarray  # log10 P(class | previous class)
-    share: np.ndarray  # log10 of the denominator of P(word | class)
-    head_n: np.ndarray
-    rare: DataFrame  # (key, n, cls) of all words that are not in `head`
+    head_n: np.ndarray  # their training counts, 0 for words that only held-out texts have
+    rare: DataFrame  # (key, n, cls) of all training words that are not in `head`
     tokens: int  # N: training tokens, ends included
     types: int  # V: distinct training tokens, the end included
     ends: int
     discount: float
+    share: np.ndarray  # log10 of the denominator of P(word | class)
     unseen: np.ndarray  # log10 of the numerator of an unseen word of each class
+    prior: float
+    transition: np.ndarray | None = None  # log10 P(class | previous class)
 
 
-def train(docs: DataFrame, *, classes: int = 64, sweeps: int = 8, head_share: float = 1e-3, known_share: float = 1e-6, prior: float = 50.0) -> ClassModel:
-    """Learns from column `text` of all rows of docs.
+#: Class of a token whose word is not looked up in an array, until it is joined.
+_OPEN = 255
 
-    classes, sweeps: of the exchange clustering.  prior: weight of the class frequencies in the smoothed transitions.
+
+def train_classes(docs: DataFrame, *, classes: int = 64, sweeps: int = 8, head_share: float = 1e-3, known_share: float = 1e-6, prior: float = 50.0) -> ClassModel:
+    """Clusters the words of column `text` of docs; rows that are `held_out` only tell which words are frequent there.
+
+    classes, sweeps: of the exchange clustering.  prior: weight of the class frequencies in the smoothed transitions, which are yet to be counted.
     """
     if classes > _OPEN:
         raise ValueError("a class takes one byte")
-    if known_share > head_share:
-        raise ValueError("a unit's word is looked up too: known_share exceeds head_share")
-    docs = docs.select("text")
+    docs = _marked(docs).select("text", "held_out")
+    own_docs = docs.where("not held_out").select("text")
     counts = materialize(count_words(docs), "lm-counts")
-    ends = docs.count()
+    ends, all_ends = docs.agg(F.count(F.when(~F.col("held_out"), 1)), F.count("*")).first()
     of_n = lambda k: F.count(F.when(F.col("n") == k, 1))
-    n_words, kinds, once, twice = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), of_n(1), of_n(2)).first()
+    sums = [F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "n_all")]
+    n_words, n_all, kinds, once, twice = counts.agg(*sums, F.count(F.when(F.col("n") > 0, 1)), of_n(1), of_n(2)).first()
     tokens, types = n_words + ends, kinds + (ends > 0)
-    known = counts.where(F.col("n") >= max(1.0, tokens * known_share)).toPandas().sort_values("key")
+    unit = max(1.0, tokens * head_share)
+    frequent = (F.col("n_all") >= max(1.0, (n_all + all_ends) * known_share)) | (F.col("n") >= unit)
+    known = counts.where(frequent).select("key", "n").toPandas().sort_values("key")
     known_key, known_n = known["key"].to_numpy(np.int64), known["n"].to_numpy(np.int64)
-    head = known_key[known_n >= max(1.0, tokens * head_share)]
+    head = known_key[known_n >= unit]
     units = 1 + len(head) + SUFFIX_UNITS
-    cells = count_unit_bigrams(docs, head).toPandas()
+    cells = count_unit_bigrams(own_docs, head).toPandas()
     bigrams = np.zeros(units * units)
     bigrams[cells["cell"].to_numpy()] = cells["n"].to_numpy()
     bigrams = bigrams.reshape(units, units)
@@ -333,7 +351,7 @@ def train(docs: DataFrame, *, classes: int = 64, sweeps: int = 8, head_share: fl
     member = np.zeros((units, classes))
     member[np.arange(units), of] = 1
     joint = member.T @ bigrams @ member
-    contexts = materialize(count_contexts(docs, head, of), "lm-contexts")
+    contexts = materialize(count_contexts(own_docs, head, of), "lm-contexts")
     buckets, moved = of[1 + len(head) :], []
     for part in range(BATCHES):
         done = materialize(move_words(contexts.where(F.col("part") == part), buckets, joint), "lm-classes")
@@ -342,123 +360,101 @@ def train(docs: DataFrame, *, classes: int = 64, sweeps: int = 8, head_share: fl
         joint = np.maximum(joint, 0)  # neighbours that both moved are counted by their first classes
         moved.append(done.where("key is not null").select("key", "n", "cls"))
     words = reduce(DataFrame.unionByName, moved)
-    own = words.where(F.col("n") >= max(1.0, tokens * known_share)).toPandas()
-    known_cls = np.zeros(len(known_key), np.int64)
-    known_cls[np.searchsorted(known_key, own["key"].to_numpy(np.int64))] = own["cls"]
+    looked_up = F.broadcast(counts.where(frequent).select("key"))  # 1 / known_share + 1 / head_share rows at most
+    met = words.join(looked_up, "key", "left_semi").toPandas()
+    known_cls = buckets[known_key & (SUFFIX_UNITS - 1)].copy()
+    known_cls[np.searchsorted(known_key, met["key"].to_numpy(np.int64))] = met["cls"]
     known_cls[np.searchsorted(known_key, head)] = of[1 : 1 + len(head)]
-    of = np.concatenate([[0], known_cls, buckets])
-    rare = words.where(F.col("n") < max(1.0, tokens * known_share))
-    joint = class_bigrams(docs, known_key, of, rare, classes)
-    prior_share = (joint.sum(0) + 1) / (joint.sum() + classes)
-    transition = np.log10((joint + prior * prior_share) / (joint.sum(1, keepdims=True) + prior))
+    rare = words.join(looked_up, "key", "left_anti")
     by_class = rare.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
-    class_n, class_v = np.bincount(known_cls, known_n, classes).astype(float), np.bincount(known_cls, minlength=classes).astype(float)
+    class_n, class_v = np.bincount(known_cls, known_n, classes).astype(float), np.bincount(known_cls[known_n > 0], minlength=classes).astype(float)
     class_n[by_class["cls"].to_numpy(np.int64)] += by_class["n"].to_numpy(np.float64)
     class_v[by_class["cls"].to_numpy(np.int64)] += by_class["v"].to_numpy(np.float64)
     discount = min(0.95, max(0.05, once / max(once + 2 * twice, 1)))
     share, unseen = np.log10(class_n + 1), np.log10(discount * class_v + 1)
-    return ClassModel(known_key, of, transition, share, known_n, rare, tokens, types, ends, discount, unseen)
-
+    return ClassModel(known_key, np.concatenate([[0], known_cls, buckets]), known_n, rare, tokens, types, ends, discount, share, unseen, prior)
 
-#: Class of a token whose word is not looked up in an array, until it is joined.
-_OPEN = 255
 
-
-def _closed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class of every token of a batch with `classes` and `places`, the class before it, and each row's offset."""
-    classes, places = batch.column("classes"), batch.column("places")
-    offsets = np.concatenate([[0], np.cumsum(pc.binary_length(classes).to_numpy(zero_copy_only=False))]).astype(np.int64)
-    cls = np.frombuffer(b"".join(classes.to_pylist()), np.uint8).astype(np.int64)
-    place = pc.list_flatten(places).to_numpy(zero_copy_only=False).astype(np.int64)
-    row = pc.list_parent_indices(places).to_numpy(zero_copy_only=False).astype(np.int64)
-    cls[offsets[row] + (place >> 8)] = place & 255
-    before = np.concatenate([[0], cls[:-1]])[: len(cls)]
-    return cls, before, offsets
-
-
-def class_bigrams(docs: DataFrame, head: np.ndarray, of: np.ndarray, rare: DataFrame, classes: int) -> np.ndarray:
-    """Counts of previous class and class over all tokens of column `text`; the end also stands before a text."""
-    shared = docs.sparkSession.sparkContext.broadcast((head, of))
-    names = ["row_key", "key", "classes", "pos"]
-
-    def run(batches):
-        head, of = shared.value
-        for batch, first, last, keys, firsts in _tokens(batches):
-            row_key = batch.column("row_key").slice(first, last - first)
-            cls, doc, pos, missed, data = _looked_up(keys, firsts, head, of)
-            yield pa.RecordBatch.from_arrays([row_key, _spread(row_key), data, pa.nulls(last - first, pa.int32())], names)
-            if len(missed):
-                yield pa.RecordBatch.from_arrays([pa.array(row_key.to_numpy()[doc[missed]]), pa.array(keys[missed]), pa.nulls(len(missed), pa.binary()), pa.array(pos[missed])], names)
+def with_transitions(model: ClassModel, tagged: DataFrame) -> ClassModel:
+    """The model with the class bigrams of tagged (classes) texts: previous class and class of every token; the end also stands before a text."""
+    n = len(model.share)
 
     def count(batches):
-        total = np.zeros(classes * classes, np.int64)
+        total = np.zeros(n * n, np.int64)
         for batch in batches:
-            cls, before, _ = _closed(batch)
-            total += np.bincount(before * classes + cls, minlength=classes * classes)
+            cls, before, _ = _sequence(batch.column("classes"))
+            total += np.bincount(before * n + cls, minlength=n * n)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
 
-    parts = docs.select("text", F.monotonically_increasing_id().alias("row_key")).mapInArrow(run, "row_key long, key long, classes binary, pos int")
-    rows = parts.join(rare.select("key", "cls"), "key", "left").groupBy("row_key").agg(F.max("classes").alias("classes"), _places(F.col("cls")).alias("places"))
-    cells = rows.select("classes", "places").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    joint = np.zeros(classes * classes)
+    cells = tagged.select("classes").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    joint = np.zeros(n * n)
     joint[cells["cell"].to_numpy(np.int64)] = cells["n"]
-    return joint.reshape(classes, classes)
+    joint = joint.reshape(n, n)
+    prior_share = (joint.sum(0) + 1) / (joint.sum() + n)
+    return replace(model, transition=np.log10((joint + model.prior * prior_share) / (joint.sum(1, keepdims=True) + model.prior)))
+
 
+def train(docs: DataFrame, **options) -> ClassModel:
+    """Learns from column `text` of all rows of docs that are not `held_out`; options: of train_classes."""
+    model = train_classes(docs, **options)
+    own = _marked(docs).where("not held_out").select(F.lit(0).alias("doc_id"), "text")
+    return with_transitions(model, tag(own, model))
 
-def _places(cls: Column) -> Column:
-    """Place and class of each open token of a group, in one number each."""
-    return F.collect_list(F.when(F.col("pos").isNotNull(), F.col("pos").cast("long") * 256 + cls))
+
+def _sequence(classes: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class of every token of some rows, the class before it, and each row's offset."""
+    offsets = np.concatenate([[0], np.cumsum(pc.binary_length(classes).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    cls = np.frombuffer(b"".join(classes.to_pylist()), np.uint8).astype(np.int64)
+    return cls, np.concatenate([[0], cls[:-1]])[: len(cls)], offsets
 
 
 def _spread(row_key: pa.Array) -> pa.Array:
     return pa.array(T.mix(row_key.to_numpy().view(np.uint64)).view(np.int64))
 
 
-def _looked_up(keys: np.ndarray, firsts: np.ndarray, head: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """Class of every token of a slice, _OPEN where `head` lacks it; row and place of each word; the words `head` lacks; the classes by row."""
+def _looked_up(keys: np.ndarray, firsts: np.ndarray, head: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Row and place of each word of a slice; the words `head` lacks; the classes of the tokens of each row, _OPEN for those words."""
     unit = _unit_rows(keys, firsts, head)
     rows, n = len(firsts) - 1, np.diff(firsts)
     cls = np.where(unit > len(head), _OPEN, of[unit]).astype(np.uint8)
     doc = np.repeat(np.arange(rows), n)
     pos = np.arange(len(keys)) - firsts[:-1][doc]
     missed = np.flatnonzero(cls[np.arange(len(keys)) + doc] == _OPEN)
-    offsets = (firsts + np.arange(rows + 1)).astype(np.int32)
-    data = pa.Array.from_buffers(pa.binary(), rows, [None, pa.py_buffer(offsets), pa.py_buffer(cls)])
-    return cls, doc, pos.astype(np.int32), missed, data
+    return doc, pos.astype(np.int32), missed, _bytes_of(cls, firsts + np.arange(rows + 1))
 
 
-def score(docs: DataFrame, model: ClassModel, *, base_delta: float = 0.1) -> DataFrame:
-    """docs' `doc_id` and `held_out` with n_tokens, n_known, train_tokens, base_score and score, one row for each row."""
+def _bytes_of(cls: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(cls)])
+
+
+def tag(docs: DataFrame, model: ClassModel, *, base_delta: float = 0.1) -> DataFrame:
+    """docs' doc_id and held_out with n_tokens, n_known, base_score, points (log10 of the emissions' numerators) and classes, a byte for each token."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.head, model.of, model.head_n))
-    small = spark.sparkContext.broadcast((model.transition, model.share))
     base_all = float(np.log10(model.tokens + base_delta * (model.types + 1)))
-    discount, ends = model.discount, model.ends
-
-    docs = docs.select("doc_id", "held_out", "text", F.monotonically_increasing_id().alias("row_key"))
+    discount, ends, unseen = model.discount, model.ends, model.unseen
+    docs = _marked(docs).select("doc_id", "held_out", "text", F.monotonically_increasing_id().alias("row_key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "held_out", "row_key", "key", "classes", "pos", "n_tokens", "n_known", "base_score", "score"]
-    fields = f"doc_id {kind}, held_out boolean, row_key long, key long, classes binary, pos int, n_tokens long, n_known long, base_score double, score double"
+    names = ["doc_id", "held_out", "row_key", "key", "classes", "pos", "n_tokens", "n_known", "base_score", "points"]
+    fields = f"doc_id {kind}, held_out boolean, row_key long, key long, classes binary, pos int, n_tokens long, n_known long, base_score double, points double"
 
     def run(batches):
         head, of, head_n = shared.value
-        known_log = np.log10(head_n - discount)
+        known_log = np.where(head_n > 0, np.log10(np.maximum(head_n - discount, 1e-300)), unseen[of[1 : 1 + len(head)]])
         known_base = np.log10(head_n + base_delta) - base_all
         end_base = np.log10(ends + base_delta) - base_all
         for batch, first, last, keys, firsts in _tokens(batches):
             rows, n = last - first, np.diff(firsts)
-            cls, doc, pos, missed, data = _looked_up(keys, firsts, head, of)
+            doc, pos, missed, data = _looked_up(keys, firsts, head, of)
             hit = np.ones(len(keys), bool)
             hit[missed] = False
-            at = np.searchsorted(head, keys[hit])
-            points = np.bincount(doc[hit], known_log[at], rows).astype(float)
-            base = np.bincount(doc[hit], known_base[at], rows) + end_base
+            at, by = np.searchsorted(head, keys[hit]), doc[hit]
+            points, base = np.bincount(by, known_log[at], rows).astype(float), np.bincount(by, known_base[at], rows) + end_base
+            known = np.bincount(by, head_n[at] > 0, rows).astype(np.int64) + (ends > 0)
             row_key = batch.column("row_key").slice(first, rows)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(first, rows), batch.column("held_out").slice(first, rows), row_key, _spread(row_key), data, pa.nulls(rows, pa.int32()), pa.array(n + 1), pa.array(np.bincount(doc[hit], minlength=rows) + (ends > 0)), pa.array(base), pa.array(points)],
-                names,
-            )
+            own = [batch.column(c).slice(first, rows) for c in ("doc_id", "held_out")]
+            yield pa.RecordBatch.from_arrays([*own, row_key, _spread(row_key), data, pa.nulls(rows, pa.int32()), *map(pa.array, (n + 1, known, base, points))], names)
             if len(missed):
                 blank = lambda kind, m=len(missed): pa.nulls(m, kind)
                 yield pa.RecordBatch.from_arrays(
@@ -467,33 +463,61 @@ def score(docs: DataFrame, model: ClassModel, *, base_delta: float = 0.1) -> Dat
                 )
 
     def close(batches):
-        transition, share = small.value
         for batch in batches:
-            cls, before, offsets = _closed(batch)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-            worth = transition[before, cls] - share[cls]
-            worth[offsets[1:] - 1] += share[0]  # the end is the only token of its class
-            points = np.bincount(row, worth, batch.num_rows) + batch.column("score").to_numpy()
-            kept = [batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(points)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    parts = docs.mapInArrow(run, fields)
-    met = parts.join(model.rare.withColumnRenamed("n", "c"), "key", "left")
-    rare = F.col("n_tokens").isNull()
+            cls, _, offsets = _sequence(batch.column("classes"))
+            places = batch.column("places")
+            place, row = (f(places).to_numpy(zero_copy_only=False).astype(np.int64) for f in (pc.list_flatten, pc.list_parent_indices))
+            cls[offsets[row] + (place >> 8)] = place & 255
+            kept = [batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "points")]
+            yield pa.RecordBatch.from_arrays([*kept, _bytes_of(cls.astype(np.uint8), offsets)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "points", "classes"])
+
+    met = docs.mapInArrow(run, fields).join(model.rare.withColumnRenamed("n", "c"), "key", "left")
+    word = F.col("pos").isNotNull()
     c = F.coalesce(F.col("c"), F.lit(0))
     listed = lambda x: F.array(*[F.lit(float(v)) for v in x])
     bucket = F.element_at(listed(model.of[1 + len(model.head) :]), (F.col("key").bitwiseAND(SUFFIX_UNITS - 1) + 1).cast("int")).cast("int")
     cls = F.coalesce(F.col("cls"), bucket)
-    unseen = F.element_at(listed(model.unseen), cls + 1)
     rows = met.groupBy("row_key").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
         F.max("classes").alias("classes"),
-        _places(cls).alias("places"),
+        F.collect_list(F.when(word, F.col("pos").cast("long") * 256 + cls)).alias("places"),
         F.max("n_tokens").alias("n_tokens"),
-        F.sum(F.when(rare, F.when(c > 0, 1).otherwise(0)).otherwise(F.col("n_known"))).cast("long").alias("n_known"),
-        F.sum(F.when(rare, F.log10(c + base_delta) - base_all).otherwise(F.col("base_score"))).alias("base_score"),
-        F.sum(F.when(rare, F.when(c > 0, F.log10(c - discount)).otherwise(unseen)).otherwise(F.col("score"))).alias("score"),
+        F.sum(F.when(word, F.when(c > 0, 1).otherwise(0)).otherwise(F.col("n_known"))).cast("long").alias("n_known"),
+        F.sum(F.when(word, F.log10(c + base_delta) - base_all).otherwise(F.col("base_score"))).alias("base_score"),
+        F.sum(F.when(word, F.when(c > 0, F.log10(c - discount)).otherwise(F.element_at(listed(unseen), cls + 1))).otherwise(F.col("points"))).alias("points"),
     )
-    scored = rows.drop("row_key").mapInArrow(close, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return rows.drop("row_key").mapInArrow(close, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, points double, classes binary")
+
+
+def scored(tagged: DataFrame, model: ClassModel) -> DataFrame:
+    """Tagged rows' doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability) and perplexity."""
+    small = tagged.sparkSession.sparkContext.broadcast((model.transition, model.share))
+    kind = tagged.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+
+    def run(batches):
+        transition, share = small.value
+        for batch in batches:
+            cls, before, offsets = _sequence(batch.column("classes"))
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            worth = transition[before, cls] - share[cls]
+            worth[offsets[1:] - 1] += share[0]  # the end is the only token of its class
+            points = np.bincount(row, worth, batch.num_rows) + batch.column("points").to_numpy()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(points)], names)
+
+    out = tagged.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))
+
+
+def score(docs: DataFrame, model: ClassModel, *, base_delta: float = 0.1) -> DataFrame:
+    """One row for each row of docs (doc_id, text, perhaps held_out), as `scored` gives them."""
+    return scored(tag(docs, model, base_delta=base_delta), model)
+
+
+def train_and_score(docs: DataFrame, *, base_delta: float = 0.1, **options) -> DataFrame:
+    """Learns from the rows of docs (doc_id, text, held_out) that are not held out and scores all, tagging each text once."""
+    model = train_classes(docs, **options)
+    tagged = materialize(tag(docs, model, base_delta=base_delta), "lm-tagged")
+    return scored(tagged, with_transitions(model, tagged.where("not held_out")))

@@ -22,8 +22,7 @@ def query(f):
 @query
 def op1_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", bucket_of(F.col("doc_id"), 10) == 0)
-    model = class_lm.train(docs.where(~F.col("held_out")))
-    return class_lm.score(docs, model)
+    return class_lm.train_and_score(docs)
 
 
 @query

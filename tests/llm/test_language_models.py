@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -47,6 +48,60 @@ def test_probabilities_sum_to_one(spark):
     assert np.allclose((total / 10**m.share)[1:], 1)
 
 
+def classes_of(m, words):
+    """Class of each word by its key: looked up, joined, or by bucket."""
+    known, joined = dict(zip(m.head.tolist(), m.of[1 : 1 + len(m.head)].tolist())), {r["key"]: r["cls"] for r in m.rare.collect()}
+    data = " ".join(words).encode()
+    ends = np.flatnonzero(np.frombuffer(data + b" ", np.uint8) == 32)
+    keys = class_lm.word_keys(np.frombuffer(data, np.uint8), np.concatenate([[0], ends[:-1] + 1]), ends).tolist()
+    return {w: known.get(k, joined.get(k, int(m.of[1 + len(m.head) + (k & (class_lm.SUFFIX_UNITS - 1))]))) for w, k in zip(words, keys)}
+
+
+def test_class_lm_score_by_the_formula(spark):
+    """The whole score from the learned classes alone, in plain Python: with words that are looked up, joined, and unseen."""
+    rows = [(i, t, i is not None and i % 3 == 0) for i, t in AWKWARD] + [(99, "unseen unseen Unseen words here " * 30, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    for known_share in (1e-6, 0.03):
+        options = {"classes": 8, "head_share": 0.05, "known_share": known_share, "prior": 5.0}
+        m = class_lm.train(docs, **options)
+        of = classes_of(m, sorted({w for _, t, _ in rows for w in spaced(t)})) | {None: 0}
+        texts = [[*spaced(t), None] for _, t, held in rows if not held]
+        count, pairs, of_class, kinds = Counter(w for t in texts for w in t), Counter(), Counter(), Counter()
+        for t in texts:
+            pairs.update(zip([0, *(of[w] for w in t)], (of[w] for w in t)))
+        for w, n in count.items():
+            of_class[of[w]] += n
+            kinds[of[w]] += 1
+        once, twice = (sum(n == k for w, n in count.items() if w is not None) for k in (1, 2))
+        d = min(0.95, max(0.05, once / max(once + 2 * twice, 1)))
+        total = sum(pairs.values())
+        into, out = [[sum(n for pair, n in pairs.items() if pair[side] == c) for c in range(8)] for side in (1, 0)]
+
+        def step(a, b):
+            return (pairs[a, b] + 5.0 * (into[b] + 1) / (total + 8)) / (out[a] + 5.0)
+
+        def emitted(w):
+            c = of[w]
+            return 1.0 if w is None else ((count[w] - d) if count[w] else d * kinds[c] + 1) / (of_class[c] + 1)
+
+        want = []
+        for i, t, _ in rows:
+            tokens = [*spaced(t), None]
+            p = sum(math.log10(step(a, of[w]) * emitted(w)) for a, w in zip([0, *(of[w] for w in tokens)], tokens))
+            want.append((str(i), len(tokens), round(p, 6)))
+        for scored in (class_lm.score(docs, m), class_lm.train_and_score(docs, **options)):
+            got = scored.collect()
+            assert sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 6)) for r in got) == sorted(want)
+            assert all(math.isclose(r["perplexity"], 10 ** (-r["score"] / r["n_tokens"])) for r in got)
+
+
+def test_frequent_unseen_words_are_not_joined(spark):
+    docs = spark.createDataFrame([(0, "a b c", False), (1, "x " * 500, True)], "doc_id long, text string, held_out boolean")
+    m = class_lm.train(docs, classes=4, known_share=0.1)
+    x = class_lm.word_keys(np.frombuffer(b"x", np.uint8), np.array([0]), np.array([1]))[0]
+    assert x in m.head.tolist() and m.head_n[m.head.tolist().index(x)] == 0
+
+
 def test_class_lm_without_training_rows(spark):
     docs = documents(spark).select("doc_id", "text").withColumn("held_out", F.lit(True))
     m = class_lm.train(docs.limit(0), classes=4)
