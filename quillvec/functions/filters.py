@@ -1,7 +1,9 @@
 """Predicates over integer labels, compiled to Spark columns.
 
-A predicate over a missing field is false, never null, so `And` and `Or` need no third value.
-Fields are positions in an array column `labels`; a name is an ordinary column, which Parquet can push down.
+Fields are positions in an array column `labels`; a name is an ordinary column, whose predicate Parquet scans push down.
+
+A predicate over a missing field matches nothing.  `column` gives the plain test, null there, for a `where`, which takes null as false, as
+do `And` and `Or` of tests; wrapped tests would not be pushed down.  `truth` is never null, for a column of results.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ class Filter:
     def column(self, labels: str = "labels") -> Column:
         raise NotImplementedError
 
+    def truth(self, labels: str = "labels") -> Column:
+        return F.coalesce(self.column(labels), F.lit(False))
+
     def __and__(self, other: Filter) -> Filter:
         return And((self, other))
 
@@ -30,10 +35,6 @@ def _field(field: Field, labels: str) -> Column:
     return F.col(field) if isinstance(field, str) else F.get(F.col(labels), field)
 
 
-def _sure(test: Column) -> Column:
-    return F.coalesce(test, F.lit(False))
-
-
 @dataclass(frozen=True)
 class Everything(Filter):
     """Matches all rows."""
@@ -48,7 +49,7 @@ class Equal(Filter):
     value: int
 
     def column(self, labels: str = "labels") -> Column:
-        return _sure(_field(self.field, labels) == self.value)
+        return _field(self.field, labels) == self.value
 
 
 @dataclass(frozen=True)
@@ -59,7 +60,7 @@ class OneOf(Filter):
     values: tuple[int, ...]
 
     def column(self, labels: str = "labels") -> Column:
-        return _sure(_field(self.field, labels).isin(list(self.values))) if self.values else F.lit(False)
+        return _field(self.field, labels).isin(list(self.values)) if self.values else F.lit(False)
 
 
 @dataclass(frozen=True)
@@ -68,7 +69,7 @@ class Less(Filter):
     value: int
 
     def column(self, labels: str = "labels") -> Column:
-        return _sure(_field(self.field, labels) < self.value)
+        return _field(self.field, labels) < self.value
 
 
 @dataclass(frozen=True)
@@ -77,7 +78,7 @@ class Greater(Filter):
     value: int
 
     def column(self, labels: str = "labels") -> Column:
-        return _sure(_field(self.field, labels) > self.value)
+        return _field(self.field, labels) > self.value
 
 
 @dataclass(frozen=True)
@@ -89,7 +90,7 @@ class Between(Filter):
     high: int
 
     def column(self, labels: str = "labels") -> Column:
-        return _sure(_field(self.field, labels).between(self.low, self.high))
+        return _field(self.field, labels).between(self.low, self.high)
 
 
 @dataclass(frozen=True)

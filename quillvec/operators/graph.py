@@ -11,26 +11,74 @@ nearest first, up to the degree.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from ..functions.distance import Metric, metric
+from .validate import matrix
 
 # ---- relational steps
 
 
+#: Bytes of centroids sent to every task, at most; more are joined.
+CENTROID_BYTES = 32 << 20
+
+
+def _means(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, centroid): tasks add up whole vectors by key, so that only a row for each task and key is shuffled."""
+    fields = [vectors.schema[k] for k in keys]
+    schema = StructType([*fields, StructField("n", LongType()), StructField("sums", ArrayType(DoubleType()))])
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+
+        def flush():
+            rows = list(held.items())
+            names = [pa.array([k[i] for k, _ in rows], batch.schema.field(f.name).type) for i, f in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array([n for _, (n, _) in rows], pa.int64()), pa.array([s for _, (_, s) in rows], pa.list_(pa.float64()))], schema.names)
+            held.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = matrix(batch.column("embedding"))
+            if not keys:
+                parts = [((), np.arange(len(x)))]
+            else:
+                own = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+                kinds = {k: i for i, k in enumerate(dict.fromkeys(own))}
+                code = np.array([kinds[k] for k in own])
+                order = np.argsort(code, kind="stable")
+                parts = list(zip(kinds, np.split(order, np.flatnonzero(np.diff(code[order])) + 1), strict=True))
+            for key, at in parts:
+                n, total = held.get(key, (0, 0.0))
+                held[key] = (n + len(at), total + x[at].sum(0))
+            if len(held) > 4096:
+                yield from flush()
+        if held:
+            yield from flush()
+
+    partial = vectors.select(*keys, "embedding").mapInArrow(run, schema).select(*keys, "n", F.posexplode("sums").alias("pos", "x"))
+    each = partial.groupBy(*keys, "pos").agg((F.sum("x") / F.sum("n")).alias("x"))
+    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centroid"))
+
+
 def centroid(vectors: DataFrame) -> DataFrame:
-    """One row (centroid): the mean of each element over all vectors; partial sums before the shuffle."""
-    each = vectors.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("x"))
-    return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centroid"))
+    """One row (centroid): the mean of each element over all vectors."""
+    return _means(vectors, [])
 
 
 def medoid(vectors: DataFrame, metric_name: str = "l2", by: str | None = None) -> DataFrame:
     """(id, dist), the vector nearest to the centroid of all, or one row for each value of `by`; ties go to the smaller id."""
     keys = [by] if by else []
-    each = vectors.select(*keys, F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg("x").alias("x"))
-    centre = each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centroid"))
-    met = vectors.join(F.broadcast(centre), by) if by else vectors.join(F.broadcast(centre), F.lit(True))  # a row for each key
+    centre = _means(vectors, keys)
+    if by:
+        dim, n = centre.agg(F.max(F.size("centroid")), F.count("*")).first()
+        met = vectors.join(F.broadcast(centre) if n * ((dim or 0) * 8 + 64) <= CENTROID_BYTES else centre, by)
+    else:
+        met = vectors.join(F.broadcast(centre), F.lit(True))  # one row
     dist = metric(metric_name).column(F.col("embedding"), F.col("centroid"))
     return met.groupBy(*keys).agg(F.min(F.struct(dist.alias("dist"), F.col("id").alias("id"))).alias("m")).select(*keys, "m.id", "m.dist")
 
@@ -114,55 +162,126 @@ def padded(neighbors: Column | str, degree: int, pad: int = 0xFFFFFFFF) -> Colum
 # ---- array kernels, for one shard
 
 
-def _square(m: Metric, x: np.ndarray) -> np.ndarray:
-    return m.kernel(x, x)
+#: Bytes of distances between candidates that are held at once.
+AMONG_BYTES = 64 << 20
 
 
-def prune_pool(to_node: np.ndarray, among: np.ndarray, degree: int, alpha: float, *, rule: str = "vamana", fill: bool = True) -> np.ndarray:
-    """Places of the chosen candidates; to_node: their ascending distances from the node, among: between them."""
-    hides = among < alpha * to_node[None] if rule == "strict" else alpha * among <= to_node[None]  # [selected, candidate]
-    open_, kept = np.ones(len(to_node), bool), []
-    for i in range(len(to_node)):
-        if open_[i]:
-            kept.append(i)
-            if len(kept) == degree:
-                break
-            open_ &= ~hides[i]
-    if fill and len(kept) < degree:
-        rest = np.setdiff1d(np.arange(len(to_node)), kept, assume_unique=True)
-        kept += rest[: degree - len(kept)].tolist()
-    return np.array(kept, np.int64)
-
-
-def build_shard(x: np.ndarray, degree: int, pool: int, alpha: float, metric_name: str, *, rule: str = "vamana", seed: int = 42) -> tuple[list[np.ndarray], int]:
-    """(neighbours of each row, place of the medoid) of one shard.
-
-    Candidates of a node are its `pool` nearest rows, found exactly block by block, and random rows for long links; then
-    pruning, symmetrization and pruning again.
+def pruned(to_node: np.ndarray, among: np.ndarray, degree: int, alpha: float, *, rule: str = "vamana", fill: bool = True) -> np.ndarray:
+    """Places of the chosen candidates, a row for each node, filled up with -1.
+
+    to_node: (nodes, candidates), their ascending distances from the node, infinite beyond the last.  among: (nodes, candidates, candidates).
     """
-    m, n = metric(metric_name), len(x)
-    start = int(np.argmin(m.kernel(x.mean(0, keepdims=True), x)[0]))
-    random = np.random.default_rng(seed)
-    chosen: list[np.ndarray] = []
-    wide = min(pool, n - 1)
-    for first in range(0, n, 512):
-        d = m.kernel(x[first : first + 512], x)
-        d[np.arange(len(d)), first + np.arange(len(d))] = np.inf
-        near = np.argpartition(d, wide - 1, axis=1)[:, :wide] if wide else np.zeros((len(d), 0), np.int64)
-        for r in range(len(d)):
-            far = random.integers(0, n, max(degree // 4, 1))
-            c = np.union1d(near[r], far[far != first + r])
-            c = c[np.lexsort((c, d[r, c]))]
-            chosen.append(c[prune_pool(d[r, c], _square(m, x[c]), degree, alpha, rule=rule)] if len(c) else c)
-    src = np.repeat(np.arange(n), [len(c) for c in chosen])
-    dst = np.concatenate(chosen) if n else np.zeros(0, np.int64)
+    rows, wide = to_node.shape
+    out, count = np.full((rows, degree), -1, np.int64), np.zeros(rows, np.int64)
+    real = np.isfinite(to_node)
+    open_, kept = real.copy(), np.zeros(to_node.shape, bool)
+    for i in range(wide):
+        take = np.flatnonzero(open_[:, i] & (count < degree))
+        if not len(take):
+            continue
+        out[take, count[take]] = i
+        count[take] += 1
+        kept[take, i] = True
+        between, own = among[take, i, i + 1 :], to_node[take, i + 1 :]
+        open_[take, i + 1 :] &= ~(between < alpha * own if rule == "strict" else alpha * between <= own)
+    if fill:
+        rest = real & ~kept
+        place = count[:, None] + rest.cumsum(1) - 1
+        r, c = np.nonzero(rest & (place < degree))
+        out[r, place[r, c]] = c
+    return out
+
+
+def prune_pool(to_node: np.ndarray, among: np.ndarray, degree: int, alpha: float, *, rule: str = "vamana", fill: bool = True) -> np.ndarray:
+    """The same for one node."""
+    out = pruned(to_node[None], among[None], degree, alpha, rule=rule, fill=fill)[0]
+    return out[out >= 0]
+
+
+def chosen_neighbors(nodes: np.ndarray, pool: np.ndarray, x: np.ndarray, degree: int, alpha: float, m: Metric, *, rule: str = "vamana", fill: bool = True) -> np.ndarray:
+    """(nodes, degree) places, filled up with -1: of each row of `pool`, places with -1 for none, counted once and without the node, the pruned ones."""
+    out = np.full((len(nodes), degree), -1, np.int64)
+    if not pool.size:
+        return out
+    step = max(1, AMONG_BYTES // (8 * pool.shape[1] ** 2))
+    for low in range(0, len(nodes), step):
+        own, c = nodes[low : low + step], np.sort(pool[low : low + step], axis=1)
+        none = (c < 0) | (c == own[:, None])
+        none[:, 1:] |= c[:, 1:] == c[:, :-1]
+        d = np.full(c.shape, np.inf)
+        r, k = np.nonzero(~none)
+        d[r, k] = m.pairs(x[own[r]], x[c[r, k]])
+        order = np.argsort(d, axis=1, kind="stable")[:, : max(int((~none).sum(1).max()), 1)]  # ties go to the smaller place
+        c, d = np.take_along_axis(c, order, 1), np.take_along_axis(d, order, 1)
+        rows = x[np.maximum(c, 0)]
+        at = pruned(d, m.kernel(rows, rows), degree, alpha, rule=rule, fill=fill)
+        out[low : low + step] = np.where(at >= 0, np.take_along_axis(c, np.maximum(at, 0), 1), -1)
+    return out
+
+
+def linked_back(near: np.ndarray, x: np.ndarray, degree: int, alpha: float, m: Metric, *, rule: str = "vamana") -> np.ndarray:
+    """The graph with all links in both directions; lists of more than `degree` are pruned."""
+    from .beam import padded_matrix
+
+    n = len(near)
+    src, k = np.nonzero(near >= 0)
+    dst = near[src, k]
     both = np.unique(np.concatenate([src * n + dst, dst * n + src]))
     src, dst = both // max(n, 1), both % max(n, 1)
-    out = []
-    for u, c in enumerate(np.split(dst, np.searchsorted(src, np.arange(1, n)))):
-        if len(c) > degree:
-            d = m.kernel(x[u : u + 1], x[c])[0]
-            order = np.lexsort((c, d))
-            c = c[order][prune_pool(d[order], _square(m, x[c[order]]), degree, alpha, rule=rule)]
-        out.append(c)
-    return out, start
+    sizes = np.bincount(src, minlength=n)
+    begins = np.cumsum(sizes) - sizes
+    out = np.full((n, degree), -1, np.int64)
+    few = sizes[src] <= degree
+    out[src[few], np.arange(len(src))[few] - begins[src[few]]] = dst[few]
+    full = np.flatnonzero(sizes > degree)
+    full = full[np.argsort(sizes[full], kind="stable")]  # lists of like lengths together
+    for low in range(0, len(full), 1024):
+        own = full[low : low + 1024]
+        pool = padded_matrix([dst[begins[u] : begins[u] + sizes[u]] for u in own])
+        out[own] = chosen_neighbors(own, pool, x, degree, alpha, m, rule=rule)
+    return out
+
+
+def _near_and_far(x: np.ndarray, degree: int, pool: int, alpha: float, m: Metric, rule: str, random: np.random.Generator) -> np.ndarray:
+    """Candidates of a node are its `pool` nearest rows, found exactly block by block, and random rows for long links."""
+    n = len(x)
+    near = np.full((n, degree), -1, np.int64)
+    wide = min(pool, n - 1)
+    for first in range(0, n, 512):
+        own = np.arange(first, min(first + 512, n))
+        d = m.kernel(x[own], x)
+        d[np.arange(len(own)), own] = np.inf
+        best = np.argpartition(d, wide - 1, axis=1)[:, :wide] if wide else np.zeros((len(own), 0), np.int64)
+        far = random.integers(0, n, (len(own), max(degree // 4, 1)))
+        near[own] = chosen_neighbors(own, np.concatenate([best, far], 1), x, degree, alpha, m, rule=rule)
+    return linked_back(near, x, degree, alpha, m, rule=rule)
+
+
+def _by_search(x: np.ndarray, start: int, degree: int, pool: int, alpha: float, m: Metric, rule: str, random: np.random.Generator, passes: int = 2, seeds: int = 2) -> np.ndarray:
+    """From a random graph: in each pass every node searches the graph of the pass before, from the medoid and from random nodes, and prunes what it met."""
+    from .beam import beam_search
+
+    n, own = len(x), np.arange(len(x))
+    want = min(max(degree // 2, 2), n - 1, degree)
+    near = np.full((n, degree), -1, np.int64)
+    if want:
+        near[:, :want] = (own[:, None] + np.stack([random.choice(n - 1, want, replace=False) + 1 for _ in range(n)])) % n
+    for _ in range(passes):
+        met = [beam_search(x, x, near, s, pool, m)[0] for s in [np.full(n, start), *(random.integers(0, n, n) for _ in range(seeds))]]
+        near = linked_back(chosen_neighbors(own, np.concatenate([near, *met], 1), x, degree, alpha, m, rule=rule), x, degree, alpha, m, rule=rule)
+    return near
+
+
+def build_shard(x: np.ndarray, degree: int, pool: int, alpha: float, metric_name: str, *, rule: str = "vamana", method: str = "exact", seed: int = 42) -> tuple[np.ndarray, int]:
+    """(neighbours of each row, filled up with -1; place of the medoid) of one shard.
+
+    method: `search` finds candidates by two passes of beam searches from a random graph; `exact` compares all rows of the shard, which for
+    shards of a bounded size is one matrix product a block, and adds random rows.
+    """
+    m, random = metric(metric_name), np.random.default_rng(seed)
+    if not len(x):
+        return np.zeros((0, degree), np.int64), 0
+    start = int(np.argmin(m.kernel(x.mean(0, keepdims=True), x)[0]))
+    if method == "search":
+        return _by_search(x, start, degree, pool, alpha, m, rule, random), start
+    return _near_and_far(x, degree, pool, alpha, m, rule, random), start

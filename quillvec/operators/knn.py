@@ -1,13 +1,13 @@
 """Exact nearest neighbours: a set of queries against all rows, in blocks.
 
-Queries are few beside the data.  They go to the tasks in blocks of bounded size; a task keeps the best k of each query over its
-rows with one matrix product for each batch, and only those reach the shuffle, where a window ranks
+Queries are few beside the data, as a rule: a set of bounded size goes to every task, and a larger one meets the rows in packed blocks.  A task
+keeps the best k of each query over its rows with one matrix product for each batch, and only those reach the shuffle, where a window ranks
 them.  Ties go to the smaller id.  A filter is applied to the rows first, so that the scan can push it down.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,22 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import metric as metric_named
 from ..functions.filters import Filter
-from .validate import VectorError
+from .validate import VectorError, matrix
 
-#: Bytes of queries sent to a task at once.
-BLOCK_BYTES = 32 << 20
-
-
-def matrix(column: pa.Array, what: str = "vector") -> np.ndarray:
-    """The rows of a list column as a matrix of doubles; all must be of one size, without nulls."""
-    if not len(column):
-        return np.zeros((0, 0))
-    if column.null_count:
-        raise VectorError(f"a {what} is null")
-    flat = column.flatten()
-    if len(flat) % len(column) or (np.diff(column.offsets.to_numpy()) != len(flat) // len(column)).any():
-        raise VectorError(f"{what}s have different sizes")
-    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+#: Bytes of queries sent to every task, and in a packed block; rows in a packed block.
+BLOCK_BYTES, PACK_BYTES, PACK_ROWS = 32 << 20, 1 << 20, 4096
 
 
 def select_k(dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -49,57 +37,123 @@ def rank_top_k(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("qid", "id", "rank", "dist")
 
 
-def query_blocks(queries: DataFrame, dim: int | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of blocks of queries (qid, q), each of BLOCK_BYTES at most in expectation."""
-    n, size = queries.agg(F.count("*"), F.max(F.size("q"))).first()
-    if not n:
-        return []
-    parts = max(1, -(-n * size * 8 // BLOCK_BYTES))
-    blocks = []
-    for part in range(parts):
-        own = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == part)
-        held = own.select(F.col("qid").cast("long"), F.col("q").cast("array<double>")).toArrow().combine_chunks()
-        if held.num_rows:
-            q = matrix(held["q"].combine_chunks(), "query")
-            if dim is not None and q.shape[1] != dim:
-                raise VectorError(f"queries have {q.shape[1]} elements, the index {dim}")
-            blocks.append((held["qid"].to_numpy(), q))
-    return blocks
+def check_queries(queries: DataFrame, dim: int | None = None) -> tuple[int, int]:
+    """(queries, bytes of their vectors); raises if sizes differ from `dim`, or from one another."""
+    n, low, high = queries.agg(F.count("*"), F.min(F.size("q")), F.max(F.size("q"))).first()
+    if n and (low != high or dim not in (None, high)):
+        raise VectorError(f"queries have from {low} to {high} elements" + ("" if dim is None else f", the index {dim}"))
+    return n, n * (high or 0) * 8
+
+
+def packed_queries(queries: DataFrame) -> DataFrame:
+    """(qids, q): runs of queries as 64-bit integers and rows of doubles, `PACK_BYTES` of vectors each at most."""
+
+    def run(batches):
+        for batch in batches:
+            q, ids = matrix(batch.column("q"), "query"), batch.column("qid").to_numpy().astype("<i8")
+            step = max(1, PACK_BYTES // max(8 * (q.shape[1] if len(q) else 1), 1))
+            for i in range(0, len(ids), step):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i : i + step].tobytes()]), pa.array([q[i : i + step].tobytes()])], ["qids", "q"])
+
+    return queries.select(F.col("qid").cast("long").alias("qid"), F.col("q").cast("array<double>").alias("q")).mapInArrow(run, "qids binary, q binary")
+
+
+def unpacked(qids: bytes, q: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(qids, "<i8")
+    return ids, np.frombuffer(q, np.float64).reshape(len(ids), -1)
+
+
+def few_queries(queries: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, matrix) of queries whose size was checked, on the driver."""
+    held = queries.select(F.col("qid").cast("long"), F.col("q").cast("array<double>")).toArrow().combine_chunks()
+    return held["qid"].to_numpy(), matrix(held["q"].combine_chunks(), "query")
+
+
+class Best:
+    """The best k of each of some queries so far."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.dist, self.ids = k, np.full((n, 0), np.inf), np.zeros((n, 0), np.int64)
+
+    def add(self, dist: np.ndarray, ids: np.ndarray) -> None:
+        """dist: (queries, rows)."""
+        keep = np.stack([select_k(d, ids, self.k) for d in dist]) if len(ids) > 4 * self.k else np.broadcast_to(np.arange(len(ids)), dist.shape)
+        d = np.concatenate([self.dist, np.take_along_axis(dist, keep, 1)], 1)
+        i = np.concatenate([self.ids, ids[keep]], 1)
+        order = np.lexsort((i, d), axis=1)[:, : self.k]
+        self.dist, self.ids = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+
+    def rows(self, qids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, self.ids.shape[1])), pa.array(self.ids.ravel()), pa.array(self.dist.ravel())], ["qid", "id", "dist"])
+
+
+def best_of_blocks(queries: DataFrame, rows: DataFrame, k: int, distances: Callable[[np.ndarray, np.ndarray], np.ndarray], column: str) -> DataFrame:
+    """(qid, id, rank, dist): the best k rows (id, `column`) of each query by distances(queries, rows).
+
+    A set of queries of BLOCK_BYTES at most goes to every task, which scans its rows once.  A larger one is packed into
+    blocks, as are the rows, and every block of the one meets every block of the other in tasks: nothing of either is gathered on the driver.
+    """
+    kind = "qid long, id long, dist double"
+    n, size = check_queries(queries)
+    if not n or k < 1:
+        return rows.sparkSession.createDataFrame([], "qid long, id long, rank int, dist double")
+    if size <= BLOCK_BYTES:
+        shared = rows.sparkSession.sparkContext.broadcast(few_queries(queries))
+
+        def scan(batches):
+            qids, q = shared.value
+            best = Best(len(q), k)
+            for batch in batches:
+                if batch.num_rows:
+                    best.add(distances(q, matrix(batch.column(column))), batch.column("id").to_numpy())
+            if best.ids.shape[1]:
+                yield best.rows(qids)
+
+        return rank_top_k(rows.select("id", column).mapInArrow(scan, kind), k)
+
+    def pack(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, PACK_ROWS):
+                part = batch.slice(i, PACK_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column("id").to_numpy().astype("<i8").tobytes()]), pa.array([matrix(part.column(column)).tobytes()])], ["ids", "x"])
+
+    def meet(batches):
+        for batch in batches:
+            for ids, x, qids, q in zip(*(batch.column(c).to_pylist() for c in ("ids", "x", "qids", "q")), strict=True):
+                own, q = unpacked(qids, q)
+                best = Best(len(q), k)
+                best.add(distances(q, np.frombuffer(x, np.float64).reshape(len(ids) // 8, -1)), np.frombuffer(ids, "<i8"))
+                yield best.rows(own)
+
+    blocks = rows.select("id", column).mapInArrow(pack, "ids binary, x binary").crossJoin(packed_queries(queries))  # of packed blocks
+    return rank_top_k(blocks.mapInArrow(meet, kind), k)
 
 
 def exact_knn(queries: DataFrame, data: DataFrame, k: int, metric: str = "l2", where: Filter | Column | None = None, *, dim: int | None = None) -> DataFrame:
     """(qid, id, rank, dist) of the nearest min(k, rows) rows of data (id, embedding) to each of queries (qid, q)."""
-    kernel = metric_named(metric).kernel
+    kernel, pairs = metric_named(metric).kernel, metric_named(metric).pairs
     if isinstance(where, Filter):
         where = where.column()
     rows = (data if where is None else data.where(where)).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    empty = rows.sparkSession.createDataFrame([], "qid long, id long, rank int, dist double")
-    blocks = query_blocks(queries, dim) if k > 0 else []
-    if not blocks:
-        return empty
-
-    def scan(qids, q):
-        shared = rows.sparkSession.sparkContext.broadcast((qids, q))
-
-        def run(batches):
-            qids, q = shared.value
-            best_d, best_i = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x, ids = matrix(batch.column("embedding")), batch.column("id").to_numpy()
-                if x.shape[1] != q.shape[1]:
-                    raise VectorError(f"queries have {q.shape[1]} elements, rows {x.shape[1]}")
-                d = np.concatenate([best_d, kernel(q, x)], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(ids, (len(q), len(ids)))], axis=1)
-                keep = np.stack([select_k(d[r], i[r], k) for r in range(len(q))])
-                best_d, best_i = np.take_along_axis(d, keep, 1), np.take_along_axis(i, keep, 1)
-            if best_d.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, best_d.shape[1])), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["qid", "id", "dist"])
-
-        return rows.mapInArrow(run, "qid long, id long, dist double")
-
-    return rank_top_k(reduce(DataFrame.unionByName, (scan(*b) for b in blocks)), k)
+    if dim is not None:
+        check_queries(queries, dim)
+
+    def distances(q, x):
+        if x.shape[1] != q.shape[1]:
+            raise VectorError(f"queries have {q.shape[1]} elements, rows {x.shape[1]}")
+        d = kernel(q, x)
+        if len(x) > 4 * k:  # a product is off in its last digits: the few that can be among the best k are computed one by one, so that equal rows tie
+            edge, scale = np.partition(d, k - 1, axis=1)[:, k - 1], np.sqrt((q**2).sum(1).max() + (x**2).sum(1).max())
+            near = d <= (edge + 1e-7 * (1 + scale) + 1e-12 * scale**2)[:, None]
+        else:
+            near = np.ones(d.shape, bool)
+        r, c = np.nonzero(near)
+        for i in range(0, len(r), 1 << 16):
+            part = slice(i, i + (1 << 16))
+            d[r[part], c[part]] = pairs(q[r[part]], x[c[part]])
+        return d
+
+    return best_of_blocks(queries, rows, k, distances, "embedding")
 
 
 def pairwise_knn(queries: DataFrame, data: DataFrame, k: int, metric: str = "l2") -> DataFrame:

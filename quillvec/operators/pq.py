@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, ShortType, StructField, StructType
 
 from .graph import hashed_choice
-from .knn import matrix, query_blocks, rank_top_k
-from .validate import VectorError, check_vectors
+from .knn import best_of_blocks, check_queries, rank_top_k
+from .validate import VectorError, check_vectors, matrix
 
 
 @dataclass(frozen=True)
@@ -84,8 +84,8 @@ def _seeds(x: np.ndarray, k: int, random: np.random.Generator) -> np.ndarray:
     return x[np.resize(picked, k)]
 
 
-def lloyd_step(vectors: DataFrame, q: Quantizer) -> Quantizer:
-    """Moves each centroid to the mean of its rows; one without rows stays."""
+def lloyd_step(vectors: DataFrame, q: Quantizer, spare: np.ndarray | None = None) -> Quantizer:
+    """Moves each centroid to the mean of its rows; one without rows goes to its part of the next row of `spare`, and stays where there is none."""
     m, k, size = q.centroids.shape
     shared = vectors.sparkSession.sparkContext.broadcast(q)
 
@@ -104,6 +104,9 @@ def lloyd_step(vectors: DataFrame, q: Quantizer) -> Quantizer:
     partial = vectors.select("embedding").mapInArrow(run, "cell long, n long, sums array<double>").select("cell", "n", F.posexplode("sums").alias("pos", "x"))
     rows = partial.groupBy("cell", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas()
     moved = q.centroids.reshape(m * k, size).copy()
+    if spare is not None and len(spare):
+        empty = np.setdiff1d(np.arange(m * k), rows["cell"].to_numpy(np.int64))
+        moved[empty] = q.parts(spare)[empty // k, np.arange(len(empty)) % len(spare)]
     moved[rows["cell"].to_numpy(np.int64), rows["pos"].to_numpy(np.int64)] = rows["x"] / rows["n"]
     return Quantizer(moved.reshape(m, k, size))
 
@@ -121,7 +124,7 @@ def train(vectors: DataFrame, config: PQConfig = PQConfig(), *, init: str = "spr
     seeds = [np.resize(p, (config.centroids, size)) if init == "first" else _seeds(p, config.centroids, random) for p in parts]
     q = Quantizer(np.stack(seeds))
     for _ in range(config.iterations):
-        q = lloyd_step(own, q)
+        q = lloyd_step(own, q, x[random.permutation(len(x))])
     return q
 
 
@@ -171,33 +174,19 @@ def table_distance(table: Column | str, codes: Column | str, k: int) -> Column:
 
 
 def adc_top_k(queries: DataFrame, coded: DataFrame, q: Quantizer, k: int) -> DataFrame:
-    """(qid, id, rank, dist): the best k of coded (id, codes) by table distance, in blocks of queries."""
-    out = coded.sparkSession.createDataFrame([], "qid long, id long, dist double")
-    rows = coded.select(F.col("id").cast("long").alias("id"), "codes")
-    for qids, x in query_blocks(queries, q.dim) if k > 0 else []:
-        shared = coded.sparkSession.sparkContext.broadcast((qids, q.tables(x)))
-
-        def run(batches, shared=shared):
-            qids, tables = shared.value
-            from .knn import select_k
-
-            best_d, best_i = np.full((len(qids), 0), np.inf), np.zeros((len(qids), 0), np.int64)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                codes, ids = matrix(batch.column("codes"), "code").astype(np.int64), batch.column("id").to_numpy()
-                d = np.zeros((len(qids), len(ids)))
-                for m in range(codes.shape[1]):
-                    d += tables[:, m, codes[:, m]]
-                d = np.concatenate([best_d, d], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(ids, (len(qids), len(ids)))], axis=1)
-                keep = np.stack([select_k(d[r], i[r], k) for r in range(len(qids))])
-                best_d, best_i = np.take_along_axis(d, keep, 1), np.take_along_axis(i, keep, 1)
-            if best_d.shape[1]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, best_d.shape[1])), pa.array(best_i.ravel()), pa.array(best_d.ravel())], ["qid", "id", "dist"])
-
-        out = out.unionByName(rows.mapInArrow(run, "qid long, id long, dist double"))
-    return rank_top_k(out, k)
+    """(qid, id, rank, dist): the best k of coded (id, codes) by table distance."""
+    shared, last = coded.sparkSession.sparkContext.broadcast(q), []
+
+    def distances(x, codes):
+        if not last or last[0] is not x:
+            last[:] = [x, shared.value.tables(x)]
+        codes, out = codes.astype(np.int64), np.zeros((len(x), len(codes)))
+        for m in range(codes.shape[1]):
+            out += last[1][:, m, codes[:, m]]
+        return out
+
+    check_queries(queries, q.dim)
+    return best_of_blocks(queries, coded.select(F.col("id").cast("long").alias("id"), "codes"), k, distances, "codes")
 
 
 def adc_rerank(queries: DataFrame, coded: DataFrame, data: DataFrame, q: Quantizer, k: int, wide: int, metric_name: str = "l2sq") -> DataFrame:

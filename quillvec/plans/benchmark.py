@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.distance import DELTA_ID_OFFSET
-from ..functions.evaluate import percentile, recall_by_ids
+from ..functions.evaluate import all_returned_k, last_distance_ratio, mean_fraction_returned, percentile, recall_by_distance, recall_by_ids
 from ..operators.incremental import IncrementalConfig, IncrementalIndex
 from ..operators.knn import exact_knn
+from ..sources.store import size_of
 from ..sources.vecs import generate
 from . import index as ix
 
@@ -27,12 +28,13 @@ def _timed(df: DataFrame) -> float:
 
 
 def engine_info(spark: SparkSession) -> DataFrame:
-    """One row: versions and cores that searches run with."""
+    """One row: versions and cores that searches run with, and the vector instructions that this machine's array kernels use."""
     import numpy
     import pyarrow
 
-    row = (spark.version, numpy.__version__, pyarrow.__version__, spark.sparkContext.defaultParallelism, spark.sparkContext.master)
-    return spark.createDataFrame([row], "spark string, numpy string, pyarrow string, cores int, master string")
+    simd = ",".join(numpy.show_config(mode="dicts").get("SIMD Extensions", {}).get("found", []))
+    row = (spark.version, numpy.__version__, pyarrow.__version__, spark.sparkContext.defaultParallelism, spark.sparkContext.master, simd)
+    return spark.createDataFrame([row], "spark string, numpy string, pyarrow string, cores int, master string, simd string")
 
 
 def run_benchmark(data: DataFrame, queries: DataFrame, path: str, *, k: int = 10, beams: tuple[int, ...] = (16, 64, 128), metric: str = "l2", params: ix.IndexParams = ix.IndexParams(), repeats: int = 3) -> DataFrame:
@@ -86,3 +88,60 @@ def run_incremental_benchmark(spark: SparkSession, path: str, base: int = 1_000,
     index.compact()
     rows.append(("compact", base + batches * batch - deletes - 10, time.perf_counter() - began))
     return spark.createDataFrame(rows, "phase string, n int, seconds double")
+
+
+def build_times(spark: SparkSession, path: str, sizes: tuple[int, ...] = (10_000, 50_000, 100_000), dim: int = 128, *, params: ix.IndexParams = ix.IndexParams(32, 64)) -> DataFrame:
+    """A row for each size of generated data: seconds of building, and rows a second."""
+    rows = []
+    for n in sizes:
+        data = generate(spark, n, dim, 42)
+        began = time.perf_counter()
+        ix.build_index(data, f"{path}/{n}", "l2", params)
+        took = time.perf_counter() - began
+        rows.append((n, dim, took, n / took))
+    return spark.createDataFrame(rows, "n int, dim int, build_seconds double, rows_per_second double")
+
+
+#: Data sizes and dimensions of the benchmark matrix; the large ones take a cluster.
+QUICK_CASES, LARGE_CASES = ((10_000, 128), (50_000, 128)), ((100_000, 128), (500_000, 128), (50_000, 768))
+
+
+def bench_matrix(spark: SparkSession, path: str, *, large: bool = False, cases: tuple[tuple[int, int], ...] | None = None, n_queries: int = 1_000, beams: tuple[int, ...] = (64, 128, 256), params: ix.IndexParams = ix.IndexParams(32, 64)) -> DataFrame:
+    """`run_benchmark` on generated data of each (rows, dim): the cases given, or the quick ones and perhaps the large ones."""
+    out = None
+    for n, dim in cases or (QUICK_CASES + LARGE_CASES if large else QUICK_CASES):
+        queries = generate(spark, n_queries, dim, 123).select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
+        one = run_benchmark(generate(spark, n, dim, 42), queries, f"{path}/{n}-{dim}", beams=beams, params=params, repeats=1)
+        one = one.select(F.lit(n).alias("n"), F.lit(dim).alias("dim"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def memory_of_searches(index: ix.Index, queries: DataFrame, *, k: int = 10, beams: tuple[int, ...] = (32, 64, 128)) -> DataFrame:
+    """A row for each beam: bytes of the index's files, and the most memory that a worker of its search has had, in bytes."""
+    rows = []
+    for beam in beams:
+
+        def peak(batches):
+            import resource
+
+            import pyarrow as pa
+
+            for _ in batches:
+                pass
+            yield pa.RecordBatch.from_arrays([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024], pa.int64())], ["bytes"])
+
+        found = ix.search(index, queries, k, beam, mode="graph").select("qid")
+        rows.append((beam, size_of(index.table), found.mapInArrow(peak, "bytes long").agg(F.max("bytes")).first()[0]))
+    return index.spark.createDataFrame(rows, "beam int, index_bytes long, worker_peak_bytes long")
+
+
+def search_report(index: ix.Index, queries: DataFrame, truth: DataFrame, k: int, beam: int) -> DataFrame:
+    """One row of a batch search against the truth (qid, id, rank, dist): recall by distance, fraction returned, last distance over the true one, whether all have k rows, and queries a second."""
+    n = queries.count()
+    found = ix.search(index, queries, k, beam, mode="graph")
+    qps = n / max(_timed(found), 1e-9)
+    near = F.round(F.col("dist"), 9).alias("dist")
+    found, truth = (df.select("qid", "id", "rank", near) for df in (found, truth))
+    row = recall_by_distance(found, truth, k).crossJoin(mean_fraction_returned(found, queries, k)).crossJoin(last_distance_ratio(found.where("dist > 0"), truth.where("dist > 0"), k)).crossJoin(all_returned_k(found, queries, index.rows, k))
+    return row.withColumn("qps", F.lit(qps))  # of one row each

@@ -12,11 +12,14 @@ from __future__ import annotations
 import struct
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.pq import Quantizer
 from ..operators.validate import VectorError, check_labels
+from . import store
+from .vecs import lists_of, runs
 
 GAP, PAD = 1 << 20, 0xFFFFFFFF
 
@@ -28,43 +31,40 @@ def _metadata(data: bytes) -> dict:
 
 
 def read_index_metadata(path: str) -> dict:
-    with open(path, "rb") as f:
+    with store.reader(path) as f:
         head = f.read(8)
         if len(head) < 8:
             raise VectorError(f"{path} is no index file")
         return _metadata(f.read(struct.unpack("<Q", head)[0]))
 
 
-def read_index(spark: SparkSession, path: str, rows_at_once: int = 8192) -> DataFrame:
-    """(id, embedding, neighbors): tasks read runs of rows; the file must be readable on every machine under one path."""
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """(id, embedding, neighbors): tasks read runs of rows; the file must be readable on every machine under one name."""
     meta = read_index_metadata(path)
     n, dim, degree = meta["num_vectors"], meta["dim"], meta["max_degree"]
+    starts, step = runs(spark, n, 4 * (dim + degree))
 
     def run(batches):
-        import pyarrow as pa
-
-        with open(path, "rb") as f:
+        with store.reader(path) as f:
             for batch in batches:
                 for first in batch.column("first").to_pylist():
-                    m = min(rows_at_once, n - first)
-                    f.seek(meta["vectors_offset"] + first * dim * 4)
-                    x = np.frombuffer(f.read(m * dim * 4), "<f4").reshape(m, dim)
-                    f.seek(meta["adjacency_offset"] + first * degree * 4)
-                    near = np.frombuffer(f.read(m * degree * 4), "<u4").reshape(m, degree)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + m)), pa.array(list(x), pa.list_(pa.float32())), pa.array([r[r != PAD].astype(np.int64) for r in near], pa.list_(pa.int64()))], ["id", "embedding", "neighbors"])
-
-    starts = spark.range(0, n, rows_at_once).withColumnRenamed("id", "first")
+                    m = min(step, n - first)
+                    x = np.frombuffer(f.read_at(m * dim * 4, meta["vectors_offset"] + first * dim * 4), "<f4").reshape(m, dim)
+                    near = np.frombuffer(f.read_at(m * degree * 4, meta["adjacency_offset"] + first * degree * 4), "<u4").reshape(m, degree)
+                    real = near != PAD
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(real.sum(1))]).astype(np.int32)), pa.array(near[real].astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + m)), lists_of(x, pa.float32()), lists], ["id", "embedding", "neighbors"])
+
     return starts.mapInArrow(run, "id long, embedding array<float>, neighbors array<long>")
 
 
 def write_index(nodes: DataFrame, path: str, metric: str, medoid_id: int, max_degree: int) -> None:
-    """One local file of nodes (id from 0, embedding, neighbors), streamed in order of id, twice: vectors, then adjacency."""
+    """One file of nodes (id from 0, embedding, neighbors), streamed in order of id, twice: vectors, then adjacency."""
     n, dim = nodes.agg(F.count("*"), F.max(F.size("embedding"))).first()
     name = metric.encode()
     meta = struct.pack("<QQQIQQQ", dim, n, max_degree, medoid_id, GAP, GAP + n * dim * 4, len(name)) + name
-    with open(path, "wb") as f:
-        f.write(struct.pack("<Q", len(meta)) + meta)
-        f.seek(GAP)
+    with store.writer(path) as f:
+        f.write((struct.pack("<Q", len(meta)) + meta).ljust(GAP, b"\0"))
         for r in nodes.orderBy("id").select("embedding").toLocalIterator():
             f.write(np.asarray(r["embedding"], "<f4").tobytes())
         for r in nodes.orderBy("id").select("neighbors").toLocalIterator():
@@ -73,31 +73,45 @@ def write_index(nodes: DataFrame, path: str, metric: str, medoid_id: int, max_de
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """(id, labels); labels of 2**63 and more are refused."""
-    with open(path, "rb") as f:
-        f.read(8)
-        n, fields = struct.unpack("<QQ", f.read(16))
-        values = np.frombuffer(f.read(n * fields * 8), "<u8").reshape(n, fields)
-    if len(values) and values.max() >= 1 << 63:
-        raise VectorError("a label exceeds 63 bits")
-    return spark.createDataFrame([(i, r) for i, r in enumerate(values.astype(np.int64).tolist())], "id long, labels array<long>")
+    """(id, labels), read by tasks in runs of rows; labels of 2**63 and more are refused."""
+    with store.reader(path) as f:
+        head = f.read(24)
+    if len(head) < 24:
+        raise VectorError(f"{path} is no label file")
+    _, n, fields = struct.unpack("<QQQ", head)
+    if store.size_of(path) != 24 + 8 * n * fields:
+        raise VectorError(f"{path} does not have {n} rows of {fields} labels")
+    starts, step = runs(spark, n, 8 * fields)
+
+    def run(batches):
+        with store.reader(path) as f:
+            for batch in batches:
+                for first in batch.column("first").to_pylist():
+                    m = min(step, n - first)
+                    values = np.frombuffer(f.read_at(m * fields * 8, 24 + first * fields * 8), "<u8").reshape(m, fields)
+                    if values.size and values.max() >= 1 << 63:
+                        raise VectorError("a label exceeds 63 bits")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + m)), lists_of(values.astype(np.int64), pa.int64())], ["id", "labels"])
+
+    return starts.mapInArrow(run, "id long, labels array<long>")
 
 
 def write_labels(labels: DataFrame, path: str) -> None:
+    """One file of labels (id from 0, labels), streamed in order of id."""
     n, fields = check_labels(labels)
-    with open(path, "wb") as f:
+    with store.writer(path) as f:
         f.write(struct.pack("<QQQ", 16, n, fields))
         for r in labels.orderBy("id").toLocalIterator():
             f.write(np.asarray(r["labels"], "<u8").tobytes())
 
 
 def read_quantizer(path: str) -> Quantizer:
-    with open(path, "rb") as f:
+    with store.reader(path) as f:
         dim, m, k, size, n = struct.unpack("<5Q", f.read(40))
         return Quantizer(np.frombuffer(f.read(4 * n), "<f4").astype(np.float64).reshape(m, k, size))
 
 
 def write_quantizer(q: Quantizer, path: str) -> None:
     m, k, size = q.centroids.shape
-    with open(path, "wb") as f:
+    with store.writer(path) as f:
         f.write(struct.pack("<5Q", m * size, m, k, size, m * k * size) + q.centroids.astype("<f4").tobytes())

@@ -1,60 +1,70 @@
 """Vector benchmark files and generated vectors.
 
 .fvecs, .ivecs and .bvecs files are records of a little-endian 32-bit dimension and as many floats, integers or
-bytes.  Records of one length are split by Spark itself, so a file is read by many tasks.
+bytes.  Tasks read runs of records as arrays; a file is named by a URI or a path that every machine can open.
 """
 
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.validate import VectorError
+from . import store
 
-_KINDS = {"fvecs": ("<f4", 4, "array<float>"), "ivecs": ("<u4", 4, "array<long>"), "bvecs": ("u1", 1, "array<float>")}
+_KINDS = {"fvecs": ("<f4", pa.float32(), "array<float>"), "ivecs": ("<u4", pa.int64(), "array<long>"), "bvecs": ("u1", pa.float32(), "array<float>")}
+#: Bytes that a task reads at once, about.
+RUN_BYTES = 4 << 20
 
 
-def _dimension(spark: SparkSession, path: str) -> int:
-    """The first file's first four bytes, through the file system that the path names."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
-    try:
-        return struct.unpack("<I", bytes(stream.read() for _ in range(4)))[0]
-    except struct.error as e:
-        raise VectorError(f"{path} has no record") from e
-    finally:
-        stream.close()
+def lists_of(x: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """The rows of a matrix as a list array."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(np.ascontiguousarray(x).ravel()).cast(kind))
+
+
+def runs(spark: SparkSession, n: int, bytes_each: int) -> tuple[DataFrame, int]:
+    """(first) of runs of n records, a row each, and the records of a run."""
+    step = max(1, RUN_BYTES // max(bytes_each, 1))
+    return spark.range(0, n, step).withColumnRenamed("id", "first"), step
 
 
 def read_vecs(spark: SparkSession, path: str, kind: str, *, limit: int | None = None) -> DataFrame:
-    """(id, embedding) of a file, in file order from 0; limit: the first so many rows.  bvecs become floats."""
-    dtype, width, column = _KINDS[kind]
-    dim = _dimension(spark, path)
-    size = 4 + width * dim
-    records = spark.sparkContext.binaryRecords(path, size)  # the one reader that splits fixed-length records
-    if limit is not None:
-        records = records.zipWithIndex().filter(lambda r: r[1] < limit)
-    else:
-        records = records.zipWithIndex()
-
-    def row(r):
-        data, i = r
-        if struct.unpack_from("<I", data)[0] != dim:
-            raise VectorError(f"record {i} is not of {dim} elements")
-        return i, np.frombuffer(data, dtype, dim, 4).astype(np.float64 if dtype != "<u4" else np.int64).tolist()
-
-    raw = "array<double>" if dtype != "<u4" else "array<long>"
-    return spark.createDataFrame(records.map(row), f"id long, embedding {raw}").select("id", F.col("embedding").cast(column).alias("embedding"))
+    """(id, embedding) of a file, in file order from 0; limit: the first so many rows, of which no others are read.  bvecs become floats."""
+    dtype, element, column = _KINDS[kind]
+    total = store.size_of(path)
+    with store.reader(path) as f:
+        head = f.read(4)
+    if len(head) < 4:
+        raise VectorError(f"{path} has no record")
+    dim = struct.unpack("<I", head)[0]
+    size = 4 + np.dtype(dtype).itemsize * dim
+    if total % size:
+        raise VectorError(f"{path} is not of records of {dim} elements")
+    n = total // size if limit is None else min(limit, total // size)
+    starts, step = runs(spark, n, size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with store.reader(path) as f:
+            for batch in batches:
+                for first in batch.column("first").to_pylist():
+                    m = min(step, n - first)
+                    records = np.frombuffer(f.read_at(m * size, first * size), np.dtype([("dim", "<u4"), ("x", dtype, (dim,))]))
+                    if (records["dim"] != dim).any():
+                        raise VectorError(f"a record from {first} on is not of {dim} elements")
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + m)), lists_of(records["x"], element)], ["id", "embedding"])
+
+    return starts.mapInArrow(run, f"id long, embedding {column}")
 
 
 def write_vecs(vectors: DataFrame, path: str, kind: str) -> None:
-    """One local file of vectors (id, embedding) in order of id, streamed partition by partition: for tests and exchange."""
+    """One file of vectors (id, embedding) in order of id, streamed partition by partition: for tests and exchange."""
     dtype, _, _ = _KINDS[kind]
-    with open(path, "wb") as out:
+    with store.writer(path) as out:
         for r in vectors.orderBy("id").select("embedding").toLocalIterator():
             x = np.asarray(r["embedding"])
             out.write(struct.pack("<I", len(x)) + x.astype(dtype).tobytes())
@@ -74,14 +84,34 @@ def truth_rows(truth: DataFrame) -> DataFrame:
 
 
 def read_hdf5(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """train, test, neighbors and distances of a benchmark file; needs the optional h5py."""
+    """train, test, neighbors and distances of a benchmark file, read by tasks in runs of rows; needs the optional h5py, and a path of a mounted file system."""
     try:
         import h5py
     except ImportError as e:
         raise VectorError("h5py is not installed") from e
+    kinds = {"train": ("id", "embedding", "float", pa.float32()), "test": ("qid", "q", "float", pa.float32()), "neighbors": ("qid", "ids", "int", pa.int32()), "distances": ("qid", "d", "float", pa.float32())}
     with h5py.File(path, "r") as f:
-        kinds = {"train": "id long, embedding array<float>", "test": "qid long, q array<float>", "neighbors": "qid long, ids array<int>", "distances": "qid long, d array<float>"}
-        return {name: spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(f[name][:])], schema) for name, schema in kinds.items()}
+        if missing := [name for name in kinds if name not in f]:
+            raise VectorError(f"{path} has no {', '.join(missing)}")
+        shapes = {name: f[name].shape for name in kinds}
+
+    def part(name: str) -> DataFrame:
+        key, column, element, arrow = kinds[name]
+        n, dim = shapes[name]
+        starts, step = runs(spark, n, 4 * dim)
+
+        def run(batches):
+            import h5py
+
+            with h5py.File(path, "r") as f:
+                for batch in batches:
+                    for first in batch.column("first").to_pylist():
+                        x = np.asarray(f[name][first : min(first + step, n)])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(x))), lists_of(x, arrow)], [key, column])
+
+        return starts.mapInArrow(run, f"{key} long, {column} array<{element}>")
+
+    return {name: part(name) for name in kinds}
 
 
 def generate(spark: SparkSession, n: int, dim: int, seed: int = 42) -> DataFrame:

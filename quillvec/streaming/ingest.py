@@ -1,13 +1,12 @@
 """Applies a stream of changes to an incremental index, a micro-batch at a time.
 
-A change has op (add or delete), id and embedding.  Batches are numbered, and the last number applied is kept beside the
-index, so a batch that is delivered again after a failure is applied once.
+A change has op (add or delete), id and embedding.  Batches are numbered, and added rows carry their batch's number, written with
+them: a batch that is delivered again, wherever a failure cut it off, adds nothing twice, and deleting again changes nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.incremental import IncrementalIndex
@@ -16,13 +15,10 @@ CHANGES = "op string, id long, embedding array<float>"
 
 
 def apply_changes(index: IncrementalIndex, changes: DataFrame, batch: int) -> None:
-    """Adds, then deletes; a batch number that was applied already does nothing."""
-    spark, done = index.spark, f"{index.path}/applied"
-    if index._has("applied") and (spark.read.parquet(done).agg(F.max("batch")).first()[0] or -1) >= batch:
-        return
-    index.add(changes.where("op = 'add'").select("id", "embedding"))
+    """Adds, then deletes; the rows of a batch number that was added already are not added again."""
+    if not index.has_batch(batch):
+        index.add(changes.where("op = 'add'").select("id", "embedding"), batch)
     index.delete(changes.where("op = 'delete'").select("id"))
-    spark.createDataFrame([(batch,)], "batch long").coalesce(1).write.mode("append").parquet(done)
 
 
 def ingest(stream: DataFrame, index: IncrementalIndex, checkpoint: str, **trigger) -> StreamingQuery:

@@ -53,7 +53,9 @@ def test_delta_ids(spark):
     ],
 )
 def test_filters(spark, test, want):
-    assert spark.createDataFrame([([5, 10],)], "labels array<long>").select(test.column().alias("m")).first()["m"] is want
+    row = spark.createDataFrame([([5, 10],)], "labels array<long>")
+    assert row.select(test.truth().alias("m")).first()["m"] is want
+    assert row.where(test.column()).count() == int(want)
 
 
 @pytest.mark.parametrize("p", [0, 1, 25, 50, 95, 99, 100])

@@ -65,6 +65,59 @@ def test_vector_files(spark, tmp_path, kind, values):
     assert vecs.read_vecs(spark, f"file://{tmp_path}/x", kind, limit=1).count() == 1
 
 
+def test_bad_vector_files(spark, tmp_path):
+    for name, data in (("short", b"\1"), ("ragged", b"\1\0\0\0aaaa\1"), ("mixed", b"\1\0\0\0aaaa\2\0\0\0aaaa")):
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(Exception, match="record"):
+            vecs.read_vecs(spark, f"{tmp_path}/{name}", "fvecs").collect()
+
+
+FAKE_H5PY = """
+import numpy as np
+class File(dict):
+    def __init__(self, path, mode):
+        super().__init__(np.load(path))
+    def __enter__(self):
+        return self
+    def __exit__(self, *_):
+        pass
+"""
+
+
+def test_hdf5_is_read_in_tasks(spark, tmp_path, monkeypatch):
+    """With a stand-in for the optional library, which is not installed here."""
+    (tmp_path / "h5py.py").write_text(FAKE_H5PY)
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "h5py.py"))
+    monkeypatch.setattr(vecs, "RUN_BYTES", 100)
+    r = np.random.default_rng(1)
+    arrays = {"train": r.random((90, 4), np.float32), "test": r.random((7, 4), np.float32), "neighbors": r.integers(0, 90, (7, 3)).astype(np.int32), "distances": r.random((7, 3), np.float32)}
+    np.savez(tmp_path / "x.npz", **arrays)
+    parts = vecs.read_hdf5(spark, f"{tmp_path}/x.npz")
+    for name, key, column in (("train", "id", "embedding"), ("test", "qid", "q"), ("neighbors", "qid", "ids"), ("distances", "qid", "d")):
+        rows = parts[name].orderBy(key).collect()
+        assert [r[key] for r in rows] == list(range(len(arrays[name]))) and np.array_equal(np.array([r[column] for r in rows]), arrays[name])
+    np.savez(tmp_path / "y.npz", train=arrays["train"])
+    with pytest.raises(VectorError):
+        vecs.read_hdf5(spark, f"{tmp_path}/y.npz")
+
+
+def test_label_files(spark, tmp_path):
+    (tmp_path / "short").write_bytes(b"abc")
+    with pytest.raises(VectorError):
+        files.read_labels(spark, f"{tmp_path}/short")
+    (tmp_path / "cut").write_bytes(b"".join(int(x).to_bytes(8, "little") for x in (16, 3, 2, 5)))
+    with pytest.raises(VectorError):
+        files.read_labels(spark, f"{tmp_path}/cut")
+
+
+def test_empty_clusters_start_anew(spark):
+    rows = spark.createDataFrame([(i, [float(i % 4), 0.0]) for i in range(40)], SCHEMA)
+    q = pq.Quantizer(np.array([[[0.0, 0.0], [0.0, 0.0], [99.0, 0.0], [98.0, 0.0]]]))
+    moved = pq.lloyd_step(rows, q, np.array([[2.0, 0.0], [3.0, 0.0]]))
+    assert {tuple(c) for c in moved.centroids[0].tolist()} >= {(1.5, 0.0), (2.0, 0.0), (3.0, 0.0)}
+
+
 def test_ground_truth(spark, tmp_path):
     vecs.write_vecs(spark.createDataFrame([(0, [7, 8])], "id long, embedding array<long>"), f"{tmp_path}/i", "ivecs")
     vecs.write_vecs(spark.createDataFrame([(0, [1.0, 4.0])], SCHEMA), f"{tmp_path}/f", "fvecs")
@@ -96,6 +149,20 @@ def test_stream_of_changes(spark, tmp_path):
     assert index.stats().first()["live"] == 1
     ingest.apply_changes(index, spark.createDataFrame([("add", 5, [9.0, 9.0])], ingest.CHANGES), 0)  # delivered again
     assert index.stats().first()["live"] == 1
+    index.compact()
+    again = IncrementalIndex.open(spark, index.path)
+    ingest.apply_changes(again, spark.createDataFrame([("add", 5, [9.0, 9.0])], ingest.CHANGES), 0)
+    assert again.stats().first()["live"] == 1
+
+
+def test_first_batch_delivered_twice(spark, tmp_path):
+    index = IncrementalIndex.empty(spark, f"{tmp_path}/index", 2)
+    changes = spark.createDataFrame([("add", 0, [1.0, 1.0]), ("add", 1, [2.0, 2.0])], ingest.CHANGES)
+    for _ in range(2):
+        ingest.apply_changes(index, changes, 0)
+    assert index.stats().first()["live"] == 2
+    ingest.apply_changes(index, changes, 1)
+    assert index.stats().first()["live"] == 4
 
 
 def test_benchmarks(spark, tmp_path):

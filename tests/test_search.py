@@ -130,14 +130,124 @@ def test_pruning_rules():
     assert graph.prune_pool(d, among, 3, 1.2, rule="strict", fill=False).tolist() == [0]
 
 
-def test_growing_graph():
+def test_delta_graph():
     x = np.random.default_rng(5).normal(size=(120, 5))
-    g = beam.GrowingGraph(5, metric("l2"), degree=16)
-    g.add(x[:60])
-    g.add(x[60:])
-    found = sum(g.search(q, 1, 32)[0][:1].tolist() == [i] for i, q in enumerate(x))
-    assert found >= 110 and max(map(len, g.neighbors)) <= 16
-    assert beam.greedy_search(x[0], np.zeros((0, 5)), [], 0, 4, metric("l2"))[0].tolist() == []
+    g = beam.DeltaGraph(5, metric("l2"), degree=16)
+    assert g.search(x[:2], 1, 8)[0].shape[0] == 2
+    for i in range(0, 120, 30):
+        g.add(x[i : i + 30])
+    assert len(g.add(x[:0])) == 0
+    found, _ = g.search(x, 1, 32)
+    assert (found[:, 0] == np.arange(120)).sum() >= 110 and g.near.shape == (120, 16)
+    assert beam.beam_search(x[:1], np.zeros((0, 5)), np.zeros((0, 4), np.int64), 0, 4, metric("l2"))[0].size == 0
+
+
+@pytest.mark.parametrize("name", ["l2", "l2sq", "dot", "cosine", "l1", "hamming"])
+def test_pairs_and_stacks_agree_with_the_kernel(name):
+    r, m = np.random.default_rng(6), metric(name)
+    a, b = r.integers(0, 3, (2, 7, 5)).astype(float)
+    a[0] = 0
+    whole = m.kernel(a, b)
+    assert np.allclose(m.pairs(a, b), np.diag(whole))
+    assert np.allclose(m.kernel(np.stack([a, b]), np.stack([b, a])), np.stack([whole, m.kernel(b, a)]))
+
+
+@pytest.mark.parametrize("method", ["exact", "search"])
+def test_both_builds_find_neighbours(method):
+    r, m = np.random.default_rng(7), metric("l2")
+    x = r.normal(size=(400, 8))
+    near, start = graph.build_shard(x, 12, 32, 1.2, "l2", method=method)
+    assert near.shape == (400, 12) and not (near == np.arange(400)[:, None]).any()
+    assert all(len(set(c[c >= 0])) == (c >= 0).sum() for c in near)
+    found, d = beam.beam_search(x, x, near, start, 40, m)
+    truth = np.argsort(m.kernel(x, x), axis=1, kind="stable")[:, :10]
+    assert np.mean([len(set(a[:10]) & set(b)) for a, b in zip(found, truth)]) >= 9
+    assert (np.diff(d, axis=1) >= 0).all()
+
+
+def test_filtered_walk_returns_all_there_are(monkeypatch):
+    r, m = np.random.default_rng(8), metric("l2")
+    monkeypatch.setattr(beam, "SCAN", 5)
+    x, q = r.normal(size=(300, 4)), r.normal(size=(9, 4))
+    near, start = graph.build_shard(x, 8, 16, 1.2, "l2")
+    for share in (0.9, 0.2, 0.02, 0.0):
+        allowed = r.random(300) < share
+        found, d = beam.filtered_search(q, x, near, start, 10, 16, m, allowed)
+        want = min(10, int(allowed.sum()))
+        assert ((found >= 0).sum(1) == want).all() and allowed[found[found >= 0]].all()
+        truth = np.flatnonzero(allowed)[np.argsort(m.kernel(q, x[allowed]), axis=1)[:, :10]]
+        assert sum(len(set(a) & set(b)) for a, b in zip(found, truth)) >= 0.8 * 9 * want
+
+
+def test_delta_ids_are_never_lost(spark):
+    """Many ranges, small partitions, and a column whose values lie in two far clusters."""
+    from quillvec.operators import incremental as inc
+
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(old, ("64k", "16k", "23")):
+            spark.conf.set(k, v)
+        data = spark.range(600_000).select((F.col("id") * 7 % 600_000).alias("i")).select(F.when(F.col("i") < 400_000, F.col("i")).otherwise(F.col("i") + DELTA_ID_OFFSET).alias("old_id"), F.array(F.col("i").cast("float")).alias("embedding"))
+        for rows in (1 << 18, 50_000):
+            inc.RANGE_ROWS = rows
+            named = inc.assign_delta_ids(data, 5, "old_id")
+            n, low, high, kinds, wrong = named.agg(F.count("*"), F.min("id"), F.max("id"), F.countDistinct("id"), F.sum((F.col("id") - DELTA_ID_OFFSET - 5 != F.col("embedding")[0].cast("long")).cast("int"))).first()
+            assert (n, low - DELTA_ID_OFFSET, high - low, kinds, wrong) == (600_000, 5, 599_999, 600_000, 0)
+    finally:
+        inc.RANGE_ROWS = 1 << 18
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_filters_are_pushed_down(spark, tmp_path):
+    data = spark.range(100).select("id", (F.col("id") % 7).alias("label"), F.array(F.lit(1.0)).alias("embedding"), F.array(F.col("id") % 3).alias("labels"))
+    data.write.parquet(f"{tmp_path}/t")
+    rows = spark.read.parquet(f"{tmp_path}/t")
+    plan = lambda f: rows.where(f.column())._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(label,3)" in plan(fl.Equal("label", 3)) and "GreaterThanOrEqual(label,2)" in plan(fl.Between("label", 2, 4))
+    assert "In(label" in plan(fl.OneOf("label", (1, 2))) and "Or(EqualTo(label,1),LessThan(label,0))" in plan(fl.Or((fl.Equal("label", 1), fl.Less("label", 0))))
+    flags = rows.select(fl.Equal(9, 1).truth().alias("t"), fl.Or((fl.Equal(9, 1), fl.Less("id", 50))).truth().alias("u"))
+    assert flags.where("t is null or u is null or t").count() == 0 and flags.where("u").count() == 50
+
+
+def test_many_queries_meet_packed_blocks(spark, built, monkeypatch):
+    x, index = built
+    q = asked(spark, *x[:40])
+    for f in (lambda: knn.exact_knn(q, index.nodes, 5), lambda: ix.search(index, q, 5, 32, mode="graph"), lambda: ix.search(index, q, 5, 32, fl.Equal("label", 3), mode="graph")):
+        whole = ids(f())
+        for module in (knn, ix):
+            monkeypatch.setattr(module, "BLOCK_BYTES", 64)
+        monkeypatch.setattr(knn, "PACK_BYTES", 1024)
+        monkeypatch.setattr(knn, "PACK_ROWS", 50)
+        assert ids(f()) == whole
+        monkeypatch.undo()
+
+
+def test_equal_rows_tie_by_id(spark):
+    row = np.random.default_rng(9).normal(size=64)
+    data = table(spark, [row * 1000 for _ in range(200)] + list(np.random.default_rng(10).normal(size=(200, 64)) * 1000))
+    assert ids(knn.exact_knn(asked(spark, row * 1000 + 1), data.repartition(7), 5)) == [0, 1, 2, 3, 4]
+
+
+def test_open_checks_counts(spark, tmp_path):
+    data = table(spark, CORNERS).withColumn("labels", F.array(F.col("id"), F.lit(1).cast("long")))
+    index = ix.build_index(data, str(tmp_path), "l2", PARAMS)
+    assert [r["labels"] for r in index.labels_of(spark.range(2, 4)).orderBy("id").collect()] == [[2, 1], [3, 1]]
+    with pytest.raises(VectorError):
+        ix.build_index(data.withColumn("labels", F.when(F.col("id") > 1, F.col("labels")).otherwise(F.array(F.col("id")))), f"{tmp_path}/ragged")
+    spark.createDataFrame([(9, index.table, "l2", 2, 5, 1, 8, 16, 1.2, "vamana", "exact", 2)], ix._VERSION).write.mode("append").parquet(f"{tmp_path}/versions")
+    with pytest.raises(VectorError):
+        ix.open_index(spark, str(tmp_path))
+    assert ix.open_index(spark, str(tmp_path), check=False).rows == 5
+
+
+def test_searches_do_not_shuffle_the_index(spark, built):
+    _, index = built
+    q = asked(spark, (0.0,) * 8)
+    plan = ix.search_graph(index, q, 5, 16, without=spark.range(3))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(qid" in plan  # of the best rows alone
+    assert "PartitionFilters: [isnotnull(shard" in index.vector(7)._jdf.queryExecution().executedPlan().toString()
+    assert 7 not in ids(ix.search_graph(index, asked(spark, *built[0][7:8]), 5, 16, without=spark.range(7, 8)))
 
 
 def test_incremental_life(spark, tmp_path):
@@ -175,26 +285,26 @@ def test_delta_only_and_empty_compaction(spark, tmp_path):
 
 
 def test_queries_over_all_rows(spark, sf_dir):
-    """The queries that no SQL holds to some ids, against brute force over every row."""
+    """Against brute force over every row."""
     from quillvec import queries as Q
 
     run = lambda name: [tuple(r) for r in Q.QUERIES[name](spark, sf_dir).collect()]
     rows = Q.vectors(spark, sf_dir).select("id", "embedding").orderBy("id").collect()
     ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
     scaled = (v * (1 + ids[:, None] % 3)).astype(np.float32).astype(np.float64)
-    got = dict(run("vec_l2_pairs_all"))
+    got = dict(run("vec_l2_pairs"))
     assert sorted(got) == ids[:-1].tolist() and np.allclose([got[i] for i in ids[:-1].tolist()], np.linalg.norm(scaled[1:] - scaled[:-1], axis=1), atol=1e-3)
-    assert {r[0] for r in run("vec_normalize_all")} == {r[0] for r in run("vec_cosine_zero_norm_all")} == {r[0] for r in run("pq_decode_all")} == set(ids.tolist())
+    assert {r[0] for r in run("vec_normalize")} == {r[0] for r in run("vec_cosine_zero_norm")} == {r[0] for r in run("pq_decode")} == set(ids.tolist())
     dist = np.linalg.norm(v[:, None] - v[None], axis=2)
     near = [[(round(dist[i, j], 9), j) for j in range(len(ids)) if j != i] for i in range(len(ids))]
     edges = {(i, j) for i in range(len(ids)) for _, j in sorted(near[i])[:5]}
-    assert {(a, b) for a, b, _ in run("knn_graph_all")} == edges
-    assert {tuple(x) for x in run("graph_symmetrize_all")} == edges | {(b, a) for a, b in edges}
+    assert {(a, b) for a, b, _ in run("knn_graph")} == edges
+    assert {tuple(x) for x in run("graph_symmetrize")} == edges | {(b, a) for a, b in edges}
     into = np.bincount([b for _, b in edges], minlength=len(ids))
-    assert dict(run("graph_in_degree_all")) == dict(enumerate(into.tolist()))
-    assert dict(run("graph_csr_offsets_all")) == dict(enumerate((np.cumsum(into) - into).tolist()))
-    assert len(run("graph_pad_all")) == 8 * len(ids) and {r[0] for r in run("alpha_prune_all")} == set(ids.tolist())
+    assert dict(run("graph_in_degree")) == dict(enumerate(into.tolist()))
+    assert dict(run("graph_csr_offsets")) == dict(enumerate((np.cumsum(into) - into).tolist()))
+    assert len(run("graph_pad")) == 8 * len(ids) and {r[0] for r in run("alpha_prune")} == set(ids.tolist())
     asked = ids[ids % 50 == 0].tolist()
     want = {(i, j) for i in asked for _, j in sorted((round(dist[i, j], 9), j) for j in range(len(ids)))[:10]}
-    assert {(a, b) for a, b, *_ in run("knn_exact_l2_all")} == want
-    assert {r[0] for r in run("beam_search")} == {r[0] for r in run("pq_adc_topk_all")} == set(asked)
+    assert {(a, b) for a, b, *_ in run("knn_exact_l2")} == want
+    assert {r[0] for r in run("beam_search")} == {r[0] for r in run("pq_adc_topk")} == set(asked)
