@@ -45,7 +45,7 @@ def encoder(key: Hashable, make: Callable, units: Callable[[str], list[str]] | N
     return _encoders[key]
 
 
-class _Memo(dict):
+class Memo(dict):
     """The place of each unit; a unit that is met first gets the next place and is noted in `new`."""
 
     def __init__(self, items=()):
@@ -64,7 +64,7 @@ class UnitEncoder:
         self.tokenizer, self.remember = tokenizer, remember
         self.units = units or units_of(tokenizer)
         self.word_ends = word_ends(tokenizer) if cutter_of(tokenizer) is word_units else None
-        self.memo = _Memo()
+        self.memo = Memo()
         self.ids, self.used = np.zeros(1 << 18, np.int32), 0
         self.starts, self.sizes, self.met = (np.zeros(1 << 16, np.int64) for _ in range(3))
 
@@ -115,7 +115,7 @@ class UnitEncoder:
         ends = np.cumsum(sizes)
         self.used = int(ends[-1]) if len(ends) else 0
         self.ids[: self.used] = self.ids[np.arange(self.used) - np.repeat(ends - sizes - self.starts[places], sizes)]
-        self.memo, n = _Memo(zip(units, range(len(places)), strict=True)), len(places)
+        self.memo, n = Memo(zip(units, range(len(places)), strict=True)), len(places)
         self.starts[:n], self.sizes[:n], self.met[:n] = ends - sizes, sizes, met[keep] // 2
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField
 
 from . import _text as T
+from ._encoding import Memo
 from ._work import materialize, with_results
 
 #: Letters after which the passes over a word are rescaled.
 RESCALE = 16
+#: Places of pieces that are held at once, about: 8 MB.
+CELLS = 1 << 20
 #: Letters in a piece, at most; a vocabulary with longer pieces is refused.
 LONGEST = 64
 MARK = "▁"
@@ -63,6 +67,43 @@ def _prefix(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+class _KeyTable:
+    """Places of distinct 64-bit keys, by hash tables of which each holds the keys that shared a slot in the one before."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.levels, todo = keys, [], np.arange(len(keys))
+        while len(todo):
+            bits = max(4, (8 * len(todo)).bit_length())
+            at = self._slot(keys[todo], bits, len(self.levels))
+            slots, more = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, bool)
+            _, first = np.unique(at, return_index=True)
+            slots[at[first]] = todo[first]
+            rest = np.ones(len(todo), bool)
+            rest[first] = False
+            more[at[rest]] = True
+            self.levels.append((bits, slots, more))
+            todo = todo[rest]
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int, level: int) -> np.ndarray:
+        return ((keys if level == 0 else T.mix(keys + np.uint64(level))) >> np.uint64(64 - bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        out, todo = np.full(len(keys), -1, np.int64), slice(None)
+        for level, (bits, slots, more) in enumerate(self.levels):
+            own = keys[todo]
+            slot = self._slot(own, bits, level)
+            at = slots[slot]
+            hit = (at >= 0) & (self.keys[at] == own)
+            out[todo] = np.where(hit, at, -1)
+            left = np.flatnonzero(more[slot] & ~hit)
+            if not len(left):
+                break
+            todo = left if isinstance(todo, slice) else todo[left]
+        return out
+
+
 class Lattice:
     """Finds the pieces of words.  Piece len(pieces) is `other`, the one after it is no piece."""
 
@@ -70,9 +111,7 @@ class Lattice:
         self.other, self.none = len(pieces), len(pieces) + 1
         self.longest = max(map(len, pieces), default=1)
         codes, ends = _code_points(pieces)
-        keys = self._keys(_prefix(codes), ends[:-1], np.diff(ends))
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
+        self.table = _KeyTable(self._keys(_prefix(codes), ends[:-1], np.diff(ends)))
 
     @staticmethod
     def _keys(prefix, starts, size):
@@ -80,18 +119,24 @@ class Lattice:
         return T.mix((prefix[starts + size] - prefix[starts]) * down[starts] + np.asarray(size, np.uint64))
 
     def groups(self, words: list[str]):
-        """(indexes of words of one length, ids): ids[l - 1][:, i] is the piece of l letters from i on."""
+        """(indexes of words of one length, ids): ids[l - 1][:, i] is the piece of l letters from i on; some `CELLS` places at once."""
         codes, ends = _code_points(words)
         prefix, lengths = _prefix(codes), np.diff(ends)
-        for n in np.unique(lengths):
-            which = np.flatnonzero(lengths == n)
-            at = ends[which][:, None] + np.arange(n)
-            ids = []
-            for size in range(1, min(self.longest, n) + 1):
-                keys = self._keys(prefix, at[:, : n - size + 1], size)
-                found = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-                ids.append(np.where(self.keys[found] == keys, self.order[found], self.other if size == 1 else self.none))
-            yield which, int(n), ids
+        order = np.argsort(lengths, kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
+            if not len(same):
+                continue
+            n = int(lengths[same[0]])
+            step = max(1, CELLS // (n * min(self.longest, n)))
+            for low in range(0, len(same), step):
+                which = same[low : low + step]
+                at = ends[which][:, None] + np.arange(n)
+                ids = []
+                for size in range(1, min(self.longest, n) + 1):
+                    starts = at[:, : n - size + 1]
+                    found = self.table.find(self._keys(prefix, starts.ravel(), size)).reshape(starts.shape)
+                    ids.append(np.where(found >= 0, found, self.other if size == 1 else self.none))
+                yield which, n, ids
 
     def forward(self, words: list[str], p: np.ndarray) -> np.ndarray:
         """log of the summed probability of each word in each language; p: (pieces and other and none, languages)."""
@@ -235,41 +280,38 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", pred: st
 
     def run(batches):
         m = shared.value
-        lattice, memo = Lattice(m.pieces), {}
-        values = np.zeros((1 << 16, m.p.shape[1]))
+        lattice, memo = Lattice(m.pieces), Memo()
+        values, letters = np.zeros((1 << 16, m.p.shape[1])), np.zeros(1 << 16, bool)
 
         def learn(new):
-            nonlocal values
-            parts, owner = [], []
-            for w in new:
-                memo[w] = len(memo)
-                more = word_parts(w)
-                parts += more
-                owner += [memo[w]] * len(more)
-            while len(values) < len(memo):
-                values = np.concatenate([values, np.zeros_like(values)])
-            if parts:
-                np.add.at(values, owner, lattice.forward(parts, m.p))
+            """Values of the words at the last places, in order."""
+            nonlocal values, letters
+            while len(values) < memo.places:
+                values, letters = np.concatenate([values, np.zeros_like(values)]), np.concatenate([letters, np.zeros_like(letters)])
+            parts = [word_parts(w) for w in new]
+            own = slice(memo.places - len(new), memo.places)
+            letters[own] = some = np.fromiter(map(bool, parts), bool, len(parts))
+            values[own] = 0
+            values[np.arange(own.start, own.stop)[some]] = lattice.forward([p[0] for p in parts if p], m.p) if some.any() else 0
 
         for batch in batches:
             preds, scores = [], []
             texts = batch.column(batch.schema.get_field_index(text))
             for first in range(0, len(texts), 256):
-                counted = [text_words(x) for x in texts.slice(first, 256).to_pylist()]
                 if len(memo) > _REMEMBER:
-                    memo.clear()
-                    values[:] = 0
-                learn({w for c in counted for w in c if w not in memo})
-                for c in counted:
-                    if not m.languages or not any(x.isalpha() for w in c for x in w):
-                        preds.append(UNDECIDED)
-                        scores.append(0.0)
-                        continue
-                    at = np.fromiter(map(memo.__getitem__, c), np.int64, len(c))
-                    total = np.fromiter(c.values(), float, len(c)) @ values[at] + m.prior
-                    best = int(np.argmax(total))
-                    preds.append(m.languages[best])
-                    scores.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*batch.select(stay).columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], schema.names)
+                    memo = Memo()
+                split = [_WORD.findall(x.lower()) if x else () for x in texts.slice(first, 256).to_pylist()]
+                n = np.fromiter(map(len, split), np.int64, len(split))
+                at = np.fromiter(map(memo.__getitem__, chain.from_iterable(split)), np.int64, int(n.sum()))
+                new, memo.new = memo.new, []
+                learn(new)
+                doc = np.repeat(np.arange(len(n)), n)
+                total = np.stack([np.bincount(doc, values[at, k], len(n)) for k in range(values.shape[1])], 1) + m.prior
+                none = (np.bincount(doc, letters[at], len(n)) == 0) | (not m.languages)
+                best = total.argmax(1)
+                share = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+                preds += [UNDECIDED if x else m.languages[i] for x, i in zip(none.tolist(), best.tolist(), strict=True)]
+                scores.append(np.where(none, 0.0, share))
+            yield pa.RecordBatch.from_arrays([*batch.select(stay).columns, pa.array(preds, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))], schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -180,6 +180,41 @@ def test_long_pieces_and_long_words():
     assert max(map(len, language_id.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))) > 8
 
 
+def test_piece_table():
+    r = np.random.default_rng(3)
+    keys = np.unique(np.concatenate([r.integers(0, 1 << 63, 5000).astype(np.uint64), np.arange(300, dtype=np.uint64)]))  # many share a slot
+    table = language_id._KeyTable(keys)
+    assert table.find(keys).tolist() == list(range(len(keys))) and len(table.levels) > 1
+    assert (table.find(keys + np.uint64(1 << 63)) == -1).all() and len(table.find(keys[:0])) == 0
+
+
+def test_posterior_by_hand(spark):
+    """Each text's language and probability from the sums over segmentations of its words, in plain Python."""
+    pieces = sorted(["a", "b", "ab", "ba", "▁", "▁a", "bb"])
+    r = np.random.default_rng(5)
+    p = np.zeros((len(pieces) + 2, 2))
+    p[:-1] = r.dirichlet(np.ones(len(pieces) + 1), 2).T
+    model = language_id.LanguageModel(pieces, ["x", "y"], p, np.log([0.3, 0.7]))
+    texts = ["ab ab ba", "Bb, a-b! a", "zab", "", None, "12 _", "a" * 40 + " b"]
+    rows = language_id.identify(documents(spark, list(enumerate(texts))), model).orderBy("doc_id").collect()
+    for r, t in zip(rows, texts):
+        words = ["▁" + w for w in "".join(c if c.isalpha() else " " for c in (t or "").lower()).split()]
+        if not words:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        log = [math.log(q) + sum(math.log(all_sums(w, dict(zip(pieces, p[:, k])), p[len(pieces), k])) for w in words) for k, q in enumerate((0.3, 0.7))]
+        best = int(np.argmax(log))
+        assert r["lang_pred"] == "xy"[best] and math.isclose(r["score"], 1 / sum(math.exp(x - log[best]) for x in log))
+
+
+def all_sums(word, p, other):
+    """The sum over all segmentations, a letter at a time."""
+    alpha = [1.0]
+    for j in range(1, len(word) + 1):
+        alpha.append(sum(alpha[i] * p.get(word[i:j], other if j - i == 1 else 0.0) for i in range(j)))
+    return alpha[-1]
+
+
 def test_awkward_languages(spark):
     docs = documents(spark).withColumn("lang", F.when(F.col("doc_id") == 9, F.lit(None)).when(F.col("doc_id") % 2 == 0, "en").otherwise("xx"))
     vocabulary = public_tokenizers.path("piece_bpe_32k.model")
