@@ -5,10 +5,12 @@
    are one *node* from then on, so copies cost nothing further.
 2. Nodes that share a band key meet in a bucket.  In each bucket every node is compared by sketch with two
    representatives, not with all others; nodes that may be linked with one make a *family*.
-3. A family is cut into blocks of bounded size.  Each pair of blocks is one unit of work that compares all full sets
-   in it and gives back a spanning forest of its links, so copies never make a row for each pair.
+3. A small family is compared in full in one task.  A large one is cut into blocks of bounded size, and its most central nodes, those whose
+   buckets are the fullest, are compared with every block.  Their links leave one large group as a rule and some
+   nodes besides: only these are then compared with all blocks.  So near copies of one text cost as much as they are many, and no link
+   between groups is lost.  A task gives back a spanning forest of its links, never a row for each pair.
 4. Pairs of a bucket in different families that the sketch allows are compared one by one.  So every pair of
-   a bucket is judged.
+   a bucket is judged.  Full buckets are cut into blocks too.
 5. The links' components are the groups.
 
 A pair at exactly the threshold shares no band with a probability of `miss` at most (1e-8); the
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -34,8 +36,10 @@ from ._work import materialize
 from .components import connected_components
 
 _SKETCH = 128
-#: Shingles in a block of a family, about; one larger set is a block of its own.
-BLOCK = 32_768
+#: Shingles in a block of a family, about, unless one set has more; nodes in a block of a bucket; central nodes of a large family.
+BLOCK, CROSS, CENTRAL = 32_768, 512, 4
+#: Parts in which rows of one family are joined with what is known of it.
+_SALTS = 64
 
 
 def document_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
@@ -64,19 +68,18 @@ def bands_for(threshold: float, rows: int, miss: float) -> int:
 
 def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
     seeds = T.mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return (seeds[:n] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (seeds[n:] >> np.uint64(32)).astype(np.uint32)
+    return seeds[:n] | np.uint64(1), seeds[n:]
 
 
 def _minima(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """n minima of a * x + b modulo 2**32 over each run of values: an array (n, runs)."""
+    """n minima of the upper half of a * x + b modulo 2**64 over each run of values: an array (n, runs)."""
     a, b = _hash_family(n)
-    x = (values >> np.uint64(32)).astype(np.uint32)
     out = np.empty((n, len(starts)), np.uint32)
-    held = np.empty_like(x)
+    held = np.empty_like(values)
     for i in range(n):
-        np.multiply(x, a[i], out=held)
+        np.multiply(values, a[i], out=held)
         np.add(held, b[i], out=held)
-        out[i] = np.minimum.reduceat(held, starts)
+        out[i] = np.minimum.reduceat(held, starts) >> np.uint64(32)
     return out
 
 
@@ -168,47 +171,96 @@ def _star_pairs(members: DataFrame, turn: int, cut: int) -> DataFrame:
 
 
 def _cross_pairs(members: DataFrame, cut: int) -> DataFrame:
-    """Every pair of a bucket in two families, where they can be linked."""
+    """Every pair of a bucket in two families, where they can be linked; members: key, node, family, size (of the bucket), n and sketch."""
     several = members.groupBy("key").agg(F.min("family").alias("low"), F.max("family").alias("high")).where("low < high").select("key")
-    members = members.join(several, "key", "left_semi")
-    met = members.alias("p").join(members.alias("q"), (F.col("p.key") == F.col("q.key")) & (F.col("p.node") < F.col("q.node")) & (F.col("p.family") != F.col("q.family")) & _alike("p", "q", cut))
+    blocks = F.ceil(F.col("size") / CROSS).cast("int")
+    dealt = members.join(several, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", "node", "family", "n", "s1", "s2", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    same = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in ("key", "i", "j")]
+    apart = (F.col("p.i") == F.col("p.j")) | (F.col("p.block") != F.col("q.block"))
+    met = dealt.alias("p").join(dealt.alias("q"), same[0] & same[1] & same[2] & apart & (F.col("p.node") < F.col("q.node")) & (F.col("p.family") != F.col("q.family")) & _alike("p", "q", cut))
     return met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
 
 
-def _family_links(families: DataFrame, sets: DataFrame, cut: int) -> DataFrame:
-    """Links (a, b) that join what is linked inside families (node, family, n); each pair of blocks gives a spanning forest."""
-    by_node = Window.partitionBy("family").orderBy("node")
-    placed = families.withColumn("block", F.floor((F.sum("n").over(by_node) - F.col("n")) / BLOCK).cast("int"))
-    last = placed.groupBy("family").agg(F.max("block").alias("last"))
-    dealt = placed.join(last, "family").select("node", "family", "block", F.explode(F.sequence(F.lit(0), "last")).alias("other"))
-    dealt = dealt.select("node", "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-
-    def compare(group: pa.Table) -> pa.Table:
-        nodes, block = group["node"].to_numpy(), group["block"].to_numpy()
-        parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in group["items"]]
+class _Forest:
+    """Links between some nodes that join no two that are joined already."""
+
+    def __init__(self, nodes: np.ndarray):
+        self.nodes, self.root, self.a, self.b = nodes, np.arange(len(nodes)), [], []
+
+    def link(self, k: int, others: np.ndarray) -> None:
+        for m in others.tolist():
+            if self.root[k] != self.root[m]:
+                self.root[self.root == self.root[m]] = self.root[k]
+                self.a.append(self.nodes[k])
+                self.b.append(self.nodes[m])
+
+    def table(self) -> pa.Table:
+        return pa.table({"a": pa.array(self.a, pa.int64()), "b": pa.array(self.b, pa.int64())})
+
+
+def _compared(cut: int, asking: bool):
+    """Links of one group of (node, items): of all pairs, or, if `asking`, of rows whose column `asks` is true with all."""
+
+    def run(group: pa.Table) -> pa.Table:
+        if asking:  # a row that asks stands first, and only once if it is among the others too
+            order = np.argsort(~group["asks"].to_numpy(), kind="stable")
+            _, first = np.unique(group["node"].to_numpy()[order], return_index=True)
+            group = group.take(order[np.sort(first)])
+        forest, parts = _Forest(group["node"].to_numpy()), [np.frombuffer(x.as_buffer(), np.uint64) for x in group["items"]]
         sizes = np.array([len(x) for x in parts], np.int64)
-        order = np.argsort(block, kind="stable")
-        shingles, flat = np.unique(np.concatenate([parts[k] for k in order]), return_inverse=True)
-        starts = np.cumsum(sizes[order]) - sizes[order]
-        nodes, block, sizes = nodes[order], block[order], sizes[order]
-        begin = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0
-        own, root, a, b = np.zeros(len(shingles), bool), np.arange(len(nodes)), [], []
-        for k in range(begin if begin else len(nodes)):
-            low = begin or k + 1  # the first of those it is compared with
-            if low >= len(nodes):
+        shingles, flat = np.unique(np.concatenate(parts), return_inverse=True)
+        starts, own = np.cumsum(sizes) - sizes, np.zeros(len(shingles), bool)
+        for k in range(int(group["asks"].to_numpy().sum()) if asking else len(parts)):
+            low = k + 1  # the first of those it is compared with
+            if low >= len(parts):
                 break
             mine = flat[starts[k] : starts[k] + sizes[k]]
             own[mine] = True
             inter = np.add.reduceat(own[flat[starts[low] :]].astype(np.int32), starts[low:] - starts[low])
             own[mine] = False
-            for m in (np.flatnonzero(100 * inter >= cut * (sizes[k] + sizes[low:] - inter)) + low).tolist():
-                if root[k] != root[m]:
-                    root[root == root[m]] = root[k]
-                    a.append(nodes[k])
-                    b.append(nodes[m])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            forest.link(k, np.flatnonzero(100 * inter >= cut * (sizes[k] + sizes[low:] - inter)) + low)
+        return forest.table()
 
-    return dealt.join(sets, "node").groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
+    return run
+
+
+_LINK = "a long, b long"
+
+
+def _salted(rows: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """rows joined by family with known, one row of each large family, so that no task gets all rows of a family."""
+    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(_SALTS)).cast("int")).join(spread, ["family", "salt"], how).drop("salt")
+
+
+def _family_links(families: DataFrame, sets: DataFrame, cut: int) -> DataFrame:
+    """Links (a, b) that join what is linked inside families (node, family, n, weight)."""
+    best = [F.max_by("node", F.when(F.pmod(F.xxhash64("node"), F.lit(CENTRAL)) == r, F.col("weight"))).alias(f"c{r}") for r in range(CENTRAL)]
+    sizes = families.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), *best)
+    large = materialize(sizes.where("blocks > 1"), "minhash-large")  # a row for BLOCK shingles, at most
+    placed = materialize(_salted(families.select("node", "family", "n"), large.select("family", "blocks"), "left"), "minhash-placed")
+    small = placed.where("blocks is null").join(sets, "node").groupBy("family").applyInArrow(_compared(cut, False), _LINK)
+
+    # the central nodes of a large family with all of its blocks
+    big = placed.where("blocks is not null").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
+    centres = large.select("family", "blocks", F.explode(F.array(*[F.col(f"c{r}") for r in range(CENTRAL)])).alias("node")).where("node is not null")
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    asked = centres.select("family", "node", every.alias("block"), F.lit(True).alias("asks")).unionByName(big.select("family", "node", "block", F.lit(False).alias("asks")))
+    first = materialize(asked.join(sets, "node").groupBy("family", "block").applyInArrow(_compared(cut, True), _LINK), "minhash-central")
+
+    # what those links leave beside the largest group with all blocks
+    grouped = big.join(connected_components(first), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    grouped = materialize(grouped.select("node", "family", "n", "blocks", "block", "comp"), "minhash-grouped")
+    counts = grouped.groupBy("family", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    main = counts.groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max(F.struct("c", "comp", "n"))["n"].alias("main_n"), F.sum("n").alias("all_n"))
+    left = materialize(main.where("all_n > main_n").select("family", "main", F.ceil((F.col("all_n") - F.col("main_n")) / BLOCK).cast("int").alias("loose")), "minhash-left")
+    rest = _salted(grouped, left, "inner")
+    asking = rest.where("comp != main").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("loose")).cast("int"))
+    asking = asking.select("family", "node", "part", every.alias("block"), F.lit(True).alias("asks"))
+    others = rest.select("family", "node", F.explode(F.sequence(F.lit(0), F.col("loose") - 1)).alias("part"), "block", F.lit(False).alias("asks"))
+    second = asking.unionByName(others).join(sets, "node").groupBy("family", "part", "block").applyInArrow(_compared(cut, True), _LINK)
+    return small.unionByName(first).unionByName(second)
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, rows: int = 6, miss: float = 1e-8) -> DataFrame:
@@ -222,7 +274,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, rows:
     some = sig.where("node is not null")
     nodes = some.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("keys").alias("keys"))
     buckets = nodes.select("node", "doc_id", "n", "s1", "s2", F.explode("keys").alias("key"))
-    shared = nodes.select("node", F.explode("keys").alias("key")).groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
+    shared = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(buckets.join(shared, "key"), "minhash-members")
 
     stars = _star_pairs(members, 0, percent).unionByName(_star_pairs(members, 1, percent))
@@ -230,10 +282,11 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, rows:
     placed = members.drop("doc_id").join(family, "node", "left").withColumn("family", F.coalesce("family", "node"))
     pairs = materialize(_cross_pairs(placed, percent), "minhash-pairs")
     wanted = family.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialize(members.select("node", "doc_id", "n").distinct().join(wanted, "node", "left_semi"), "minhash-wanted")
+    each = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.sum("size").alias("weight"))
+    wanted = materialize(each.join(wanted, "node", "left_semi"), "minhash-wanted")
     texts = docs.join(wanted.select(F.col("doc_id").alias("wanted_id")), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = materialize(_sets_of(texts, width).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
-    links = _family_links(family.join(wanted.select("node", "n"), "node"), sets, percent).unionByName(_confirm(pairs, sets, percent))
+    links = _family_links(family.join(wanted.select("node", "n", "weight"), "node"), sets, percent).unionByName(_confirm(pairs, sets, percent))
     labels = connected_components(links)
 
     by_node = some.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
