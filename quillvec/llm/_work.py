@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,3 +47,43 @@ def with_results(schema: StructType, *results: StructField) -> tuple[list[str],
     names = {r.name.lower() for r in results}
     stay = [f for f in schema.fields if f.name.lower() not in names]
     return [f.name for f in stay], StructType([*stay, *results])
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used: inside a higher-order function an expression is computed for each element."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
+#: Elements that `placed` adds one by one to an array, which copies it.
+_AT_ONCE = 512
+
+
+def placed(items: Column, kind: str, size: Callable[[Column], Column], give: Callable[[Column, Column], Column], keep: Callable[[Column], Column] | None = None) -> Column:
+    """give(item, place) of each item that is to be kept, where place is the sum of the sizes before it; items: an array with an element at least.
+
+    kind: the type of what is given.  Items are taken in chunks, so the work does not grow with the square of their number.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def one(acc: Column, item: Column) -> Column:
+        more = F.concat(acc["out"], F.array(give(item, acc["at"])))
+        return F.struct((acc["at"] + size(item)).alias("at"), (more if keep is None else F.when(keep(item), more).otherwise(acc["out"])).alias("out"))
+
+    def some(acc: Column, chunk: Column) -> Column:
+        own = F.aggregate(chunk, F.struct(acc["at"].alias("at"), empty.alias("out")), one)
+        return bound(own, lambda v: F.struct(v["at"].alias("at"), F.concat(acc["out"], v["out"]).alias("out")))
+
+    def every(whole: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / _AT_ONCE).cast("int")), lambda c: F.slice(whole, c * _AT_ONCE + 1, F.lit(_AT_ONCE)))
+        return F.aggregate(chunks, F.struct(F.lit(0).alias("at"), empty.alias("out")), some)["out"]
+
+    return bound(items, every)

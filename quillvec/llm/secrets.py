@@ -1,15 +1,16 @@
 """Secret scan with character Markov models, in DataFrame functions only.
 
 Base patterns find assignments of credentials, access keys and long hexadecimal strings.  Beyond them, any run of
-20 or more key characters is judged by two first-order character models, one of random strings and one of
-ordinary identifiers: its span is added where the log-likelihood ratio exceeds `margin`.  Both models are
+`least` (20) or more key characters is judged by two first-order character models, one of random strings and one of
+ordinary identifiers: its span is added where the log-likelihood ratio exceeds a margin that is fitted on samples the counts did not see.  Both models are
 counted natively from labelled samples made by rule: encodings of SHA-256 digests on one side, identifiers composed of common
 words, rules of repeated characters and plain numbers on the other.
 
 A pattern's spans come from the text's parts between matches: their lengths and those of the matches add up to positions in code points.
 
 Defined results: null and empty texts have no spans; a span of the models that touches a base span is left out; equal starts are
-ordered assign, access, hex, markov.
+ordered assign, access, hex, markov; repeated rows are scanned each; other columns stay, and the spans take the place of a column of
+their name; a text of any length is scanned whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import constant_doubles
+from ._work import bound, constant_doubles, materialize, placed, unused
 
 #: Fixed values: (kind, pattern, group whose length counts, least length), in the order of kinds.
 BASE = [
@@ -29,9 +30,9 @@ BASE = [
     ("hex", r"[0-9a-f]+", 0, 32),
 ]
 #: What a text must contain for a pattern to have a match that counts; spares the other texts the cutting.
-_NEEDS = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}", "markov": r"[A-Za-z0-9+/_=-]{20}"}
+_NEEDS = {"assign": r"(?i)(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]", "access": r"AKIA[A-Z0-9]{12}", "hex": r"[0-9a-f]{32}"}
 #: The same matches in fewer cuts: a run of at least so many characters is the whole run.
-_CUT = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}", "markov": r"[A-Za-z0-9+/_=-]{20,}"}
+_CUT = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
 KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 _WIDTH = len(ALPHABET) + 1  # 0: the start, or a character beyond the alphabet
@@ -62,19 +63,18 @@ usuario archivo conexion busqueda tratamiento configuracion mantenimiento desarr
 """.split()
 
 
-def _cut(text: Column, pattern: str, group: int, kind: str) -> Column:
+_SPAN = "struct<start:int,end:int,n:int>"
+
+
+def _cut(text: Column, pattern: str, group: int, needs: str) -> Column:
     """All matches as (start, end, n): code points, end exclusive; n is the length of a group."""
     gaps = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sizes = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length) if group else F.transform(whole, F.length)
     lengths = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(whole, F.length).alias("own"), sizes.alias("n"))
-    empty = F.array().cast("array<struct<start:int,end:int,n:int>>")
-    step = lambda acc, x: F.struct(
-        (acc["at"] + x["gap"] + F.coalesce(x["own"], F.lit(0))).alias("at"),
-        F.when(x["own"].isNull(), acc["spans"]).otherwise(F.concat(acc["spans"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + x["own"]).alias("end"), x["n"].alias("n"))))).alias("spans"),
-    )
-    found = F.aggregate(lengths, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
-    return F.when(text.rlike(_NEEDS[kind]), found).otherwise(empty)
+    span = lambda x, at: F.struct((at + x["gap"]).alias("start"), (at + x["gap"] + x["own"]).alias("end"), x["n"].alias("n"))
+    found = placed(lengths, _SPAN, lambda x: x["gap"] + F.coalesce(x["own"], F.lit(0)), span, lambda x: x["own"].isNotNull())
+    return F.when(text.rlike(needs), found).otherwise(F.array().cast(f"array<{_SPAN}>"))
 
 
 def _at_least(n: int):
@@ -92,8 +92,7 @@ def _symbols(token: Column) -> Column:
 
 def _steps(token: Column) -> Column:
     """Each character with the one before as one number."""
-    symbols = _symbols(token)
-    return F.transform(symbols, lambda s, i: F.when(i == 0, F.lit(0)).otherwise(F.get(symbols, i - 1)) * _WIDTH + s)
+    return bound(_symbols(token), lambda symbols: F.transform(symbols, lambda s, i: F.when(i == 0, F.lit(0)).otherwise(F.get(symbols, i - 1)) * _WIDTH + s))
 
 
 def labelled_samples(spark: SparkSession, n: int = 24_000) -> DataFrame:
@@ -122,26 +121,51 @@ def labelled_samples(spark: SparkSession, n: int = 24_000) -> DataFrame:
 
 @dataclass
 class Markov:
-    """Log-likelihood ratio of each step from one character to the next."""
+    """Log-likelihood ratio of each step from one character to the next; the ratio beyond which a run is a secret; the shortest run that is judged."""
 
     ratio: list[float]
     margin: float
+    least: int
 
 
-def train(samples: DataFrame, *, smoothing: float = 0.5, margin: float = 8.0) -> Markov:
-    """Counts the steps of both labels (at most 2 * 69 ** 2 sums) and compares their smoothed probabilities."""
-    steps = samples.select("is_random", F.explode(_steps(F.col("token"))).alias("step")).groupBy("is_random", "step").count().collect()
+def _ratio(steps: list, smoothing: float) -> list[float]:
     ratio = [0.0] * (_WIDTH * _WIDTH)
     for label, sign in ((True, 1), (False, -1)):
         counts = [0] * (_WIDTH * _WIDTH)
         for r in steps:
             if r["is_random"] == label:
-                counts[r["step"]] = r["count"]
+                counts[r["step"]] += r["n"]
         for before in range(_WIDTH):
             row = counts[before * _WIDTH : (before + 1) * _WIDTH]
             for k, n in enumerate(row):
                 ratio[before * _WIDTH + k] += sign * math.log((n + smoothing) / (sum(row) + smoothing * _WIDTH))
-    return Markov(ratio, margin)
+    return ratio
+
+
+def _likely(steps: Column, ratio: list[float], first: Column | int = 0) -> Column:
+    """The sum of the ratios of steps, from place `first` on."""
+    return bound(constant_doubles(ratio), lambda table: F.aggregate(steps, F.lit(0.0), lambda acc, step: acc + F.get(table, first + step)))
+
+
+#: Parts of the samples; each is judged by the counts of the others.
+FOLDS = 5
+
+
+def train(samples: DataFrame, *, smoothing: float = 0.5, false_share: float = 1e-3, odds: float = 1000.0, least: int = 20) -> Markov:
+    """Counts the steps of both labels and compares their smoothed probabilities; samples (token, is_random) are made by rule.
+
+    false_share: of ordinary samples of `least` characters and more, how many may exceed the margin.  It is fitted on each fifth of the samples with
+    the counts of the other four; runs of one character, which are few and all alike, are left out there.  odds: ordinary runs for each secret one
+    in texts; the margin is their logarithm at least.  least: characters of the shortest run that is judged; a shorter one says too little: the
+    tests measure recall by length.
+    """
+    held = samples.select("is_random", F.length("token").alias("size"), F.col("token").rlike(r"^(.)\1*$").alias("alike"), F.pmod(F.xxhash64("token"), F.lit(FOLDS)).cast("int").alias("fold"), _steps(F.col("token")).alias("steps"))
+    held = materialize(held, "secret-samples")
+    # 2 * FOLDS * 69 ** 2 sums at most
+    steps = held.select("is_random", "fold", F.explode("steps").alias("step")).groupBy("is_random", "fold", "step").agg(F.count("*").alias("n")).collect()
+    others = [x for k in range(FOLDS) for x in _ratio([r for r in steps if r["fold"] != k], smoothing)]
+    plain = held.where(~F.col("is_random") & ~F.col("alike") & (F.col("size") >= least)).select(_likely(F.col("steps"), others, F.col("fold") * (_WIDTH * _WIDTH)).alias("x"))
+    return Markov(_ratio(steps, smoothing), max(math.log(odds), plain.agg(F.percentile("x", 1 - false_share)).first()[0] or 0.0), least)
 
 
 def find_secrets(docs: DataFrame, model: Markov, *, text: str = "text", spans: str = "spans") -> DataFrame:
@@ -149,15 +173,16 @@ def find_secrets(docs: DataFrame, model: Markov, *, text: str = "text", spans: s
     whole = F.coalesce(F.col(text), F.lit(""))
     base = []
     for kind, pattern, group, least in BASE:
-        found = _cut(whole, _CUT.get(kind, pattern), group, kind)
+        found = _cut(whole, _CUT.get(kind, pattern), group, _NEEDS[kind])
         base.append(_named(F.filter(found, _at_least(least)), kind))
-    ratio = constant_doubles(model.ratio)
-    likely = lambda token: F.aggregate(_steps(token), F.lit(0.0), lambda acc, step: acc + F.get(ratio, step))
-    runs = _cut(whole, _CUT["markov"], 0, "markov")
-    with_base = docs.withColumns({"__base": F.concat(*base), "__runs": runs, "__tokens": F.when(whole.rlike(_NEEDS["markov"]), F.regexp_extract_all(whole, F.lit(_CUT["markov"]), F.lit(0))).otherwise(F.array().cast("array<string>"))})
-    free = F.filter(F.transform(F.col("__runs"), lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(F.col("__tokens"), i).alias("token"))), lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    added = _named(F.filter(free, lambda s: likely(s["token"]) > model.margin), "markov")
-    return with_base.withColumn(spans, F.array_sort(F.concat("__base", added))).drop("__base", "__runs", "__tokens")
+    run, some = f"[A-Za-z0-9+/_=-]{{{model.least},}}", f"[A-Za-z0-9+/_=-]{{{model.least}}}"
+    tokens = F.when(whole.rlike(some), F.regexp_extract_all(whole, F.lit(run), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    names = {name: unused(docs, name) for name in ("base", "runs", "tokens")}
+    held = docs.withColumns({names["base"]: F.concat(*base), names["runs"]: _cut(whole, run, 0, some), names["tokens"]: tokens})
+    known = F.col(names["base"])
+    free = F.filter(F.transform(names["runs"], lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(F.col(names["tokens"]), i).alias("token"))), lambda s: ~F.exists(known, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    added = _named(F.filter(free, lambda s: _likely(_steps(s["token"]), model.ratio) > model.margin), "markov")
+    return held.withColumn(spans, F.array_sort(F.concat(known, added))).drop(*names.values())
 
 
 def joined(spans: Column) -> Column:
