@@ -5,30 +5,35 @@ wrapped.  Lines are joined from each line on as far as a notice that begins in i
 nearest `LONGEST` words, without what stands before and after words, such as comment signs.  Words and runs of two and three words are its features; a sparse logistic
 regression gives each licence family, and `unknown`, a probability.  The regression is fitted on a bounded sample made
 by rule from templates of licence notices (words dropped, words of other prose around them) and from prose that speaks of licences
-and permissions otherwise.  A temperature, fitted on a part of the sample that training did not see, calibrates the
-probabilities.  A family is reported where its probability is at least `least` and the paragraph also
+and permissions otherwise.  A temperature calibrates the probabilities: it is fitted on thirds of the templates and of the prose, each judged by a
+regression that saw the other two thirds alone, so `unknown` is learned from notices and prose that are new.
+A family is reported where its probability is at least `least` and the paragraph also
 contains `confirm` of the word pairs of one of the family's templates.  Of findings of one family that overlap, the one of fewest
 lines stands, then the first.
 
-Every template has one of the anchor words, and a paragraph without any is unknown; that spares most texts the work.
+Texts that cannot confirm any template are not judged: `telling_words` derives from the templates words of which every confirming paragraph has
+one, so this spares work and changes nothing.
 
-Defined results: null and empty texts have no findings; equal probabilities go to the first family in order.
+Defined results: null and empty texts have no findings; equal probabilities go to the first family in order; repeated rows are scanned each; other
+columns stay, and the findings take the place of a column of their name; a text of any length is scanned whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._work import constant_doubles
+from ._work import bound, constant_doubles, placed
 
 #: Notices by which licences are commonly declared, by family.
 TEMPLATES = {
     "Apache-2.0": [
+        "SPDX-License-Identifier: Apache-2.0",
         "Licensed under the Apache License, Version 2.0",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
         "This project is released under the terms of the Apache License 2.0",
@@ -36,18 +41,23 @@ TEMPLATES = {
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied",
     ],
     "MIT": [
+        "SPDX-License-Identifier: MIT",
         "Released under the MIT License",
         "This software is licensed under the MIT license",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
     ],
     "BSD": [
+        "SPDX-License-Identifier: BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
         "Released under the BSD 3-Clause License",
         "Licensed under the simplified BSD license",
         "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     ],
     "GPL": [
+        "Released under GPLv2",
+        "Licensed under the GPL v3",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
         "This work is licensed under the GNU General Public License, version 3",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "You should have received a copy of the GNU General Public License along with this program",
@@ -91,9 +101,6 @@ They may not use this road without permission from the owner
 All rights and duties of members are listed in the charter
 """.strip().split("\n")
 _FILLER = "the of and to in a is that for it was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
-ANCHOR = r"(?i)licen[cs]e|copyright|permission|warrant|redistribut|public domain|general public|rights reserved"
-#: The same over line ends and comment signs.
-_WRAPPED_ANCHOR = ANCHOR.replace(" ", r"[^\p{L}\p{N}]+")
 #: Words of the longest template.
 LONGEST = max(len(re.findall("[a-z0-9]+", t.lower())) for ts in TEMPLATES.values() for t in ts)
 UNKNOWN = "unknown"
@@ -101,11 +108,40 @@ FAMILIES = [UNKNOWN, *TEMPLATES]
 _BUCKETS = 1 << 15
 
 
+def _pairs_of(template: str) -> list[str]:
+    words = re.findall("[a-z0-9]+", template.lower())
+    return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))
+
+
+def telling_words(confirm: float) -> list[str]:
+    """Words of which every paragraph has one, by itself or in a longer word, that contains the share `confirm` of the word pairs of any template.
+
+    Of each template fewer than that share of the pairs are without any of the words, so pairs without them never confirm it.  Words are taken
+    one by one, by how many pairs of templates still open they are in; short words, and those of other prose, count less.
+    """
+    prose = Counter(re.findall("[a-z0-9]+", " ".join([*PROSE, *_FILLER * 20]).lower()))
+    worth = lambda w: 4.0 ** min(0, len(w) - 7) / (1 + 20 * prose[w])
+    pairs, words = [_pairs_of(t) for ts in TEMPLATES.values() for t in ts], []
+    while still := [free for own in pairs if len(free := [p for p in own if not any(w in p for w in words)]) >= confirm * len(own)]:
+        known = {w for free in still for p in free for w in p.split()}
+        words.append(max(sorted(known), key=lambda w: worth(w) * sum(w in p for free in still for p in free)))
+    return words
+
+
+def _any_of(words: list[str]) -> str:
+    """A pattern for any of the words, by their first letters."""
+    first = {w[:1]: [v[1:] for v in sorted(words) if v[:1] == w[:1]] for w in sorted(words)}
+    return "|".join(f"{c}(?:{'|'.join(rest)})" for c, rest in first.items())
+
+
 def grams(paragraph: Column, longest: int = 3) -> Column:
     """The distinct words and runs of up to `longest` words of a paragraph."""
-    words = F.regexp_extract_all(F.lower(paragraph), F.lit("[a-z0-9]+"), F.lit(0))
-    runs = lambda n: F.filter(F.transform(words, lambda w, i: F.when(i + n <= F.size(words), F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))), lambda g: g.isNotNull())
-    return F.array_distinct(F.concat(words, *[runs(n) for n in range(2, longest + 1)]))
+
+    def all_runs(words: Column) -> Column:
+        runs = lambda n: F.filter(F.transform(words, lambda w, i: F.when(i + n <= F.size(words), F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))), lambda g: g.isNotNull())
+        return F.array_distinct(F.concat(words, *[runs(n) for n in range(2, longest + 1)]))
+
+    return bound(F.regexp_extract_all(F.lower(paragraph), F.lit("[a-z0-9]+"), F.lit(0)), all_runs)
 
 
 def _buckets(of: Column) -> Column:
@@ -113,7 +149,7 @@ def _buckets(of: Column) -> Column:
 
 
 def labelled_samples(spark: SparkSession, n: int = 2_000) -> DataFrame:
-    """(text, label): paragraphs made by rule; label is the place in FAMILIES."""
+    """(id, source, label, text): paragraphs made by rule; label is the place in FAMILIES, source the notice or prose one is made from."""
     notices = [(t, FAMILIES.index(f)) for f, ts in TEMPLATES.items() for t in ts]
     prose = [(t, 0) for t in PROSE]
     plain = [(" ".join(_FILLER[(7 * i + 11 * k + i * k) % len(_FILLER)] for k in range(12)), 0) for i in range(len(notices))]
@@ -124,7 +160,7 @@ def labelled_samples(spark: SparkSession, n: int = 2_000) -> DataFrame:
     around = lambda salt: F.array_join(F.transform(F.sequence(F.lit(1), (chance(salt) % 8 + 1).cast("int")), lambda k: F.element_at(filler, (F.pmod(F.xxhash64("id", F.lit(salt), k), F.lit(len(_FILLER))) + 1).cast("int"))), " ")
     kept = F.array_join(F.filter(F.split("text", " "), lambda w, k: F.pmod(F.xxhash64("id", k), F.lit(100)) >= F.when(chance(3) < 400, F.lit(0)).otherwise(F.lit(8))), " ")
     made = spark.range(n).withColumn("source", (F.col("id") % size).cast("int")).join(F.broadcast(source), "source")
-    return made.select("id", "label", F.concat_ws(" ", F.when(chance(1) < 400, around(11)), kept, F.when(chance(2) < 400, around(12))).alias("text"))
+    return made.select("id", "source", "label", F.concat_ws(" ", F.when(chance(1) < 400, around(11)), kept, F.when(chance(2) < 400, around(12))).alias("text"))
 
 
 @dataclass
@@ -135,12 +171,31 @@ class LicenceModel:
     temperature: float
 
 
+#: Parts of the templates and prose; each is judged by a regression on the others to calibrate.
+FOLDS = 3
+
+
+def _fit(x: np.ndarray, y: np.ndarray, rounds: int, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    w, bias, target = np.zeros((x.shape[1], len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32), np.eye(len(FAMILIES), dtype=np.float32)[y]
+    for _ in range(rounds if len(y) else 0):
+        g = (_softmax(x @ w + bias) - target) / len(y)
+        w -= rate * (x.T @ g + decay * w)
+        bias -= rate * g.sum(0)
+    w[0] = 0
+    return w, bias
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
 def train(samples: DataFrame, *, rounds: int = 150, rate: float = 2.0, decay: float = 1e-3, least_rows: int = 4) -> LicenceModel:
-    """Fits the regression on the driver by gradient descent; samples (id, text, label) are a bounded set made by rule.
+    """Fits the regression on the driver by gradient descent; samples (id, source, label, text) are a bounded set made by rule.
 
     least_rows: samples that a feature must be in.
     """
-    rows = samples.select("id", "label", _buckets(grams(F.col("text"))).alias("f")).orderBy("id").collect()
+    rows = samples.select("id", "source", "label", _buckets(grams(F.col("text"))).alias("f")).orderBy("id").collect()
     seen = np.bincount([b for r in rows for b in r["f"]], minlength=_BUCKETS)
     used = np.flatnonzero(seen >= least_rows)
     place = np.zeros(_BUCKETS, np.int64)
@@ -149,87 +204,91 @@ def train(samples: DataFrame, *, rounds: int = 150, rate: float = 2.0, decay: fl
     for i, r in enumerate(rows):
         x[i, place[r["f"]]] = 1
     x[:, 0] = 0
-    y = np.array([r["label"] for r in rows])
-    kept_out = np.arange(len(rows)) % 5 == 4
-    w, bias = np.zeros((x.shape[1], len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
-
-    def probabilities(rows, heat=1.0):
-        z = (rows @ w + bias) / heat
-        e = np.exp(z - z.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
-
-    own, target = x[~kept_out], np.eye(len(FAMILIES), dtype=np.float32)[y[~kept_out]]
-    for _ in range(rounds if len(rows) else 0):
-        g = (probabilities(own) - target) / len(own)
-        w -= rate * (own.T @ g + decay * w)
-        bias -= rate * g.sum(0)
-    w[0] = 0
-    test, truth = x[kept_out], y[kept_out]
-    loss = lambda heat: -np.log(np.maximum(probabilities(test, heat)[np.arange(len(test)), truth], 1e-12)).sum()
-    temperature = min((0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0, 1.25, 1.5, 2.0), key=loss)
+    y, fold = (np.array([r[c] for r in rows], np.int64) for c in ("label", "source"))
+    logits = np.zeros((len(rows), len(FAMILIES)), np.float32)
+    for k in range(FOLDS):
+        own = fold % FOLDS == k
+        w, bias = _fit(x[~own], y[~own], rounds, rate, decay)
+        logits[own] = x[own] @ w + bias
+    known = np.array([len({s for s, z in zip(fold, y, strict=True) if z == label}) >= FOLDS for label in range(len(FAMILIES))], bool)  # families that the other parts had seen
+    new = known[y] if len(y) else np.zeros(0, bool)
+    loss = lambda heat: -np.log(np.maximum(_softmax(logits[new] / heat)[np.arange(new.sum()), y[new]], 1e-12)).sum()
+    temperature = min((0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0, 1.25, 1.5, 2.0), key=loss) if new.any() else 1.0
+    w, bias = _fit(x, y, rounds, rate, decay)
     return LicenceModel(place, w, bias, temperature)
 
 
-def _judge(features: Column, model: LicenceModel) -> Column:
+def _judge(features: Column, model: LicenceModel, weights: Column) -> Column:
     """(rank of the family, its probability) of the weights' rows that a paragraph uses."""
-    weights = constant_doubles(model.weights.ravel())
-    bias = constant_doubles(model.bias)
     width = len(FAMILIES)
-    logits = F.aggregate(features, bias, lambda acc, p: F.transform(acc, lambda z, k: z + F.get(weights, p * width + k)), lambda acc: F.transform(acc, lambda z: z / model.temperature))
+    logits = F.aggregate(features, constant_doubles(model.bias), lambda acc, p: F.transform(acc, lambda z, k: z + F.get(weights, p * width + k)), lambda acc: F.transform(acc, lambda z: z / model.temperature))
 
     def best(z: Column) -> Column:
         top = F.array_max(z)
         total = F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
         return F.struct((F.array_position(z, top) - 1).cast("int").alias("rank"), (1 / total).alias("p"))
 
-    return F.transform(F.array(logits), best)[0]
+    return bound(logits, best)
 
 
 def _template_pairs() -> Column:
     """By family, the word pairs of each template: one constant."""
+    none = F.array().cast("array<array<string>>")
+    return F.array(none, *[F.array(*[F.split(F.lit("|".join(_pairs_of(t))), r"\|") for t in templates]) for templates in TEMPLATES.values()])
 
-    def pairs(template: str) -> Column:
-        words = re.findall("[a-z0-9]+", template.lower())
-        return F.split(F.lit("|".join(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False)))), r"\|")
 
-    none = F.array().cast("array<array<string>>")
-    return F.array(none, *[F.array(*map(pairs, templates)) for templates in TEMPLATES.values()])
+_LINE, _WINDOW = "struct<start:int,text:string,words:array<string>>", "struct<start:int,end:int,lines:int,paragraph:string>"
+
+
+def _windows(lines: Column, line: Column, place: Column) -> Column:
+    """The paragraphs that begin in a line: itself, and with each line after it as far as a notice that begins in it can reach."""
+    end = lambda x: x["start"] + F.length(x["text"])
+    size = F.size(line["words"])
+    none = F.array().cast(f"array<{_WINDOW}>")
+    own = F.struct(line["start"].alias("start"), end(line).alias("end"), F.lit(1).alias("lines"), line["text"].alias("paragraph"))
+    tail = F.slice(line["words"], F.greatest(F.lit(1), size - LONGEST + 1), LONGEST)
+
+    def longer(acc: Column, x: Column) -> Column:
+        words = F.concat(acc["words"], F.slice(x["words"], 1, LONGEST))
+        more = F.struct(line["start"].alias("start"), end(x).alias("end"), (F.size(acc["out"]) + 1).alias("lines"), F.array_join(words, " ").alias("paragraph"))
+        after = acc["after"] + F.size(x["words"])
+        goes = F.struct(words.alias("words"), F.concat(acc["out"], F.array(more)).alias("out"), after.alias("after"), ((after < LONGEST) & (F.size(x["words"]) > 0)).alias("on"))
+        ends = F.struct(acc["words"].alias("words"), acc["out"].alias("out"), acc["after"].alias("after"), F.lit(False).alias("on"))
+        return F.when(acc["on"] & (F.size(x["words"]) > 0), goes).otherwise(ends)
+
+    begin = F.struct(tail.alias("words"), F.array(own).cast(f"array<{_WINDOW}>").alias("out"), F.lit(0).alias("after"), F.lit(True).alias("on"))
+    return F.when(size > 0, F.aggregate(F.slice(lines, place + 2, F.lit(LONGEST)), begin, longer)["out"]).otherwise(none)
 
 
 def find_licences(docs: DataFrame, model: LicenceModel, *, text: str = "text", found: str = "licences", least: float = 0.5, confirm: float = 0.6) -> DataFrame:
     """docs with the declared licences of each text: an array of (start, end, family, p) in order; code points, end exclusive."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    kind = "start:int,end:int,lines:int,paragraph:string"
-    empty, none = F.array().cast(f"array<struct<{kind}>>"), F.array().cast(f"array<struct<{kind},after:int,words:array<string>>>")
-
-    def window(start, end, lines, paragraph, after, words) -> Column:
-        return F.struct(start.alias("start"), end.alias("end"), lines.alias("lines"), paragraph.alias("paragraph"), after.alias("after"), words.alias("words"))
-
-    def step(acc: Column, line: Column) -> Column:
-        size, end = F.size(line["words"]), acc["at"] + F.length(line["text"])
-        longer = F.transform(F.filter(acc["open"], lambda w: w["after"] < LONGEST), lambda w: window(w["start"], end, w["lines"] + 1, F.lit(""), w["after"] + size, F.concat(w["words"], F.slice(line["words"], 1, LONGEST))))
-        own = window(acc["at"], end, F.lit(1), line["text"], F.lit(0), F.slice(line["words"], F.greatest(F.lit(1), size - LONGEST + 1), LONGEST))
-        shown = F.transform(acc["open"], lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), w["lines"].alias("lines"), F.when(w["lines"] == 1, w["paragraph"]).otherwise(F.array_join(w["words"], " ")).alias("paragraph")))
-        return F.struct((end + 1).alias("at"), F.when(size > 0, F.concat(longer, F.array(own))).otherwise(none).alias("open"), F.concat(acc["out"], F.filter(shown, lambda w: w["paragraph"].rlike(_WRAPPED_ANCHOR))).alias("out"))
-
-    lines = F.transform(F.split(F.concat(whole, F.lit("\n")), "\n", -1), lambda x: F.struct(x.alias("text"), F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words")))
-    candidates = F.aggregate(lines, F.struct(F.lit(0).alias("at"), none.alias("open"), empty.alias("out")), step)["out"]
-    place, templates = constant_doubles(model.place).cast("array<int>"), _template_pairs()
-    names = F.array(*map(F.lit, FAMILIES))
+    telling = _any_of(telling_words(confirm))
+    cut = F.transform(F.split(whole, "\n", -1), lambda x: F.struct(x.alias("text"), F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words")))
+    lines = placed(cut, _LINE, lambda x: F.length(x["text"]) + 1, lambda x, at: F.struct(at.alias("start"), x["text"].alias("text"), x["words"].alias("words")))
+    tells = lambda c: F.lower(c["paragraph"]).rlike(telling)
+    candidates = bound(lines, lambda held: F.flatten(F.transform(held, lambda line, i: F.filter(_windows(held, line, i), tells))))
 
-    def read(c: Column) -> Column:
-        return F.struct(c["lines"].alias("lines"), c["start"].alias("start"), c["end"].alias("end"), grams(c["paragraph"]).alias("grams"))
+    def judged(c: Column, place: Column, weights: Column) -> Column:
+        def with_grams(g: Column) -> Column:
+            used = F.filter(F.transform(_buckets(g), lambda b: F.get(place, b)), lambda p: p > 0)
+            return F.struct(c["lines"].alias("lines"), c["start"].alias("start"), c["end"].alias("end"), g.alias("grams"), _judge(used, model, weights).alias("j"))
 
-    def judged(c: Column) -> Column:
-        used = F.filter(F.transform(_buckets(c["grams"]), lambda b: F.get(place, b)), lambda p: p > 0)
-        return F.struct(c["lines"].alias("lines"), c["start"].alias("start"), c["end"].alias("end"), c["grams"].alias("grams"), _judge(used, model).alias("j"))
+        return bound(grams(c["paragraph"]), with_grams)
 
-    def confirmed(c: Column) -> Column:
+    def confirmed(c: Column, templates: Column) -> Column:
         return F.exists(F.get(templates, c["j"]["rank"]), lambda t: F.size(F.array_intersect(c["grams"], t)) >= confirm * F.size(t))
 
-    kept = F.filter(F.transform(F.transform(F.when(whole.rlike(_WRAPPED_ANCHOR), candidates).otherwise(empty), read), judged), lambda c: (c["j"]["rank"] > 0) & (c["j"]["p"] >= least) & confirmed(c))
+    def known(some: Column) -> Column:
+        """The confirmed findings of the candidates, with the model's constants computed once."""
+        one = lambda c: bound(constant_doubles(model.place).cast("array<int>"), lambda place: bound(constant_doubles(model.weights.ravel()), lambda weights: judged(c, place, weights)))
+        return F.filter(F.transform(some, one), lambda c: (c["j"]["rank"] > 0) & (c["j"]["p"] >= least) & confirmed(c, _template_pairs()))
+
+    none = F.array().cast(f"array<{_WINDOW}>")
+    kept = known(F.when(F.lower(whole).rlike(telling), candidates).otherwise(none))
     ordered = F.array_sort(F.transform(kept, lambda c: F.struct(c["lines"].alias("lines"), c["start"].alias("start"), c["end"].alias("end"), c["j"].alias("j"))))
     apart = lambda c, k: (k["j"]["rank"] != c["j"]["rank"]) | (k["end"] <= c["start"]) | (c["end"] <= k["start"])
-    first = F.aggregate(ordered, F.filter(ordered, lambda c: F.lit(False)), lambda acc, c: F.when(F.forall(acc, lambda k: apart(c, k)), F.concat(acc, F.array(c))).otherwise(acc))
+    first = bound(ordered, lambda o: F.aggregate(o, F.filter(o, lambda c: F.lit(False)), lambda acc, c: F.when(F.forall(acc, lambda k: apart(c, k)), F.concat(acc, F.array(c))).otherwise(acc)))
+    names = F.array(*map(F.lit, FAMILIES))
     named = F.transform(first, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.get(names, c["j"]["rank"]).alias("family"), c["j"]["p"].alias("p")))
     return docs.withColumn(found, F.array_sort(named))
