@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import string
 
 import duckdb
+import numpy as np
 from helpers import AWKWARD, PROSE, alnum, documents
 from pyspark.sql import functions as F
 
@@ -107,9 +109,93 @@ def test_models_tell_random_strings_from_identifiers(spark):
     assert not any(found[100 + i] for i in range(len(plain)))
 
 
+def test_recall_of_the_models_by_length(spark):
+    """Random strings that the samples do not have, against the least length that is judged; and names that the counts did not see."""
+    r, model = random.Random(6), secrets.train(secrets.labelled_samples(spark))
+    kinds = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_lowercase + string.digits]
+    rows = [(n, k, "".join(r.choice(a) for _ in range(n))) for n in (20, 24, 32, 40) for k, a in enumerate(kinds) for _ in range(100)]
+    docs = documents(spark, [(i, f"x {t} y") for i, (*_, t) in enumerate(rows)])
+    hit = {x["doc_id"]: len(x["spans"]) > 0 for x in secrets.find_secrets(docs, model).collect()}
+    share = {n: np.mean([hit[i] for i, (m, *_) in enumerate(rows) if m == n]) for n in (20, 24, 32, 40)}
+    assert share[20] >= 0.9 and share[24] >= 0.95 and share[32] >= 0.98 and share[40] >= 0.98, share
+    names = ["_".join(r.sample(["customer", "invoice", "ledger", "morning", "garden", "window", "silver", "bridge", "thunder", "velvet", "harbour", "meadow"], 4)) for _ in range(200)]
+    docs = documents(spark, [(i, f"x {t} y") for i, t in enumerate(names)])
+    assert np.mean([len(x["spans"]) > 0 for x in secrets.find_secrets(docs, model).collect()]) <= 0.03
+
+
+def test_markov_spans_by_hand(spark):
+    """Every run's ratio in plain Python, and positions in a text of many runs, more than are gathered at once."""
+    r, model = random.Random(8), secrets.train(secrets.labelled_samples(spark))
+    words = ["".join(r.choice("abcdeXYZ0189_-/") for _ in range(r.randrange(15, 40))) for _ in range(1500)]
+    text = "é " + " \U0001f600, ".join(words)
+    index = {c: i + 1 for i, c in enumerate(secrets.ALPHABET)}
+    want = []
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+        codes = [index[c] for c in m.group()]
+        if sum(model.ratio[a * secrets._WIDTH + b] for a, b in zip([0, *codes], codes)) > model.margin:
+            want.append((m.start(), m.end()))
+    base = [(x, y) for _, x, y in base_spans(text)]
+    want = [(a, b) for a, b in want if not any(a < y and x < b for x, y in base)]
+    spans = secrets.find_secrets(documents(spark, [(1, text)]).withColumn("__base", F.lit(1)), model).first()["spans"]
+    assert [(s["start"], s["end"]) for s in spans if s["kind"] == "markov"] == want and len(want) > 100
+
+
 # ---- licences
 
 
+def test_telling_words_lose_nothing(spark, monkeypatch):
+    """With every word telling, nothing more is found; and no template can be confirmed without a telling word."""
+    words = set(licenses.telling_words(0.6))
+    for t in (t for ts in licenses.TEMPLATES.values() for t in ts):
+        pairs = licenses._pairs_of(t)
+        assert sum(not any(w in p for w in words) for p in pairs) < 0.6 * len(pairs)
+    assert not words & {"the", "and", "this", "you", "any", "may"}
+    model, r = licenses.train(licenses.labelled_samples(spark)), random.Random(3)
+    texts = [" ".join(w for w in t.split() if r.random() > 0.15) for ts in licenses.TEMPLATES.values() for t in ts for _ in range(3)]
+    docs = documents(spark, list(enumerate([*texts, *licenses.PROSE])))
+    found = lambda: [tuple(map(tuple, x["licences"])) for x in licenses.find_licences(docs, model).orderBy("doc_id").collect()]
+    some = found()
+    monkeypatch.setattr(licenses, "telling_words", lambda confirm: [""])
+    assert found() == some and sum(map(bool, some)) > len(texts) / 3
+
+
+#: Notices in words that no template has as a whole, and prose that declares nothing.
+NOTICES = [
+    ("Apache-2.0", "Copyright 2021 The Example Authors.\n\nLicensed under the Apache License, Version 2.0 (the\n\"License\"); you may not use this file except in\ncompliance with the License."), ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0"),
+    ("MIT", "# This software is licensed under the MIT license, see LICENSE"), ("MIT", "Code samples are released under the MIT License unless noted."), ("MIT", "/* SPDX-License-Identifier: MIT */"),
+    ("BSD", "Licensed under the simplified BSD license; see COPYING."), ("BSD", "* Redistribution and use in source and binary forms, with or without\n* modification, are permitted provided that the following conditions\n* are met:"),
+    ("GPL", "The tool is released under GPLv2."), ("GPL", "You should have received a copy of the GNU General Public License\nalong with this program. If not, see the site."), ("LGPL", "Licensed under the GNU Lesser General Public License, version 2.1 or later"),
+    ("AGPL", "The server is released under the AGPL license."), ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0. If a copy was not sent, ask."), ("EPL", "All parts are licensed under the Eclipse Public License."), ("ISC", "It is released under the ISC License."),
+    ("CC-BY", "Text and figures: licensed under CC BY 4.0."), ("CC-BY-SA", "The page is licensed under CC BY-SA 4.0."), ("CC0", "The data set is released into the public domain under the CC0 license."), ("Proprietary", "Copyright 2019 Example Ltd. All rights reserved."),
+]
+NONE = [
+    "He hung his fishing license beside the door.", "The permission slip must be signed by Friday.", "Copyright law is taught in the second year.", "The warranty covers parts and labour.", "She reads the terms of the agreement twice.", "The town library is open to the general public.", "Without permission nobody may enter the forest.",
+    "You may redistribute the leaflets among your neighbours.", "All members reserved a seat for the concert.", "The version 2.0 of the recipe needs more salt.", "The source of the river lies above the village.", "Under the bridge a license plate was found.", "A copy of the letter was sent to the mayor.", "They granted free passage to all boats.",
+]
+
+
+def test_precision_and_recall_on_new_notices(spark):
+    model = licenses.train(licenses.labelled_samples(spark))
+    rows = [(i, f"Some words before.\n\n{t}\n\nAnd some after.") for i, t in enumerate([t for _, t in NOTICES] + NONE)]
+    found = {x["doc_id"]: [s["family"] for s in x["licences"]] for x in licenses.find_licences(documents(spark, rows), model).collect()}
+    right = sum(found[i] == [f] for i, (f, _) in enumerate(NOTICES))
+    assert right >= 0.9 * len(NOTICES), [(f, found[i]) for i, (f, _) in enumerate(NOTICES) if found[i] != [f]]
+    assert not any(found[len(NOTICES) + i] for i in range(len(NONE)))
+
+
+def test_judgement_by_hand(spark):
+    """Probabilities of whole paragraphs from the weights, in plain Python."""
+    model, text = licenses.train(licenses.labelled_samples(spark)), "Licensed under the Apache License, Version 2.0"
+    buckets = spark.createDataFrame([(text,)], "text string").select(licenses._buckets(licenses.grams(F.col("text"))).alias("b")).first()["b"]
+    words = re.findall("[a-z0-9]+", text.lower())
+    assert len(buckets) == len({" ".join(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1)})
+    z = (model.weights[model.place[buckets]].astype(float).sum(0) + model.bias) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    got = licenses.find_licences(documents(spark, [(1, text)]), model).first()["licences"]
+    assert [(s["start"], s["end"], s["family"]) for s in got] == [(0, len(text), "Apache-2.0")]
+    assert licenses.FAMILIES[int(p.argmax())] == "Apache-2.0" and abs(got[0]["p"] - p.max()) < 1e-6
+
+
 def test_licences(spark):
     model = licenses.train(licenses.labelled_samples(spark))
     texts = {
@@ -146,6 +232,37 @@ def test_wrapped_licences(spark):
 # ---- quality
 
 
+def test_trees_by_plain_walks():
+    """Margins of all rows by walking each tree node by node, and statistics on odd texts are finite."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 6))
+    x[:, 3] = np.round(x[:, 3])  # ties
+    y = (x[:, 0] * x[:, 1] + x[:, 3] > 0).astype(float)
+    model = quality.grow(x, y, trees=80, depth=3)
+    for row, margin in zip(x, model.margin(x)):
+        total = model.base
+        for feature, cut, leaf in zip(model.feature, model.cut, model.leaf):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if row[feature[at]] > cut[at] else 1)
+            total += leaf[at - len(feature)]
+        assert math.isclose(total, margin, rel_tol=1e-12, abs_tol=1e-12)
+    assert ((model.score(x) > 0.5) == (y > 0.5)).mean() > 0.9
+    again = quality.grow(np.concatenate([x, x]), np.concatenate([y, y]), trees=3, depth=2, least=6.0, ridge=2.0)
+    once = quality.grow(x, y, trees=3, depth=2, least=3.0, ridge=1.0)
+    assert np.allclose(again.margin(x) - again.base, once.margin(x) - once.base, atol=1e-3)  # each row twice weighs nothing
+
+
+def test_quality_sample_does_not_depend_on_placement(spark):
+    docs = spark.createDataFrame([(i, f"{'good words here. ' * (i % 9 + 1)} {'!' * (i % 5)} {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, quality int")
+    models = [quality.train(d, l, max_train_rows=100, trees=5) for d, l in ((docs, labels), (docs.repartition(7), labels.repartition(3)), (docs.orderBy("text").coalesce(1), labels))]
+    assert all(np.array_equal(models[0].cut, m.cut) and np.array_equal(models[0].leaf, m.leaf) for m in models[1:])
+    assert "score" in quality.score(docs.withColumn("score", F.lit(9.0)), models[0]).columns
+    rows = quality.score(docs.withColumn("score", F.lit(9.0)), models[0]).collect()
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
 def test_quality(spark, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     rows = queries.op4_quality(spark, sf_dir).where("held_out").join(labels, "doc_id").collect()
