@@ -45,6 +45,28 @@ def test_overlaps(spark):
     assert decontaminate.overlaps(documents(spark, []), bench).count() == 0
 
 
+def test_winnowing_with_ties_and_a_full_bitmap(spark, monkeypatch):
+    """Texts of two words, where grams are equal in most windows, and a bitmap that spares nothing."""
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 16)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 16)
+    r = random.Random(12)
+    text = lambda n, k: " ".join(r.choice("abc"[:k]) for _ in range(n))
+    items = [(i, text(r.randrange(1, 40), 2)) for i in range(12)] + [(100 + i, text(60, 3)) for i in range(6)] + [(200, "a"), (201, "b b"), (202, "a " * 30)]
+    rows = [(i, text(r.randrange(0, 80), 2 + i % 2)) for i in range(60)] + [(300, items[13][1] + " x " + items[14][1]), (301, "c " + items[15][1][5:80] + " c"), (302, "a " * 3000)]
+    got = decontaminate.overlaps(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted([(r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in got.collect()], key=str) == brute_overlap(rows, items)
+
+
+def test_winnowing_keeps_a_gram_of_every_window():
+    r = np.random.default_rng(4)
+    words, firsts = r.integers(0, 6, 3000).astype(np.uint64), np.array([0, 5, 5, 1000, 1009, 1019, 3000])
+    at, _ = decontaminate.winnowed(words, firsts, 10, 5)
+    kept, grams = set(at.tolist()), decontaminate.T.gram_hashes(words, 5)
+    windows = [k for a, b in zip(firsts, firsts[1:]) for k in range(a, b - 9)]
+    assert all(max(range(k, k + 6), key=lambda i: (-int(grams[i]), i)) in kept for k in windows)
+    assert kept <= {i for k in windows for i in range(k, k + 6)} and len(kept) < 0.5 * len(windows)
+
+
 def test_decontamination_sql(spark, sf_dir):
     con = duckdb.connect()
     for t in ("documents", "benchmark"):
