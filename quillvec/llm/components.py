@@ -3,7 +3,7 @@
 Large-star links every larger neighbour of a node to the node's least neighbour; small-star links the
 node and its smaller neighbours to the least of them.  Alternating both ends with stars whose
 centre is the least node of each component.  Neighbours are never gathered in a list: each
-step is a grouped minimum and a join.  Nodes of many links, HUBS of them at most, are joined by a broadcast, so their rows stay where they are.
+step is a grouped minimum and a join, so a hub only makes many rows of one key on one side, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -11,11 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._work import scratch
-
-
-#: Nodes that are joined by a broadcast, at most: those with more than a share of 1 / HUBS of the links.
-HUBS = 10_000
+from ._work import materialize
 
 
 def connected_components(links: DataFrame, limit: int = 60) -> DataFrame:
@@ -24,40 +20,27 @@ def connected_components(links: DataFrame, limit: int = 60) -> DataFrame:
     Null ends and loops are ignored; repeated and reversed links count once; no links, no rows.  Rounds grow with the logarithm of the nodes;
     if `limit` of them were not enough it raises, rather than give groups that are not whole.
     """
-    scratch(links.sparkSession)
-    edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
-    last = _digest(edges)
+    edges = materialize(links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     for _ in range(limit):
-        if last[0] == 0:
-            break
-        edges = _small_star(_large_star(edges, last[0]).distinct().checkpoint(), last[0]).checkpoint()
-        now = _digest(edges)
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError(f"components did not settle in {limit} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-
-
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        if _are_stars(edges):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+        edges = materialize(_small_star(_large_star(edges)), "links")
+    raise RuntimeError(f"components did not settle in {limit} rounds")
 
 
-def _with_least(edges: DataFrame, n: int) -> DataFrame:
-    """edges (u, v), about n or 2 n, with m: the least v of each u."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
-    many = F.col("c") > max(1000, 2 * n // HUBS)
-    hubs = F.broadcast(least.where(many).select("u", "m"))
-    return edges.join(hubs, "u").unionByName(edges.join(hubs.select("u"), "u", "left_anti").join(least.where(~many).select("u", "m"), "u"))
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one lesser neighbour and no greater one, or is a centre."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").limit(1).count()
 
 
-def _large_star(edges: DataFrame, n: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _with_least(both, n).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame, n: int) -> DataFrame:
-    met = _with_least(edges, n)
-    moved = met.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(met.select("u", F.col("m").alias("v"))).distinct()
+def _small_star(edges: DataFrame) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

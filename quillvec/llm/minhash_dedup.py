@@ -6,8 +6,8 @@
 2. Nodes that share a band key meet in a bucket.  In each bucket every node is compared by sketch with two
    representatives, not with all others; nodes that may be linked with one make a *family*.
 3. A small family is compared in full in one task.  A large one is cut into blocks of bounded size, and its most central nodes, those whose
-   buckets are the fullest, are compared with every block.  Their links leave one large group as a rule and some
-   nodes besides: only these are then compared with all blocks.  So near copies of one text cost as much as they are many, and no link
+   buckets are the fullest, are compared with every block.  What is linked with the most central one is one group; only the
+   other nodes are then compared with all blocks.  So near copies of one text cost as much as they are many, and no link
    between groups is lost.  A task gives back a spanning forest of its links, never a row for each pair.
 4. Pairs of a bucket in different families that the sketch allows are compared one by one.  So every pair of
    a bucket is judged.  Full buckets are cut into blocks too.
@@ -200,21 +200,22 @@ class _Forest:
 
 
 def _compared(cut: int, asking: bool):
-    """Links of one group of (node, items): of all pairs, or, if `asking`, of rows whose column `asks` is true with all."""
+    """Links of one group of (node, items): of all pairs, or, if `asking`, of rows whose column `asks` is over 0 with all, those with small numbers first."""
 
     def run(group: pa.Table) -> pa.Table:
+        askers = len(group)
         if asking:  # a row that asks stands first, and only once if it is among the others too
-            order = np.argsort(~group["asks"].to_numpy(), kind="stable")
+            asks = group["asks"].to_numpy()
+            order = np.argsort(np.where(asks > 0, asks, np.iinfo(np.int32).max), kind="stable")
             _, first = np.unique(group["node"].to_numpy()[order], return_index=True)
             group = group.take(order[np.sort(first)])
+            askers = int((group["asks"].to_numpy() > 0).sum())
         forest, parts = _Forest(group["node"].to_numpy()), [np.frombuffer(x.as_buffer(), np.uint64) for x in group["items"]]
         sizes = np.array([len(x) for x in parts], np.int64)
         shingles, flat = np.unique(np.concatenate(parts), return_inverse=True)
         starts, own = np.cumsum(sizes) - sizes, np.zeros(len(shingles), bool)
-        for k in range(int(group["asks"].to_numpy().sum()) if asking else len(parts)):
+        for k in range(min(askers, len(parts) - 1)):
             low = k + 1  # the first of those it is compared with
-            if low >= len(parts):
-                break
             mine = flat[starts[k] : starts[k] + sizes[k]]
             own[mine] = True
             inter = np.add.reduceat(own[flat[starts[low] :]].astype(np.int32), starts[low:] - starts[low])
@@ -236,31 +237,37 @@ def _salted(rows: DataFrame, known: DataFrame, how: str) -> DataFrame:
 
 def _family_links(families: DataFrame, sets: DataFrame, cut: int) -> DataFrame:
     """Links (a, b) that join what is linked inside families (node, family, n, weight)."""
-    best = [F.max_by("node", F.when(F.pmod(F.xxhash64("node"), F.lit(CENTRAL)) == r, F.col("weight"))).alias(f"c{r}") for r in range(CENTRAL)]
-    sizes = families.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), *best)
-    large = materialize(sizes.where("blocks > 1"), "minhash-large")  # a row for BLOCK shingles, at most
+    best = [F.max(F.when(F.pmod(F.xxhash64("node"), F.lit(CENTRAL)) == r, F.struct("weight", "node"))).alias(f"c{r}") for r in range(CENTRAL)]
+    sizes = families.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), *best).where("blocks > 1")
+    centres = F.array_compact(F.array(*[F.col(f"c{r}") for r in range(CENTRAL)]))
+    centres = F.transform(F.reverse(F.array_sort(centres)), lambda c: c["node"])
+    large = materialize(sizes.select("family", "blocks", centres.alias("centres")), "minhash-large")  # a row for BLOCK shingles, at most
+    if not large.limit(1).count():
+        return families.join(sets, "node").groupBy("family").applyInArrow(_compared(cut, False), _LINK)
     placed = materialize(_salted(families.select("node", "family", "n"), large.select("family", "blocks"), "left"), "minhash-placed")
-    small = placed.where("blocks is null").join(sets, "node").groupBy("family").applyInArrow(_compared(cut, False), _LINK)
+    links = placed.where("blocks is null").join(sets, "node").groupBy("family").applyInArrow(_compared(cut, False), _LINK)
 
-    # the central nodes of a large family with all of its blocks
+    # the central nodes of a large family with all of its blocks, the most central one first
     big = placed.where("blocks is not null").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
-    centres = large.select("family", "blocks", F.explode(F.array(*[F.col(f"c{r}") for r in range(CENTRAL)])).alias("node")).where("node is not null")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    asked = centres.select("family", "node", every.alias("block"), F.lit(True).alias("asks")).unionByName(big.select("family", "node", "block", F.lit(False).alias("asks")))
-    first = materialize(asked.join(sets, "node").groupBy("family", "block").applyInArrow(_compared(cut, True), _LINK), "minhash-central")
-
-    # what those links leave beside the largest group with all blocks
-    grouped = big.join(connected_components(first), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    grouped = materialize(grouped.select("node", "family", "n", "blocks", "block", "comp"), "minhash-grouped")
-    counts = grouped.groupBy("family", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-    main = counts.groupBy("family").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max(F.struct("c", "comp", "n"))["n"].alias("main_n"), F.sum("n").alias("all_n"))
-    left = materialize(main.where("all_n > main_n").select("family", "main", F.ceil((F.col("all_n") - F.col("main_n")) / BLOCK).cast("int").alias("loose")), "minhash-left")
-    rest = _salted(grouped, left, "inner")
-    asking = rest.where("comp != main").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("loose")).cast("int"))
-    asking = asking.select("family", "node", "part", every.alias("block"), F.lit(True).alias("asks"))
-    others = rest.select("family", "node", F.explode(F.sequence(F.lit(0), F.col("loose") - 1)).alias("part"), "block", F.lit(False).alias("asks"))
-    second = asking.unionByName(others).join(sets, "node").groupBy("family", "part", "block").applyInArrow(_compared(cut, True), _LINK)
-    return small.unionByName(first).unionByName(second)
+    asked = large.select("family", "blocks", F.posexplode("centres").alias("asks", "node")).select("family", "node", every.alias("block"), F.col("asks") + 1)
+    asked = asked.toDF("family", "node", "block", "asks").unionByName(big.select("family", "node", "block", F.lit(0).alias("asks")))
+    central = materialize(asked.join(sets, "node").groupBy("family", "block").applyInArrow(_compared(cut, True), _LINK), "minhash-central")
+    links = links.unionByName(central)
+
+    # what is not linked with the most central node with all blocks
+    first = large.select(F.col("centres")[0].alias("a"))
+    settled = central.join(first, "a", "left_semi").select(F.col("b").alias("node")).unionByName(first.select(F.col("a").alias("node"))).distinct()
+    marked = materialize(big.join(settled.withColumn("settled", F.lit(True)), "node", "left"), "minhash-marked")
+    loose = marked.where("settled is null")
+    left = materialize(loose.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("loose")), "minhash-loose")
+    if not left.limit(1).count():
+        return links
+    rest = _salted(marked, left, "inner")
+    asking = rest.where("settled is null").withColumn("part", F.pmod(F.xxhash64("node", F.lit(7)), F.col("loose")).cast("int"))
+    asking = asking.select("family", "node", "part", every.alias("block"), F.lit(1).alias("asks"))
+    others = rest.select("family", "node", F.explode(F.sequence(F.lit(0), F.col("loose") - 1)).alias("part"), "block", F.lit(0).alias("asks"))
+    return links.unionByName(asking.unionByName(others).join(sets, "node").groupBy("family", "part", "block").applyInArrow(_compared(cut, True), _LINK))
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, rows: int = 6, miss: float = 1e-8) -> DataFrame:
