@@ -2,16 +2,18 @@
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with all their columns; the last
 returns token ids.  A document is known by its id together with a hash of its text, so repeated or null
-ids don't mix documents up; a row that repeats both is the same document.
+ids don't mix documents up; a row that repeats both is the same document, of which one row stays.  Null texts have no language and go at
+the first stage, as do empty ones.  An empty table passes through all stages.  Columns beside those of documents stay, whatever
+their names; the last stage gives its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillvec.llm import byte_bpe, decontaminate, language_id, minhash_dedup, secrets
-from quillvec.llm._work import materialize, table
+from quillvec.llm._work import materialize, table, unused
 from quillvec.llm.queries import vocabulary
 
 #: SQL can't express any of the models.
@@ -26,37 +28,51 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(F.col("doc_id").alias("id"), _text_key().alias("text_key")).alias("doc_id"), "text")
 
 
-def _matching(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """docs whose key is, or is not, among the structs of keys (doc_id)."""
-    keys = keys.select(F.col("doc_id.id").alias("__id"), F.col("doc_id.text_key").alias("__key")).distinct()
-    return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("__id")) & (_text_key() == F.col("__key")), how)
+def _named(docs: DataFrame, id_: Column, text_key: Column, names: list[str]) -> DataFrame:
+    """docs with columns that tell a document: whether its id is null, its id as text, and the hash of its text."""
+    return docs.withColumns(dict(zip(names, (id_.isNull(), F.coalesce(id_.cast("string"), F.lit("")), text_key), strict=True)))
+
+
+def _matching(docs: DataFrame, keys: DataFrame, how: str) -> tuple[DataFrame, list[str]]:
+    """docs whose key is, or is not, among the structs of keys (doc_id), with the columns of the key."""
+    names = [unused(docs, x) for x in ("null", "id", "key")]
+    keys = _named(keys.select("doc_id"), F.col("doc_id.id"), F.col("doc_id.text_key"), names).select(*names).distinct()
+    return _named(docs, F.col("doc_id"), _text_key(), names).join(keys, names, how), names
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told with a probability of at least a half; rejects those without letters."""
     model = language_id.train(docs, vocabulary("piece_bpe_32k.model"))
-    judged = language_id.identify(docs, model, pred="__pred", score="__score")
-    return judged.where((F.col("__pred") != language_id.UNDECIDED) & (F.col("__score") >= 0.5)).drop("__pred", "__score")
+    pred, score = unused(docs, "pred"), unused(docs, "score")
+    judged = language_id.identify(docs, model, pred=pred, score=score)
+    return judged.where((F.col(pred) != language_id.UNDECIDED) & (F.col(score) >= 0.5)).drop(pred, score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near-duplicates (similarity 0.8), and every document without words."""
+    """Keeps the first document of each group of near-duplicates (similarity 0.8), and every document without words.
+
+    Of rows that repeat id and text the one whose other columns have the least hash stays, in whatever order they come.
+    """
     kept = minhash_dedup.near_duplicates(_keyed(docs), percent=80).where("kept")
-    once = _matching(docs, kept, "left_semi").withColumn("__key", _text_key())
-    return once.dropDuplicates(["doc_id", "__key"]).drop("__key")
+    once, names = _matching(docs, kept, "left_semi")
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    row = F.min_by(F.struct(*docs.columns), F.xxhash64(F.lit(0), *others))
+    return once.groupBy(*names).agg(row.alias("row")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with any window of a benchmark item."""
     hit = decontaminate.overlaps(_keyed(docs), table(spark, sf_dir, "benchmark")).where("n_hit > 0")
-    return _matching(docs, hit, "left_anti")
+    kept, names = _matching(docs, hit, "left_anti")
+    return kept.select(*docs.columns)
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks secrets in the texts; n_chars follows where there is such a column."""
     model = secrets.train(secrets.labelled_samples(spark))
-    found = secrets.find_secrets(docs, model, spans="__spans")
-    masked = found.withColumn("text", secrets.redact(F.col("text"), F.col("__spans"))).drop("__spans")
+    spans = unused(docs, "spans")
+    found = secrets.find_secrets(docs, model, spans=spans)
+    masked = found.withColumn("text", secrets.redact(F.col("text"), F.col(spans))).drop(spans)
     return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
