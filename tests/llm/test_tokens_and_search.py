@@ -222,6 +222,29 @@ def test_pipeline(spark, sf_dir):
     assert len(last) == len(left) and all(r["round_trip"] and r["n_tokens"] == len(r["ids"]) for r in last)
 
 
+def test_pipeline_repeated_rows_and_clashing_names(spark, sf_dir):
+    """Rows that repeat id and text in any order give the same row; names that stages use inside are left alone; an empty table passes."""
+    text = "Some words that stand here twice, and enough of them to make a sentence of it"
+    rows = [(1, text, "en", f"src{k}", k) for k in range(5)] + [(2, text, "en", "src9", 9), (None, "Other words of a text that has no id, but a language", "en", "s", 1), (None, None, None, None, None)]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    seen = set()
+    for turn in (rows, rows[::-1]):
+        docs = spark.createDataFrame(turn, kinds).repartition(3)
+        for name in ("__pred", "__score", "__spans", "__base", "__key", "__id", "__null", "row"):
+            docs = docs.withColumn(name, F.lit("own"))
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf_dir)
+            assert out.columns == docs.columns and out.where("__pred <> 'own' or __key <> 'own' or row <> 'own'").count() == 0
+            docs = spark.createDataFrame(out.collect(), docs.schema)
+        seen.add(tuple(sorted(map(str, docs.collect()))))
+        assert docs.count() == 2
+    assert len(seen) == 1
+    docs = spark.createDataFrame([], kinds)
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        assert out.count() == 0
+
+
 def test_pipeline_keeps_clean_documents(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
