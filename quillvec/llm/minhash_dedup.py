@@ -18,7 +18,9 @@ sketch check lets a true pair go with a probability below 1e-9.  Confirmation is
 
 Defined results: null, empty and wordless texts have no shingles, are linked with nothing and kept; a text with fewer
 words than `width` has one shingle, the whole sequence; a null id is never a component's
-id unless all ids of it are null; rows with repeated ids are kept or dropped together if their texts are linked.
+id unless all ids of it are null; rows with repeated ids are kept or dropped together if their texts are linked; of equally central nodes the
+one with the greatest digest stands first; a text of any length is taken whole; columns besides doc_id and text are not read, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations

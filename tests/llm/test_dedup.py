@@ -118,7 +118,11 @@ def test_pairs_at_the_threshold_share_a_band():
     assert abs(same.all(1).mean() - 0.85**6) < 0.003  # and independently within a band
 
 
-def test_hubs(spark):
+def test_hubs(spark, monkeypatch):
+    from quillvec.llm import components
+
+    monkeypatch.setattr(components, "MANY", 70)
+    monkeypatch.setattr(components, "HUBS", 40)
     links = [(7, 1000 + i) for i in range(3000)] + [(3, 1000)] + [(5000 + i, 5001 + i) for i in range(10)] + [(99_999, 10_000 + i) for i in range(3000)]
     out = {r["node"]: r["comp"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert out == {7: 3, 3: 3} | {1000 + i: 3 for i in range(3000)} | {5000 + i: 5000 for i in range(11)} | {10_000 + i: 10_000 for i in range(3000)} | {99_999: 10_000}
