@@ -43,20 +43,28 @@ def all_returned_k(results: DataFrame, queries: DataFrame, n: Column | int, k: i
     return counts.agg(F.coalesce(F.bool_and(F.coalesce("c", F.lit(0)) == least), F.lit(True)).alias("complete"))
 
 
+#: Distinct values that one task puts in order, at most.
+IN_ORDER = 100_000
+
+
 def percentile(values: DataFrame, column: str, p: float) -> DataFrame:
-    """One row: value at place round(p / 100 * (n - 1)) of the sorted values; 0 if there are none.
+    """One row: value at place round(p / 100 * (n - 1)) of the sorted values, by nearest rank; 0 if there are none.
 
-    The place is found by counting within hash-free ranges: an approximate quantile narrows the range, then exact ranks are
-    taken inside it, so no task sorts all rows.
+    Equal values are one row with a count.  An approximate quantile halves the range until it has IN_ORDER distinct values or fewer; their counts are
+    then added up in order, so no task sorts all rows.
     """
-    values = values.select(F.col(column).cast("double").alias("v")).where("v is not null")
-    n = values.count()
+    counted = values.select(F.col(column).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("c"))
+    n, rows = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     if not n:
         return values.sparkSession.sql("SELECT CAST(0.0 AS DOUBLE) AS value")
-    at = int(p / 100 * (n - 1) + 0.5)
-    share, slack = at / max(n - 1, 1), 0.002
-    low, high = values.approxQuantile("v", [max(0.0, share - 2 * slack), min(1.0, share + 2 * slack)], slack)
-    below = values.where(F.col("v") < low).count()
-    inside = values.where(F.col("v").between(low, high))
-    rank = F.row_number().over(Window.orderBy("v"))
-    return inside.withColumn("r", rank).where(F.col("r") == at - below + 1).select(F.col("v").alias("value"))
+    left = int(p / 100 * (n - 1) + 0.5)  # values before the one sought, in the range
+    while rows > IN_ORDER:
+        middle = counted.approxQuantile("v", [0.5], 0.05)[0]
+        lower, upper = counted.where(F.col("v") <= middle), counted.where(F.col("v") > middle)
+        own, distinct = lower.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        if left < own:
+            counted, rows = lower, distinct
+        else:
+            counted, rows, left = upper, rows - distinct, left - own
+    upto = F.sum("c").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return counted.withColumn("upto", upto).where(F.col("upto") > left).agg(F.min("v").alias("value"))

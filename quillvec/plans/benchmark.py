@@ -17,8 +17,9 @@ from ..functions.evaluate import all_returned_k, last_distance_ratio, mean_fract
 from ..operators.incremental import IncrementalConfig, IncrementalIndex
 from ..operators.knn import exact_knn
 from ..sources.store import size_of
-from ..sources.vecs import generate
+from ..sources.vecs import generate, read_ground_truth, read_hdf5, read_vecs, truth_rows
 from . import index as ix
+from .charts import line_chart
 
 
 def _timed(df: DataFrame) -> float:
@@ -141,7 +142,41 @@ def search_report(index: ix.Index, queries: DataFrame, truth: DataFrame, k: int,
     n = queries.count()
     found = ix.search(index, queries, k, beam, mode="graph")
     qps = n / max(_timed(found), 1e-9)
-    near = F.round(F.col("dist"), 9).alias("dist")
+    near = F.round(F.col("dist"), 4).alias("dist")  # files hold single precision
     found, truth = (df.select("qid", "id", "rank", near) for df in (found, truth))
     row = recall_by_distance(found, truth, k).crossJoin(mean_fraction_returned(found, queries, k)).crossJoin(last_distance_ratio(found.where("dist > 0"), truth.where("dist > 0"), k)).crossJoin(all_returned_k(found, queries, index.rows, k))
     return row.withColumn("qps", F.lit(qps))  # of one row each
+
+
+def file_benchmark(spark: SparkSession, base: str, queries: str, path: str, *, truth: tuple[str, str] | None = None, limit: int | None = None, metric: str = "l2", ks: tuple[int, ...] = (10, 100), beam: int = 512, params: ix.IndexParams = ix.IndexParams()) -> DataFrame:
+    """A row for each k: `search_report` of the vectors of one file asked for by those of another, with the index at `path` built if it is not there.
+
+    base, queries: .fvecs or .bvecs files.  truth: .ivecs of neighbours and .fvecs of squared distances; without it, exact search.  limit: rows of base.
+    """
+    kind = lambda name: name.rsplit(".", 1)[-1]
+    index = ix.build_or_open(read_vecs(spark, base, kind(base), limit=limit), path, metric, params)
+    asked = read_vecs(spark, queries, kind(queries)).select(F.col("id").alias("qid"), F.col("embedding").alias("q"))
+    return _reports(index, asked, truth_rows(read_ground_truth(spark, *truth)) if truth else None, ks, beam)
+
+
+def hdf5_benchmark(spark: SparkSession, file: str, path: str, *, metric: str = "l2", ks: tuple[int, ...] = (10,), beam: int = 384, params: ix.IndexParams = ix.IndexParams(48, 128)) -> DataFrame:
+    """The same of a benchmark file with train, test, neighbors and (true) distances."""
+    parts = read_hdf5(spark, file)
+    index = ix.build_or_open(parts["train"], path, metric, params)
+    both = parts["neighbors"].join(parts["distances"], "qid").select("qid", F.posexplode(F.arrays_zip("ids", "d")).alias("pos", "x"))
+    truth = both.select("qid", F.col("x.ids").cast("long").alias("id"), (F.col("pos") + 1).cast("int").alias("rank"), F.col("x.d").cast("double").alias("dist"))
+    return _reports(index, parts["test"], truth, ks, beam)
+
+
+def _reports(index: ix.Index, asked: DataFrame, truth: DataFrame | None, ks: tuple[int, ...], beam: int) -> DataFrame:
+    out = None
+    for k in ks:
+        one = search_report(index, asked, truth if truth is not None else exact_knn(asked, index.nodes, k, index.metric), k, max(beam, k)).select(F.lit(k).alias("k"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def write_charts(folder: str, **tables: DataFrame) -> dict[str, int]:
+    """SVG files of what the drivers above give, by keyword: builds (n, build_seconds), beams (recall, qps), memory (beam, worker_peak_bytes), phases (n, seconds by phase); points by file."""
+    shapes = {"builds": ("n", "build_seconds", None), "beams": ("recall", "qps", None), "memory": ("beam", "worker_peak_bytes", None), "phases": ("n", "seconds", "phase")}
+    return {name: line_chart(df, f"{folder}/{name}.svg", x, y, series=series, title=name) for name, df in tables.items() for x, y, series in [shapes[name]]}

@@ -528,6 +528,27 @@ _add("bench_matrix", lambda s, d: bm.bench_matrix(s, workspace(s), cases=((300,
 _add("search_report", lambda s, d: bm.search_report(_index(s, d), queries_of(vectors(s, d)), knn.exact_knn(queries_of(vectors(s, d)), vectors(s, d), 10), 10, 64).drop("qps"), "SELECT CAST(1.0 AS DOUBLE) AS recall, CAST(1.0 AS DOUBLE) AS fraction, CAST(1.0 AS DOUBLE) AS ratio, true AS complete")
 
 
+
+
+def _files_benchmark(spark, sf_dir):
+    """Base, queries and truth as files, and the reports of two k."""
+    data, folder = vectors(spark, sf_dir).select("id", "embedding"), workspace(spark)
+    asked = data.where(EVERY_50TH).select((F.col("id") / 50).cast("long").alias("id"), "embedding")
+    vecs.write_vecs(data, f"{folder}/base.fvecs", "fvecs")
+    vecs.write_vecs(asked, f"{folder}/queries.fvecs", "fvecs")
+    return bm.file_benchmark(spark, f"{folder}/base.fvecs", f"{folder}/queries.fvecs", f"{folder}/index", ks=(10, 50), beam=128, params=ix.IndexParams(16, 48)).drop("qps")
+
+
+def _charts(spark, sf_dir):
+    index, folder = _index(spark, sf_dir), workspace(spark)
+    found = bm.write_charts(folder, memory=bm.memory_of_searches(index, queries_of(vectors(spark, sf_dir)), beams=(16, 64)), builds=bm.build_times(spark, folder, (100, 200), 8))
+    return spark.createDataFrame(sorted((name, n, bm.size_of(f"{folder}/{name}.svg") > 500) for name, n in found.items()), "name string, points long, written boolean")
+
+
+_add("file_benchmark", _files_benchmark, "SELECT CAST(k AS INTEGER) AS k, CAST(1.0 AS DOUBLE) AS recall, CAST(1.0 AS DOUBLE) AS fraction, CAST(1.0 AS DOUBLE) AS ratio, true AS complete FROM (VALUES (10), (50)) t(k)")
+_add("charts", _charts, "SELECT name, CAST(2 AS BIGINT) AS points, true AS written FROM (VALUES ('builds'), ('memory')) t(name)")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filtered exact nearest neighbours."""
     return knn_query(10, where=fl.Equal("label", 3))(spark, sf_dir)

@@ -97,6 +97,12 @@ def test_hdf5_is_read_in_tasks(spark, tmp_path, monkeypatch):
     for name, key, column in (("train", "id", "embedding"), ("test", "qid", "q"), ("neighbors", "qid", "ids"), ("distances", "qid", "d")):
         rows = parts[name].orderBy(key).collect()
         assert [r[key] for r in rows] == list(range(len(arrays[name]))) and np.array_equal(np.array([r[column] for r in rows]), arrays[name])
+    near = knn.exact_knn(parts["test"], parts["train"], 3).orderBy("qid", "rank").collect()
+    arrays["neighbors"], arrays["distances"] = (np.array([r[c] for r in near]).reshape(7, 3) for c in ("id", "dist"))
+    arrays["neighbors"], arrays["distances"] = arrays["neighbors"].astype(np.int32), arrays["distances"].astype(np.float32)
+    np.savez(tmp_path / "z.npz", **arrays)
+    report = benchmark.hdf5_benchmark(spark, f"{tmp_path}/z.npz", f"{tmp_path}/hdf5", ks=(3,), beam=32).first()
+    assert (report["k"], report["recall"], report["fraction"], report["complete"]) == (3, 1.0, 1.0, True)
     np.savez(tmp_path / "y.npz", train=arrays["train"])
     with pytest.raises(VectorError):
         vecs.read_hdf5(spark, f"{tmp_path}/y.npz")
@@ -165,6 +171,31 @@ def test_first_batch_delivered_twice(spark, tmp_path):
     assert index.stats().first()["live"] == 4
 
 
+def test_percentiles_of_repeated_and_many_values(spark, monkeypatch):
+    from quillvec.functions import evaluate
+
+    monkeypatch.setattr(evaluate, "IN_ORDER", 50)
+    r = np.random.default_rng(2)
+    for x in (np.full(1000, 3.0), np.concatenate([np.full(900, 1.0), r.random(100)]), r.normal(size=2000), np.array([5.0])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double")
+        for p in (0, 50, 95, 99, 100):
+            want = np.sort(x)[int(p / 100 * (len(x) - 1) + 0.5)]
+            assert evaluate.percentile(df, "v", p).first()["value"] == want
+    assert evaluate.percentile(df.limit(0), "v", 50).first()["value"] == 0
+
+
+def test_charts(spark, tmp_path):
+    from xml.dom import minidom
+
+    from quillvec.plans import charts
+
+    rows = spark.createDataFrame([(1, 2.0, "a"), (2, None, "a"), (3, 5.0, "b<"), (4, 4.0, "b<")], "x int, y double, s string")
+    assert charts.line_chart(rows, f"{tmp_path}/c.svg", "x", "y", series="s", title="A & B") == 3
+    page = minidom.parse(f"{tmp_path}/c.svg")
+    assert len(page.getElementsByTagName("circle")) == 3 and len(page.getElementsByTagName("polyline")) == 2
+    assert charts.line_chart(rows.limit(0), f"{tmp_path}/d.svg", "x", "y") == 0
+
+
 def test_benchmarks(spark, tmp_path):
     rows = benchmark.run_incremental_benchmark(spark, f"{tmp_path}/i", 200, 1, 20, 10, 8).collect()
     assert [r["phase"] for r in rows] == ["add", "search", "delete", "search_after_delete", "compact"] and rows[-1]["n"] == 200
