@@ -5,7 +5,7 @@ is mapped to a printable character by the byte table below.  Every way to form a
 merge, in the order of the ranks, so that merges happen as by rank alone.
 
 `encode` also gives the character at which each token starts; a token that starts inside a character
-has that character's place.  `decode` joins the bytes that the file of ranks has for each id, without the byte table; bytes of a
+has that character's place.  `decode` turns the characters of each id's token back to bytes by the reversed table and joins them; bytes of a
 character may be split over tokens and meet again in the result.
 
 Defined results: a null or empty text has no ids and decodes to no bytes; ids that the vocabulary lacks, or a null among ids, give
@@ -38,27 +38,33 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def vocabulary(ranks: dict[bytes, int]) -> dict[str, int]:
+    """The id of each token, written in the characters of the byte table."""
+    table = byte_table()
+    return {"".join(map(table.__getitem__, token)): rank for token, rank in ranks.items()}
+
+
 def make_tokenizer(ranks: dict[bytes, int], pattern: str):
     from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-    table = byte_table()
-    shown = lambda token: "".join(map(table.__getitem__, token))
-    merges = [(shown(t[:i]), shown(t[i:])) for t in sorted(ranks, key=ranks.__getitem__) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-    tokenizer = Tokenizer(models.BPE(vocab={shown(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+    known = vocabulary(ranks)
+    merges = [(t[:i], t[i:]) for t in sorted(known, key=known.__getitem__) for i in range(1, len(t)) if t[:i] in known and t[i:] in known]
+    tokenizer = Tokenizer(models.BPE(vocab=known, merges=merges, ignore_merges=True))
     tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     return tokenizer
 
 
 class _Tokens:
-    """The bytes of each id, end to end, for decoding with array operations."""
+    """The bytes of each id, by the reversed byte table, end to end, for decoding with array operations."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        size = max(ranks.values()) + 1
-        sizes, known = np.zeros(size, np.int64), np.zeros(size, bool)
-        for t, r in ranks.items():
-            sizes[r], known[r] = len(t), True
-        self.sizes, self.known, self.starts = sizes, known, np.cumsum(sizes) - sizes
-        self.data = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
+    def __init__(self, known: dict[str, int]):
+        byte_of = {c: b for b, c in enumerate(byte_table())}
+        size = max(known.values()) + 1
+        sizes, is_known = np.zeros(size, np.int64), np.zeros(size, bool)
+        for t, r in known.items():
+            sizes[r], is_known[r] = len(t), True
+        self.sizes, self.known, self.starts = sizes, is_known, np.cumsum(sizes) - sizes
+        self.data = np.frombuffer(b"".join(bytes(map(byte_of.__getitem__, t)) for t in sorted(known, key=known.__getitem__)), np.uint8)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes of known ids, and the end of each id among them."""
@@ -80,7 +86,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
     def run(batches):
         ranks = read_ranks(ranks_path)
         encoder = E.encoder((ranks_path, pattern), lambda: make_tokenizer(ranks, pattern))
-        tokens = _Tokens(ranks) if starts or decoded else None
+        tokens = _Tokens(vocabulary(ranks)) if starts or decoded else None
         for batch in batches:
             for first, texts in E.text_slices(batch.column(batch.schema.get_field_index(text))):
                 found, ends = encoder.encode(texts)
@@ -108,7 +114,7 @@ def decode(docs: DataFrame, ranks_path: str, *, ids: str = "ids", decoded: str =
     stay, schema = with_results(docs.schema, StructField(decoded, BinaryType()))
 
     def run(batches):
-        tokens = _Tokens(read_ranks(ranks_path))
+        tokens = _Tokens(vocabulary(read_ranks(ranks_path)))
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(ids))
             for first in range(0, len(lists), 512):
