@@ -84,7 +84,8 @@ class _Passage:
         return self.text(first, min(at + window, int(self.firsts[doc + 1]))), at - first
 
 
-_KEY = ["size", "around", "place"]
+#: A passage, and 128 bits that stand for it where documents are joined with what is known of their passages.
+_KEY, _DIGEST = ["size", "around", "place"], ["digest1", "digest2"]
 
 
 def benchmark_fingerprints(benchmark: DataFrame, *, window: int = 10, gram: int = 5) -> DataFrame:
@@ -202,15 +203,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, gram: i
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = docs.select("doc_id", F.monotonically_increasing_id().alias("row_key"), "text")
     parts = materialize(parts.mapInArrow(run, f"doc_id {kind}, row_key long, n_words long, print long, size int, around string, place int, places array<int>"), "bench-met")
+    digest = [F.xxhash64(F.lit(i), *_KEY).alias(name) for i, name in enumerate(_DIGEST)]
     met = parts.where("print is not null")
     passages = bench.select("print", "size", F.col("around").alias("b_around"), F.col("place").alias("b_place")).distinct()
     matches = materialize(extended(met.select("print", *_KEY).distinct(), passages, window=window, gram=gram), "bench-matches")
-    runs = matches.groupBy(*_KEY).agg(F.collect_set(F.struct("back", "length")).alias("matches"))
+    runs = matches.groupBy(*_KEY).agg(F.collect_set(F.struct("back", "length")).alias("matches")).select(*digest, "matches")
     named = bench.select("size", F.col("around").alias("b_around"), F.col("place").alias("b_place"), F.col("item_id").cast("string").alias("item")).distinct()
-    items = matches.join(named, ["size", "b_around", "b_place"]).select(*_KEY, "item").distinct()
-    own = _salted(met.select("row_key", *_KEY, "places"), runs, _KEY, "row_key", "inner").groupBy("row_key").agg(F.collect_list(F.struct("places", "matches")).alias("runs"))
+    items = matches.join(named, ["size", "b_around", "b_place"]).select(*digest, "item").distinct()
+    own = _salted(met.select("row_key", *digest, "places"), runs, _DIGEST, "row_key", "inner").groupBy("row_key").agg(F.collect_list(F.struct("places", "matches")).alias("runs"))
     covered = own.mapInArrow(_covered, "row_key long, n_hit long")
-    listed = _salted(met.select("row_key", *_KEY).distinct(), items, _KEY, "row_key", "inner").select("row_key", "item").distinct()
+    listed = _salted(met.select("row_key", *digest), items, _DIGEST, "row_key", "inner").select("row_key", "item").distinct()
     listed = listed.groupBy("row_key").agg(F.count("*").alias("n_items"), F.array_sort(F.collect_list("item")).alias("items"))
     out = parts.where("print is null").select("doc_id", "row_key", "n_words").join(covered, "row_key", "left").join(listed, "row_key", "left")
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
