@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ._work import materialize
 
 #: A node is a hub with more links than this, and with more than one in HUBS of all links; so there are 2 * HUBS hubs at most.
-MANY, HUBS = 1000, 1000
+MANY, HUBS = 128, 1000
 
 
 def connected_components(links: DataFrame, limit: int = 60) -> DataFrame:
