@@ -175,13 +175,25 @@ class LicenceModel:
 FOLDS = 3
 
 
-def _fit(x: np.ndarray, y: np.ndarray, rounds: int, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
-    w, bias, target = np.zeros((x.shape[1], len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32), np.eye(len(FAMILIES), dtype=np.float32)[y]
+def _sums(values: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the rows of values that belong to each of n; `of` ascends."""
+    starts = np.searchsorted(of, np.arange(n + 1))
+    some = np.flatnonzero(np.diff(starts))
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    if len(some):
+        out[some] = np.add.reduceat(values, starts[some])
+    return out
+
+
+def _fit(row: np.ndarray, feature: np.ndarray, y: np.ndarray, features: int, rounds: int, rate: float, decay: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias of samples with labels y; row, feature: the features of each, in order of row."""
+    w, bias, target = np.zeros((features, len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32), np.eye(len(FAMILIES), dtype=np.float32)[y]
+    order = np.argsort(feature, kind="stable")
+    by_row, by_feature = row[order], feature[order]
     for _ in range(rounds if len(y) else 0):
-        g = (_softmax(x @ w + bias) - target) / len(y)
-        w -= rate * (x.T @ g + decay * w)
+        g = (_softmax(_sums(w[feature], row, len(y)) + bias) - target) / len(y)
+        w -= rate * (_sums(g[by_row], by_feature, features) + decay * w)
         bias -= rate * g.sum(0)
-    w[0] = 0
     return w, bias
 
 
@@ -200,21 +212,21 @@ def train(samples: DataFrame, *, rounds: int = 150, rate: float = 2.0, decay: fl
     used = np.flatnonzero(seen >= least_rows)
     place = np.zeros(_BUCKETS, np.int64)
     place[used] = np.arange(1, len(used) + 1)
-    x = np.zeros((len(rows), len(used) + 1), np.float32)
-    for i, r in enumerate(rows):
-        x[i, place[r["f"]]] = 1
-    x[:, 0] = 0
     y, fold = (np.array([r[c] for r in rows], np.int64) for c in ("label", "source"))
+    pairs = [(i, f) for i, r in enumerate(rows) for f in sorted({int(x) for x in place[r["f"]]} - {0})]
+    row, feature = np.array(pairs, np.int64).reshape(-1, 2).T
     logits = np.zeros((len(rows), len(FAMILIES)), np.float32)
     for k in range(FOLDS):
         own = fold % FOLDS == k
-        w, bias = _fit(x[~own], y[~own], rounds, rate, decay)
-        logits[own] = x[own] @ w + bias
+        other = np.flatnonzero(~own)
+        some = ~own[row]
+        w, bias = _fit(np.searchsorted(other, row[some]), feature[some], y[other], len(used) + 1, rounds, rate, decay)
+        logits[own] = _sums(w[feature], row, len(rows))[own] + bias
     known = np.array([len({s for s, z in zip(fold, y, strict=True) if z == label}) >= FOLDS for label in range(len(FAMILIES))], bool)  # families that the other parts had seen
     new = known[y] if len(y) else np.zeros(0, bool)
     loss = lambda heat: -np.log(np.maximum(_softmax(logits[new] / heat)[np.arange(new.sum()), y[new]], 1e-12)).sum()
     temperature = min((0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0, 1.25, 1.5, 2.0), key=loss) if new.any() else 1.0
-    w, bias = _fit(x, y, rounds, rate, decay)
+    w, bias = _fit(row, feature, y, len(used) + 1, rounds, rate, decay)
     return LicenceModel(place, w, bias, temperature)
 
 
@@ -237,27 +249,28 @@ def _template_pairs() -> Column:
     return F.array(none, *[F.array(*[F.split(F.lit("|".join(_pairs_of(t))), r"\|") for t in templates]) for templates in TEMPLATES.values()])
 
 
-_LINE, _WINDOW = "struct<start:int,text:string,words:array<string>>", "struct<start:int,end:int,lines:int,paragraph:string>"
+_LINE, _WINDOW = "struct<start:int,text:string,words:array<string>,tells:boolean>", "struct<start:int,end:int,lines:int,paragraph:string,tells:boolean>"
 
 
 def _windows(lines: Column, line: Column, place: Column) -> Column:
-    """The paragraphs that begin in a line: itself, and with each line after it as far as a notice that begins in it can reach."""
+    """The paragraphs that begin in a line, of those with a line that tells: itself, and with each line after it as far as a notice that begins in it can reach."""
     end = lambda x: x["start"] + F.length(x["text"])
-    size = F.size(line["words"])
+    size, after = F.size(line["words"]), F.slice(lines, place + 2, F.lit(LONGEST))
     none = F.array().cast(f"array<{_WINDOW}>")
-    own = F.struct(line["start"].alias("start"), end(line).alias("end"), F.lit(1).alias("lines"), line["text"].alias("paragraph"))
+    own = F.struct(line["start"].alias("start"), end(line).alias("end"), F.lit(1).alias("lines"), line["text"].alias("paragraph"), line["tells"].alias("tells"))
     tail = F.slice(line["words"], F.greatest(F.lit(1), size - LONGEST + 1), LONGEST)
 
     def longer(acc: Column, x: Column) -> Column:
-        words = F.concat(acc["words"], F.slice(x["words"], 1, LONGEST))
-        more = F.struct(line["start"].alias("start"), end(x).alias("end"), (F.size(acc["out"]) + 1).alias("lines"), F.array_join(words, " ").alias("paragraph"))
-        after = acc["after"] + F.size(x["words"])
-        goes = F.struct(words.alias("words"), F.concat(acc["out"], F.array(more)).alias("out"), after.alias("after"), ((after < LONGEST) & (F.size(x["words"]) > 0)).alias("on"))
-        ends = F.struct(acc["words"].alias("words"), acc["out"].alias("out"), acc["after"].alias("after"), F.lit(False).alias("on"))
+        words, tells = F.concat(acc["words"], F.slice(x["words"], 1, LONGEST)), acc["tells"] | x["tells"]
+        more = F.struct(line["start"].alias("start"), end(x).alias("end"), (F.size(acc["out"]) + 1).alias("lines"), F.array_join(words, " ").alias("paragraph"), tells.alias("tells"))
+        reach = acc["after"] + F.size(x["words"])
+        goes = F.struct(words.alias("words"), F.concat(acc["out"], F.array(more)).alias("out"), reach.alias("after"), ((reach < LONGEST) & (F.size(x["words"]) > 0)).alias("on"), tells.alias("tells"))
+        ends = F.struct(acc["words"].alias("words"), acc["out"].alias("out"), acc["after"].alias("after"), F.lit(False).alias("on"), acc["tells"].alias("tells"))
         return F.when(acc["on"] & (F.size(x["words"]) > 0), goes).otherwise(ends)
 
-    begin = F.struct(tail.alias("words"), F.array(own).cast(f"array<{_WINDOW}>").alias("out"), F.lit(0).alias("after"), F.lit(True).alias("on"))
-    return F.when(size > 0, F.aggregate(F.slice(lines, place + 2, F.lit(LONGEST)), begin, longer)["out"]).otherwise(none)
+    begin = F.struct(tail.alias("words"), F.array(own).cast(f"array<{_WINDOW}>").alias("out"), F.lit(0).alias("after"), F.lit(True).alias("on"), line["tells"].alias("tells"))
+    some = (size > 0) & (line["tells"] | F.exists(after, lambda x: x["tells"]))
+    return F.when(some, F.filter(F.aggregate(after, begin, longer)["out"], lambda w: w["tells"])).otherwise(none)
 
 
 def find_licences(docs: DataFrame, model: LicenceModel, *, text: str = "text", found: str = "licences", least: float = 0.5, confirm: float = 0.6) -> DataFrame:
@@ -265,9 +278,9 @@ def find_licences(docs: DataFrame, model: LicenceModel, *, text: str = "text", f
     whole = F.coalesce(F.col(text), F.lit(""))
     telling = _any_of(telling_words(confirm))
     cut = F.transform(F.split(whole, "\n", -1), lambda x: F.struct(x.alias("text"), F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("words")))
-    lines = placed(cut, _LINE, lambda x: F.length(x["text"]) + 1, lambda x, at: F.struct(at.alias("start"), x["text"].alias("text"), x["words"].alias("words")))
-    tells = lambda c: F.lower(c["paragraph"]).rlike(telling)
-    candidates = bound(lines, lambda held: F.flatten(F.transform(held, lambda line, i: F.filter(_windows(held, line, i), tells))))
+    line = lambda x, at: F.struct(at.alias("start"), x["text"].alias("text"), x["words"].alias("words"), F.lower(x["text"]).rlike(telling).alias("tells"))
+    lines = placed(cut, _LINE, lambda x: F.length(x["text"]) + 1, line)
+    candidates = bound(lines, lambda held: F.flatten(F.transform(held, lambda x, i: _windows(held, x, i))))
 
     def judged(c: Column, place: Column, weights: Column) -> Column:
         def with_grams(g: Column) -> Column:
