@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +59,45 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), 0)
 
 
+#: Bits of a bitmap as powers of two: at least, and at most (16 MB); so many for a value between them.
+LEAST_BITS, MOST_BITS, BITS_EACH = 16, 27, 16
+
+
+def bitmap(values: DataFrame) -> np.ndarray:
+    """Packed bits, a power of two of them, of distinct 64-bit hashes, the one column of values: the bit of a hash is its lowest bits.
+
+    Tasks make blocks of 2**16 bits, which are at most 2**(MOST_BITS - 16).
+    """
+    n = values.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n).bit_length()))
+
+    def block(table: pa.Table) -> pa.Table:
+        held = np.zeros(1 << 16, bool)
+        held[table["spot"].to_numpy() & 0xFFFF] = True
+        return pa.table([table["block"].slice(0, 1), pa.array([np.packbits(held).tobytes()])], names=["block", "bits"])
+
+    spot = F.col(values.columns[0]).bitwiseAND((1 << bits) - 1)
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for r in values.select(spot.alias("spot"), F.shiftright(spot, 16).alias("block")).groupBy("block").applyInArrow(block, "block long, bits binary").collect():
+        out[r["block"] << 13 : (r["block"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker, which lives on for other tasks, gives back memory that it no longer uses."""
+
+    def tidy(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return tidy
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}

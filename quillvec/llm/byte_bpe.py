@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField
 
 from . import _encoding as E
-from ._work import with_results
+from ._work import tidied, with_results
 
 
 def byte_table() -> list[str]:
@@ -106,7 +106,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, text: str = "text"
                 rows = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([*rows.select(stay).columns, *more], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)
 
 
 def decode(docs: DataFrame, ranks_path: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -28,10 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._work import materialize
+from ._work import bitmap, materialize, tidied
 
-#: Bits of the bitmap as powers of two: at least, and at most (16 MB); so many for a fingerprint between them.
-LEAST_BITS, MOST_BITS, BITS_EACH = 16, 27, 16
 #: Parts over which rows of one fingerprint or passage are dealt.
 SALTS = 16
 
@@ -109,23 +107,6 @@ def benchmark_fingerprints(benchmark: DataFrame, *, window: int = 10, gram: int
     return benchmark.select("item_id", "text").mapInArrow(run, f"item_id {kind}, print long, size int, around string, place int").distinct()
 
 
-def _bitmap(prints: DataFrame) -> np.ndarray:
-    """Packed bits of the fingerprints (print): tasks make blocks of 2**16 bits, which are at most 2**(MOST_BITS - 16)."""
-    n = prints.count()
-    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n).bit_length()))
-
-    def block(table: pa.Table) -> pa.Table:
-        held = np.zeros(1 << 16, bool)
-        held[table["spot"].to_numpy() & 0xFFFF] = True
-        return pa.table([table["block"].slice(0, 1), pa.array([np.packbits(held).tobytes()])], names=["block", "bits"])
-
-    spot = F.col("print").bitwiseAND((1 << bits) - 1)
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in prints.select(spot.alias("spot"), F.shiftright(spot, 16).alias("block")).groupBy("block").applyInArrow(block, "block long, bits binary").collect():
-        out[r["block"] << 13 : (r["block"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
-
 def _salted(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str) -> DataFrame:
     """left joined with right, rows of one key dealt by another column of left; right is small beside it."""
     spread = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -178,7 +159,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, gram: i
     spark = docs.sparkSession
     bench = materialize(benchmark_fingerprints(benchmark, window=window, gram=gram), "bench-prints")
     sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # window of them at most
-    shared = spark.sparkContext.broadcast(_bitmap(bench.select("print").distinct()))
+    shared = spark.sparkContext.broadcast(bitmap(bench.select("print").distinct()))
     names = ["doc_id", "row_key", "n_words", "print", *_KEY, "places"]
 
     def run(batches):
@@ -202,7 +183,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, gram: i
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = docs.select("doc_id", F.monotonically_increasing_id().alias("row_key"), "text")
-    parts = materialize(parts.mapInArrow(run, f"doc_id {kind}, row_key long, n_words long, print long, size int, around string, place int, places array<int>"), "bench-met")
+    parts = materialize(parts.mapInArrow(tidied(run), f"doc_id {kind}, row_key long, n_words long, print long, size int, around string, place int, places array<int>"), "bench-met")
     digest = [F.xxhash64(F.lit(i), *_KEY).alias(name) for i, name in enumerate(_DIGEST)]
     met = parts.where("print is not null")
     passages = bench.select("print", "size", F.col("around").alias("b_around"), F.col("place").alias("b_place")).distinct()

@@ -29,7 +29,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField
 
 from . import _text as T
 from ._encoding import Memo
-from ._work import materialize, with_results
+from ._work import materialize, tidied, with_results
 
 #: Letters after which the passes over a word are rescaled.
 RESCALE = 16
@@ -40,7 +40,7 @@ LONGEST = 64
 MARK = "▁"
 UNDECIDED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_REMEMBER = 200_000
+_REMEMBER = 100_000
 
 
 def read_pieces(path: str) -> list[str]:
@@ -242,7 +242,7 @@ def train(docs: DataFrame, vocabulary: str, *, max_train_docs: int = 20_000, rou
         for lang, words in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.int32()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
 
-    counts = materialize(docs.select("text", "lang").mapInArrow(count, "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
+    counts = materialize(docs.select("text", "lang").mapInArrow(tidied(count), "lang int, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "langid-words")
     p = np.zeros((len(pieces) + 2, max(len(languages), 1)))
     p[:-1] = 1 / (len(pieces) + 1)
     width = p.shape[1]
@@ -264,7 +264,7 @@ def train(docs: DataFrame, vocabulary: str, *, max_train_docs: int = 20_000, rou
             cells = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel()[cells])], ["cell", "n"])
 
-        found = counts.mapInArrow(expect, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+        found = counts.mapInArrow(tidied(expect), "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
         total = np.zeros(p.size)
         total[found["cell"].to_numpy(np.int64)] = found["n"]
         total = total.reshape(-1, width)[:-1] + smoothing
@@ -314,4 +314,4 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", pred: st
                 scores.append(np.where(none, 0.0, share))
             yield pa.RecordBatch.from_arrays([*batch.select(stay).columns, pa.array(preds, pa.string()), pa.array(np.concatenate([np.zeros(0), *scores]))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidied(run), schema)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._work import materialize
+from ._work import BITS_EACH, MOST_BITS, bitmap, materialize, tidied
 from .components import connected_components
 
 _SKETCH = 128
@@ -119,19 +119,31 @@ def signatures(docs: DataFrame, *, width: int, bands: int, rows: int) -> DataFra
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, node long, keys array<long>, s1 long, s2 long")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n_shingles long, node long, keys array<long>, s1 long, s2 long")
 
 
-def _sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """(node, items): the sets themselves, as little-endian 64-bit hashes."""
+def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(node, items) of the wanted nodes (node, doc_id): their sets, as little-endian 64-bit hashes.
+
+    A bitmap of the nodes lets each task leave out other documents' sets, so texts are not shuffled; where there are too many nodes for
+    it, the documents are joined by id.
+    """
+    bits = None
+    if wanted.count() * BITS_EACH <= 1 << MOST_BITS:
+        bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("node")))
+    else:
+        docs = docs.join(wanted.select(F.col("doc_id").alias("wanted_id")), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
 
     def run(batches):
+        held = None if bits is None else np.unpackbits(bits.value).view(bool)
         for batch in batches:
             for _, _, data, offsets in T.slices(batch.column("text")):
-                sets = [s for s in document_sets(data, offsets, width) if len(s)]
-                yield pa.RecordBatch.from_arrays([pa.array([set_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "items"])
+                sets = [(set_node(s), s) for s in document_sets(data, offsets, width) if len(s)]
+                sets = [(node, s) for node, s in sets if held is None or held[node & (len(held) - 1)]]
+                yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in sets], pa.int64()), pa.array([s.tobytes() for _, s in sets], pa.binary())], ["node", "items"])
 
-    return docs.select("text").mapInArrow(run, "node long, items binary")
+    made = docs.select("text").mapInArrow(tidied(run), "node long, items binary")
+    return made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, cut: int) -> DataFrame:
@@ -150,7 +162,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, cut: int) -> DataFrame:
 
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a")
     met = met.join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-    return met.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return met.select("a", "b", "x", "y").mapInArrow(tidied(run), "a long, b long")
 
 
 def _alike(p: str, q: str, cut: int) -> F.Column:
@@ -293,8 +305,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, rows:
     wanted = family.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     each = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.sum("size").alias("weight"))
     wanted = materialize(each.join(wanted, "node", "left_semi"), "minhash-wanted")
-    texts = docs.join(wanted.select(F.col("doc_id").alias("wanted_id")), F.col("doc_id").eqNullSafe(F.col("wanted_id")), "left_semi")
-    sets = materialize(_sets_of(texts, width).join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "minhash-sets")
+    sets = materialize(_sets_of(docs, wanted, width), "minhash-sets")
     links = _family_links(family.join(wanted.select("node", "n", "weight"), "node"), sets, percent).unionByName(_confirm(pairs, sets, percent))
     labels = connected_components(links)
 

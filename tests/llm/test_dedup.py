@@ -54,6 +54,12 @@ def test_against_all_pairs(spark, percent, monkeypatch):
     assert got(M.near_duplicates(documents(spark, rows), percent=percent)) == brute(rows, percent)
 
 
+def test_sets_by_join_where_there_are_too_many_nodes(spark, monkeypatch):
+    monkeypatch.setattr(M, "MOST_BITS", 3)
+    rows = AWKWARD + family(20, 6, 1, 100)
+    assert got(M.near_duplicates(documents(spark, rows), percent=80)) == brute(rows, 80)
+
+
 def test_no_documents_and_no_duplicates(spark):
     assert got(M.near_duplicates(documents(spark, []))) == []
     rows = [(i, f"only text {i} with its own words a{i} b{i} c{i}") for i in range(4)]

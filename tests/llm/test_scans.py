@@ -11,7 +11,7 @@ import numpy as np
 from helpers import AWKWARD, PROSE, alnum, documents
 from pyspark.sql import functions as F
 
-from quillvec.llm import decontaminate, licenses, quality, queries, secrets
+from quillvec.llm import _work, decontaminate, licenses, quality, queries, secrets
 
 
 def brute_overlap(rows, items):
@@ -47,8 +47,7 @@ def test_overlaps(spark):
 
 def test_winnowing_with_ties_and_a_full_bitmap(spark, monkeypatch):
     """Texts of two words, where grams are equal in most windows, and a bitmap that spares nothing."""
-    monkeypatch.setattr(decontaminate, "LEAST_BITS", 16)
-    monkeypatch.setattr(decontaminate, "MOST_BITS", 16)
+    monkeypatch.setattr(_work, "MOST_BITS", 16)
     r = random.Random(12)
     text = lambda n, k: " ".join(r.choice("abc"[:k]) for _ in range(n))
     items = [(i, text(r.randrange(1, 40), 2)) for i in range(12)] + [(100 + i, text(60, 3)) for i in range(6)] + [(200, "a"), (201, "b b"), (202, "a " * 30)]
