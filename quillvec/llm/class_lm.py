@@ -37,13 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._work import materialize
+from ._work import materialize, tidied
 
 #: Buckets in which words that are no unit of the first step start; a power of two, kept in the low bits of a word's key.
 SUFFIX_UNITS = 512
 #: Parts in which the words move one after the other; a power of two, by the key's bits above the bucket.
 BATCHES = 4
-_CHUNK = 4_000_000
+_CHUNK = 2_000_000
 
 
 def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -86,7 +86,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    counted = _marked(docs).select("text", "held_out").mapInArrow(count, "key long, n long, n_all long")
+    counted = _marked(docs).select("text", "held_out").mapInArrow(tidied(count), "key long, n long, n_all long")
     return counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
 
 
@@ -132,7 +132,7 @@ def count_unit_bigrams(docs: DataFrame, head: np.ndarray) -> DataFrame:
             part = cells[i : i + (1 << 18)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "n"])
 
-    return docs.select("text").mapInArrow(count, "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidied(count), "cell int, n int").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def exchange(bigrams: np.ndarray, classes: int, sweeps: int) -> np.ndarray:
@@ -224,7 +224,7 @@ def count_contexts(docs: DataFrame, head: np.ndarray, of: np.ndarray) -> DataFra
         if size:
             yield from flush()
 
-    return docs.select("text").mapInArrow(count, "key long, part int, around binary")
+    return docs.select("text").mapInArrow(tidied(count), "key long, part int, around binary")
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -297,7 +297,7 @@ def move_words(contexts: DataFrame, of: np.ndarray, joint: np.ndarray) -> DataFr
         at = np.flatnonzero(change)
         yield pa.RecordBatch.from_arrays([void(len(at), pa.int64()), void(len(at), pa.int64()), void(len(at), pa.int32()), pa.array(at.astype(np.int32)), pa.array(change[at])], names)
 
-    return contexts.select("key", "around").repartition("key").mapInArrow(move, "key long, n long, cls int, cell int, d long")
+    return contexts.select("key", "around").repartition("key").mapInArrow(tidied(move), "key long, n long, cls int, cell int, d long")
 
 
 @dataclass
@@ -387,7 +387,7 @@ def with_transitions(model: ClassModel, tagged: DataFrame) -> ClassModel:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
 
-    cells = tagged.select("classes").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = tagged.select("classes").mapInArrow(tidied(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     joint = np.zeros(n * n)
     joint[cells["cell"].to_numpy(np.int64)] = cells["n"]
     joint = joint.reshape(n, n)
@@ -471,7 +471,7 @@ def tag(docs: DataFrame, model: ClassModel, *, base_delta: float = 0.1) -> DataF
             kept = [batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "points")]
             yield pa.RecordBatch.from_arrays([*kept, _bytes_of(cls.astype(np.uint8), offsets)], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "points", "classes"])
 
-    met = docs.mapInArrow(run, fields).join(model.rare.withColumnRenamed("n", "c"), "key", "left")
+    met = docs.mapInArrow(tidied(run), fields).join(model.rare.withColumnRenamed("n", "c"), "key", "left")
     word = F.col("pos").isNotNull()
     c = F.coalesce(F.col("c"), F.lit(0))
     listed = lambda x: F.array(*[F.lit(float(v)) for v in x])
@@ -487,7 +487,7 @@ def tag(docs: DataFrame, model: ClassModel, *, base_delta: float = 0.1) -> DataF
         F.sum(F.when(word, F.log10(c + base_delta) - base_all).otherwise(F.col("base_score"))).alias("base_score"),
         F.sum(F.when(word, F.when(c > 0, F.log10(c - discount)).otherwise(F.element_at(listed(unseen), cls + 1))).otherwise(F.col("points"))).alias("points"),
     )
-    return rows.drop("row_key").mapInArrow(close, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, points double, classes binary")
+    return rows.drop("row_key").mapInArrow(tidied(close), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, points double, classes binary")
 
 
 def scored(tagged: DataFrame, model: ClassModel) -> DataFrame:
@@ -506,7 +506,7 @@ def scored(tagged: DataFrame, model: ClassModel) -> DataFrame:
             points = np.bincount(row, worth, batch.num_rows) + batch.column("points").to_numpy()
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[:-1]), pa.array(points)], names)
 
-    out = tagged.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = tagged.mapInArrow(tidied(run), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     perplexity = F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", perplexity.alias("perplexity"))
 
