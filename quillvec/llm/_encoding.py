@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 LONG = 200
-_REMEMBER = 300_000
+_REMEMBER = 150_000
 #: Words encoded in one call, as one text.
 _TOGETHER = 300
 _SLICE_CHARS = 1_000_000
@@ -30,8 +30,8 @@ _encoders: dict[Hashable, UnitEncoder] = {}
 def encoder(key: Hashable, make: Callable, units: Callable[[str], list[str]] | None = None, *, keep: bool = False) -> UnitEncoder:
     """A new encoder; the worker keeps the tokenizer of the last key, with the library's own threads off: a task has one core.
 
-    units: None for those that suit the tokenizer.  keep: whether the worker also keeps the encoder with what it has learned, twice
-    as much, for its next task.
+    units: None for those that suit the tokenizer.  keep: whether the worker also keeps the encoder with what it has learned, four
+    times as much, for its next task.
     """
     if key not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,7 +41,7 @@ def encoder(key: Hashable, make: Callable, units: Callable[[str], list[str]] | N
     if not keep:
         return UnitEncoder(_tokenizers[key], units)
     if key not in _encoders:
-        _encoders[key] = UnitEncoder(_tokenizers[key], units, 2 * _REMEMBER)
+        _encoders[key] = UnitEncoder(_tokenizers[key], units, 4 * _REMEMBER)
     return _encoders[key]
 
 
