@@ -181,7 +181,18 @@ def _star_pairs(members: DataFrame, turn: int, cut: int) -> DataFrame:
     chosen = chosen.select("key", "r.*")
     met = members.alias("p").join(chosen.alias("q"), F.col("p.key") == F.col("q.key"))
     met = met.where((F.col("p.node") != F.col("q.node")) & _alike("p", "q", cut))
-    return met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct()
+    return met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+
+
+def _star_links(members: DataFrame, cut: int) -> DataFrame:
+    """Links (a, b) that join each node with its buckets' representatives, which it can be linked with.
+
+    A node of many buckets has as many representatives, of two turns each at most.  It is linked with the least of them and itself alone, and so are they:
+    nodes near one another have the same ones, so a group of near copies has about as many links as nodes, not as many for each bucket.
+    """
+    stars = _star_pairs(members, 0, cut).unionByName(_star_pairs(members, 1, cut)).groupBy("a").agg(F.collect_set("b").alias("bs"))
+    ends = stars.select(F.explode(F.array_append("bs", F.col("a"))).alias("a"), F.least("a", F.array_min("bs")).alias("b"))
+    return ends.where("a != b").distinct()
 
 
 def _cross_pairs(members: DataFrame, cut: int) -> DataFrame:
@@ -298,8 +309,7 @@ def near_duplicates(docs: DataFrame, *, percent: int = 80, width: int = 5, rows:
     shared = nodes.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(buckets.join(shared, "key"), "minhash-members")
 
-    stars = _star_pairs(members, 0, percent).unionByName(_star_pairs(members, 1, percent))
-    family = connected_components(stars).withColumnRenamed("comp", "family")
+    family = connected_components(_star_links(members, percent)).withColumnRenamed("comp", "family")
     placed = members.drop("doc_id").join(family, "node", "left").withColumn("family", F.coalesce("family", "node"))
     pairs = materialize(_cross_pairs(placed, percent), "minhash-pairs")
     wanted = family.select("node").unionByName(pairs.select(F.col("a").alias("node"))).unionByName(pairs.select(F.col("b").alias("node"))).distinct()

@@ -54,6 +54,14 @@ def test_against_all_pairs(spark, percent, monkeypatch):
     assert got(M.near_duplicates(documents(spark, rows), percent=percent)) == brute(rows, percent)
 
 
+def test_near_copies_have_few_links_however_many_buckets_they_share(spark, monkeypatch):
+    counts, whole = [], M.connected_components
+    monkeypatch.setattr(M, "connected_components", lambda links: [counts.append(links.distinct().count()), whole(links)][1])
+    rows = family(150, 5, 7, 100)
+    assert got(M.near_duplicates(documents(spark, rows), percent=85)) == brute(rows, 85)
+    assert max(counts) <= 2 * len(rows)
+
+
 def test_sets_by_join_where_there_are_too_many_nodes(spark, monkeypatch):
     monkeypatch.setattr(M, "MOST_BITS", 3)
     rows = AWKWARD + family(20, 6, 1, 100)
