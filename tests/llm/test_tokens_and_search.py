@@ -249,3 +249,16 @@ def test_pipeline_keeps_clean_documents(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     assert 0.75 * n < out.count() < n
+
+
+def test_a_shard_holds_the_lists_of_its_words_in_order():
+    r = np.random.default_rng(3)
+    docs = [np.unique(r.integers(0, 400, 30)) for _ in range(500)]
+    term, sizes = np.concatenate(docs), np.array([len(d) for d in docs])
+    arrays, df = bm25._shard(term, r.integers(1, 5, len(term)), sizes, sizes, np.arange(500))
+    assert arrays["list_sizes"].tolist() == df.tolist()  # no two documents are equal
+    starts = arrays["begins"]
+    for t, (first, n) in enumerate(zip(np.cumsum(df) - df, df, strict=True)):
+        at = np.flatnonzero(arrays["term"] == t)
+        assert arrays["listed"][first : first + n].tolist() == (np.searchsorted(starts, at, side="right") - 1).tolist()
+        assert arrays["listed_tf"][first : first + n].tolist() == arrays["tf"][at].tolist()
